@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed
 from tidemark.plans.config import is_active
+from tidemark.sizing import broadcast_if_small
 
 # Outcomes of an event, from routing to application.
 APPLIED = "applied"
@@ -48,7 +49,7 @@ def route(events: DataFrame, plan: DataFrame, registry: DataFrame, bindings: Dat
         F.when(taken, F.coalesce("_direct", "_named")).alias("binding_id"),
         reason.alias("route"),
     )
-    routed = events.join(targets, "schema_id", "left")
+    routed = events.join(broadcast_if_small(targets), "schema_id", "left")
     return routed.withColumn("route", F.coalesce("route", F.lit(NO_SCHEMA)))
 
 
