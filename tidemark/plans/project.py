@@ -85,6 +85,9 @@ def decode_binding(events: DataFrame, binding: Binding) -> DataFrame:
     return decode_payloads(events, binding.revisions, wanted)
 
 
+ENTRIES = "changed_entries"
+
+
 class FieldAccess:
     """Column expressions for one mapped field of decoded events."""
 
@@ -104,7 +107,7 @@ class FieldAccess:
                 parents |= {f.parent} if f.parent else set()
         here = F.try_element_at(F.create_map(*places), F.col("schema_id")) if places else None
         changed = F.lit(False) if here is None else bitmap.field_changed(
-            F.col("header.changedFields"), here["parent"], here["position"])
+            F.col(ENTRIES), here["parent"], here["position"])
         if parents and binding.null_compound == "skip":
             # A compound that arrives as NULL carries no values for its children.
             for parent in sorted(parents):
@@ -165,14 +168,16 @@ def project(
                 written = w if written is None else written | w
         columns[target] = value
         columns[target + SET_SUFFIX] = written
-    out = decoded.withColumns({
+    parsed = decoded.withColumn(ENTRIES, bitmap.parsed_entries(F.col("header.changedFields")))
+    out = parsed.withColumns({
         **columns, "change_type": kind, "outcome": event_outcome(binding.flag is not None)
     })
     touched = F.lit(False)
     for target in by_target:
         touched = touched | F.col(target + SET_SUFFIX)
     empty = (F.col("outcome") == routing.APPLIED) & (kind == "UPDATE") & ~touched
-    return out.withColumn("outcome", F.when(empty, routing.NO_CHANGE).otherwise(F.col("outcome")))
+    outcome = F.when(empty, routing.NO_CHANGE).otherwise(F.col("outcome"))
+    return out.drop(ENTRIES).withColumn("outcome", outcome)
 
 
 def applied_ids(ids: Column, kind: Column) -> Column:

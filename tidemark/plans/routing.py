@@ -49,7 +49,7 @@ def route(events: DataFrame, plan: DataFrame, registry: DataFrame, bindings: Dat
         F.when(taken, F.coalesce("_direct", "_named")).alias("binding_id"),
         reason.alias("route"),
     )
-    routed = events.join(broadcast_if_small(targets), "schema_id", "left")
+    routed = events.join(broadcast_if_small(targets, bound=registry), "schema_id", "left")
     return routed.withColumn("route", F.coalesce("route", F.lit(NO_SCHEMA)))
 
 

@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 SMALL_ROWS = 500_000
 
 
-def broadcast_if_small(rows: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
+def broadcast_if_small(
+    rows: DataFrame, bound: DataFrame | None = None, limit: int = SMALL_ROWS
+) -> DataFrame:
     """Hint a broadcast for a table of at most ``limit`` narrow rows.
 
-    Counted, not guessed. A larger one stays an ordinary join, whose skewed
-    partitions adaptive execution splits.
+    Counted, not guessed; ``bound`` is a cheaper table known to have as many
+    rows. A larger one stays an ordinary join, whose skewed partitions adaptive
+    execution splits.
     """
-    return F.broadcast(rows) if rows.limit(limit + 1).count() <= limit else rows
+    measured = rows if bound is None else bound
+    small = measured.limit(limit + 1).count() <= limit
+    return F.broadcast(rows) if small else rows

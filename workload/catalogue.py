@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["folding"]
+MODULES = ["folding", "scalars", "configuration", "mirroring", "checking"]
 
 
 def load() -> None:
