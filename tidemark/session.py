@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 # Correctness: epoch conversions and date casts are defined in UTC.
@@ -38,3 +41,16 @@ def local_session(cores: str = "8", app: str = "tidemark") -> SparkSession:
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors reach: ``spark.checkpoint.dir``, or a new local one
+    where it is unset, as on a single machine.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return folder.rstrip("/") if folder else tempfile.mkdtemp(prefix="run-")
+
+
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own for one run."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

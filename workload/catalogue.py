@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["folding", "scalars", "configuration", "mirroring", "checking"]
+MODULES = ["folding", "scalars", "configuration", "mirroring", "checking", "payloads"]
 
 
 def load() -> None:
