@@ -88,6 +88,10 @@ def suggested_columns(fields: DataFrame, columns: DataFrame, mappings: DataFrame
         .groupBy("binding_id", F.lower("source_field").alias("_field"))
         .agg(F.min("target_column").alias("mapped_column"))
     )
+    offer = F.col("_offer")
+    if "field_type" in fields.columns:
+        is_own_id = (F.col("field") == "Id") & (F.col("field_type") == "EntityId")
+        offer = F.coalesce(offer, F.when(is_own_id, fixed.KEY_COLUMN_SUGGESTION))
     return (
         fields.withColumn("_name", normalised_name(F.col("field")))
         .withColumn("_field", F.lower("field"))
@@ -101,7 +105,7 @@ def suggested_columns(fields: DataFrame, columns: DataFrame, mappings: DataFrame
             "binding_id",
             "field",
             "mapped_column",
-            F.when(F.col("mapped_column").isNull(), F.col("_offer")).alias("suggested_column"),
+            F.when(F.col("mapped_column").isNull(), offer).alias("suggested_column"),
         )
     )
 

@@ -94,13 +94,13 @@ def _summary(rows: DataFrame, spec: FoldSpec) -> DataFrame:
         ]
     else:
         measures.append(F.max(_at("DELETE")).alias("_deleted_at"))
+    created = F.struct(*[_created(c).alias(f"_{i}") for i, c in enumerate(spec.columns)])
+    measures.append(F.min_by(created, _at("CREATE")).alias("_made"))
     for i, c in enumerate(spec.columns):
-        written = F.when((F.col("_kind") == "UPDATE") & F.col(c + SET_SUFFIX), F.col("_ord"))
-        measures += [
-            F.max(written).alias(f"_at{i}"),
-            F.max_by(F.col(c), written).alias(f"_new{i}"),
-            F.min_by(_created(c), _at("CREATE")).alias(f"_made{i}"),
-        ]
+        # One maximum finds both when a column was last written and what to.
+        written = (F.col("_kind") == "UPDATE") & F.col(c + SET_SUFFIX)
+        latest = F.max_by(F.struct("_ord", F.col(c).alias("new")), F.when(written, F.col("_ord")))
+        measures.append(latest.alias(f"_last{i}"))
     return rows.groupBy(*spec.key).agg(*measures)
 
 
@@ -133,8 +133,10 @@ def _second_lives(rows: DataFrame, spec: FoldSpec, guard: DataFrame | None) -> D
         .groupBy(*spec.key)
         .agg(
             F.min("_ord").alias("_again"),
-            *[F.min_by(_created(c), F.col("_ord")).alias(f"_again{i}")
-              for i, c in enumerate(spec.columns)],
+            F.min_by(
+                F.struct(*[_created(c).alias(f"_{i}") for i, c in enumerate(spec.columns)]),
+                F.col("_ord"),
+            ).alias("_remade"),
         )
     )
 
@@ -191,17 +193,14 @@ def _result(
         removed = F.lit(False)
         # Without a row there is nothing to guard: soft mode never forgets a key.
         start = F.when(newer(last), first)
-        made = [F.col(f"_made{i}") for i in range(len(spec.columns))]
+        made = F.col("_made")
     else:
         deleted_at = F.col("_deleted_at")
         removed = newer(deleted_at)
         after = F.greatest(deleted_at, seen) if guarded else deleted_at
         direct = after.isNull() | (first > after)
         start = F.when(direct, first).otherwise(F.col("_again"))
-        made = [
-            F.when(direct, F.col(f"_made{i}")).otherwise(F.col(f"_again{i}"))
-            for i in range(len(spec.columns))
-        ]
+        made = F.when(direct, F.col("_made")).otherwise(F.col("_remade"))
     kept = F.coalesce(F.col("_was_live") & ~removed, F.lit(False)) if has_state else F.lit(False)
     start = F.when(~kept, start)
     live = kept | start.isNotNull()
@@ -212,10 +211,12 @@ def _result(
 
     out = []
     for i, c in enumerate(spec.columns):
-        base = F.coalesce(made[i], spec.defaults[c]) if c in spec.defaults else made[i]
+        base = made[f"_{i}"]
+        if c in spec.defaults:
+            base = F.coalesce(base, spec.defaults[c])
         if has_state:
             base = F.when(kept, F.col(f"_old{i}")).otherwise(base)
-        value = F.when(applies(F.col(f"_at{i}")), F.col(f"_new{i}")).otherwise(base)
+        value = F.when(applies(F.col(f"_last{i}._ord")), F.col(f"_last{i}.new")).otherwise(base)
         out.append(F.when(live, value).alias(c))
     if spec.soft:
         mark = F.when(applies(F.col("_mark_at")), flag_value(F.col("_mark"), spec.flag_family))

@@ -21,6 +21,7 @@ UNSUPPORTED_KIND = "unsupported type"
 BAD_BITMAP = "bad bitmap"
 UNDELETE_SKIPPED = "undelete skipped"
 NO_CHANGE = "no change"
+NO_KEY_MAPPING = "no key mapping"
 
 
 def route(events: DataFrame, plan: DataFrame, registry: DataFrame, bindings: DataFrame) -> DataFrame:

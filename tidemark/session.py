@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Correctness: epoch conversions and date casts are defined in UTC.
 # Scale: AQE sizes shuffles, splits skewed joins and rebalances writes at run
@@ -54,3 +54,15 @@ def shared_folder(spark: SparkSession) -> str:
 def run_folder(spark: SparkSession, name: str) -> str:
     """A folder of its own for one run."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written to the shared folder once and read back.
+
+    For results that are expensive and read more than once: decoded events feed
+    several aggregates of a fold, and a lost executor re-reads files instead of
+    decoding again.
+    """
+    path = run_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

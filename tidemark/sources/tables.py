@@ -1,126 +1,169 @@
 """The folded table between batches: versioned Parquet, or a JDBC target.
 
-Spark ships no table format with row-level writes, so a version of the table is
-a set of Parquet directories: one per key bucket, each written by the batch that
-last touched it. A batch reads and rewrites only the buckets its keys fall in
-and becomes visible when its manifest, one small file, is complete.
+Spark ships no table format with row-level writes, so a table is a folded base
+plus the change rows of the batches since. A batch only appends its own change
+rows, whatever the size of the table; readers fold them onto the base. When they
+have grown to a set share of the base they are folded into a new one, so every
+row is rewritten a bounded number of times. A batch becomes visible when its
+manifest, one row, is complete.
 """
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.fold import LAST_ORDER, LIVE, FoldSpec, fold
+from tidemark.operators.fold import LAST_ORDER, LIVE, SET_SUFFIX, FoldSpec, fold
 
-MANIFEST = "version bigint, buckets int, bucket int, written_by bigint"
+MANIFEST = """version bigint, base bigint, base_rows bigint, changes array<bigint>,
+    change_rows bigint"""
 
 
 class KeyedTable:
     """A table of one row per key, kept under ``path`` on storage all executors share.
 
-    ``buckets`` bounds what one batch must rewrite: choose it so that a bucket
-    is a few files large. It is fixed when the table is first written.
+    ``share`` is how large the pending change rows may grow beside the base, and
+    ``at_least`` how many there must be, before they are folded into it. A change
+    older than what the base has absorbed for its key is ignored.
     """
 
-    def __init__(self, spark: SparkSession, path: str, spec: FoldSpec, buckets: int = 64):
-        self.spark, self.path, self.spec, self.buckets = spark, path.rstrip("/"), spec, buckets
-
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*self.spec.key), F.lit(self.buckets)).cast("int")
-
-    def _manifest(self, version: int | None = None) -> list:
-        """Rows of the newest manifest, or of ``version``: one per bucket that exists."""
+    def __init__(
+        self,
+        spark: SparkSession,
+        path: str,
+        spec: FoldSpec,
+        share: float = 0.5,
+        at_least: int = 1_000_000,
+    ):
+        self.spark, self.path, self.spec = spark, path.rstrip("/"), spec
+        self.share, self.at_least = share, at_least
+
+    def _manifests(self) -> DataFrame | None:
         try:
-            rows = self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest")
-            if version is None:
-                version = rows.agg(F.max("version")).first()[0]
+            return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return []
-        found = rows.filter(F.col("version") == version).collect()
-        if found and found[0]["buckets"] != self.buckets:
-            raise ValueError(f"table has {found[0]['buckets']} buckets, not {self.buckets}")
-        return found
+            return None
+
+    def _newest(self) -> Row | None:
+        manifests = self._manifests()
+        if manifests is None:
+            return None
+        newest = F.max_by(F.struct(*manifests.columns), "version").alias("m")
+        return manifests.agg(newest).first()["m"]
 
     def version(self) -> int | None:
         """Version of the last completed batch."""
-        manifest = self._manifest()
-        return manifest[0]["version"] if manifest else None
-
-    def _schema(self, changes: DataFrame) -> T.StructType:
-        folded = fold(changes, self.spec, track=True)
-        return T.StructType([T.StructField(f.name, f.dataType, True) for f in folded.schema])
-
-    def _read(self, manifest: list, schema: T.StructType | None) -> DataFrame | None:
-        dirs = [
-            f"{self.path}/rows/version={m['written_by']}/bucket={m['bucket']}"
-            for m in manifest if m["bucket"] is not None
-        ]
-        if not dirs:
+        manifest = self._newest()
+        return None if manifest is None else manifest["version"]
+
+    def _base(self, manifest: Row) -> DataFrame | None:
+        if manifest["base"] is None:
             return None
-        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
-        return reader.parquet(*dirs)
+        return self.spark.read.parquet(f"{self.path}/base/version={manifest['base']}")
 
-    def tracked(self, version: int | None = None) -> DataFrame | None:
-        """All rows with ``live`` and ``last_order``, deleted keys included."""
-        return self._read(self._manifest(version), None)
+    def _pending(self, manifest: Row) -> DataFrame | None:
+        paths = [f"{self.path}/changes/version={v}" for v in manifest["changes"]]
+        # Later batches may carry columns mapped since; earlier ones did not set them.
+        return self.spark.read.option("mergeSchema", True).parquet(*paths) if paths else None
 
-    def rows(self, version: int | None = None) -> DataFrame | None:
+    def tracked(self) -> DataFrame | None:
+        """All rows with ``live`` and ``last_order``, deleted keys included."""
+        manifest = self._newest()
+        return None if manifest is None else self._folded(manifest)
+
+    def _folded(self, manifest: Row) -> DataFrame | None:
+        base, pending = self._base(manifest), self._pending(manifest)
+        if base is not None:
+            base = _with_columns(base, self.spec.columns, pending)
+        if pending is None:
+            return base
+        return fold(pending, self.spec, base, track=True)
+
+    def rows(self) -> DataFrame | None:
         """The table as its readers see it."""
-        tracked = self.tracked(version)
+        tracked = self.tracked()
         return None if tracked is None else tracked.filter(LIVE).drop(LIVE, LAST_ORDER)
 
     def apply(self, changes: DataFrame, version: int) -> None:
-        """Fold ``changes`` into the table as ``version``; a completed version is not redone."""
-        manifest = self._manifest()
-        if manifest and manifest[0]["version"] >= version:
+        """Take in a batch as ``version``; a completed version is not redone."""
+        manifest = self._newest()
+        if manifest is not None and manifest["version"] >= version:
             return
-        # At most ``buckets`` numbers come back to the driver.
-        touched = {r[0] for r in changes.select(self._bucket()).distinct().collect()}
-        old = [m for m in manifest if m["bucket"] in touched]
-        schema = self._schema(changes)
-        folded = fold(changes, self.spec, self._read(old, schema), track=True)
-        kept = [m for m in manifest if m["bucket"] not in touched]
-        self._commit(folded, schema, kept, version)
-
-    def _commit(
-        self, rows: DataFrame, schema: T.StructType, kept: list, version: int
-    ) -> None:
-        """Write the touched buckets, then the manifest that makes them visible."""
-        target = f"{self.path}/rows/version={version}"
-        (
-            rows.withColumn("bucket", self._bucket())
-            .hint("rebalance", "bucket")
-            .write.mode("overwrite")
-            .partitionBy("bucket")
-            .parquet(target)
-        )
-        bucketed = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
-        written = self.spark.read.schema(bucketed).parquet(target).select("bucket").distinct()
-        entries = [(self.buckets, m["bucket"], m["written_by"]) for m in kept
-                   if m["bucket"] is not None]
-        entries += [(self.buckets, r["bucket"], version) for r in written.collect()]
-        # A version without any row still needs an entry to count as completed.
-        entries = entries or [(self.buckets, None, version)]
-        (
-            self.spark.createDataFrame(entries, "buckets int, bucket int, written_by bigint")
-            .coalesce(1)
-            .write.mode("overwrite")
-            .parquet(f"{self.path}/manifest/version={version}")
-        )
+        target = f"{self.path}/changes/version={version}"
+        sets = [c + SET_SUFFIX for c in self.spec.columns]
+        changes.select(
+            *self.spec.key, *self.spec.order, self.spec.kind, *self.spec.columns, *sets
+        ).write.mode("overwrite").parquet(target)
+        # Counted from the file footers.
+        arrived = self.spark.read.parquet(target).count()
+        before = manifest.asDict() if manifest is not None else {
+            "base": None, "base_rows": 0, "changes": [], "change_rows": 0}
+        after = {
+            **before, "version": version,
+            "changes": [*before["changes"], version] if arrived else before["changes"],
+            "change_rows": before["change_rows"] + arrived,
+        }
+        if after["change_rows"] > max(self.at_least, self.share * after["base_rows"]):
+            after = self._compacted(after)
+        self._commit(after)
+
+    def _compacted(self, manifest: dict, keep: Column | None = None) -> dict:
+        folded = self._folded(Row(**manifest))
+        if folded is None:
+            return manifest
+        target = f"{self.path}/base/version={manifest['version']}"
+        (folded if keep is None else folded.filter(keep)).write.mode("overwrite").parquet(target)
+        rows = self.spark.read.parquet(target).count()
+        return {**manifest, "base": manifest["version"], "base_rows": rows, "changes": [],
+                "change_rows": 0}
+
+    def _commit(self, manifest: dict) -> None:
+        row = self.spark.createDataFrame([manifest], MANIFEST)
+        target = f"{self.path}/manifest/version={manifest['version']}"
+        row.drop("version").coalesce(1).write.mode("overwrite").parquet(target)
 
     def forget_deleted(self, before: Column, version: int) -> None:
-        """Drop marks of keys deleted before an order no late change can precede."""
-        manifest = self._manifest()
-        tracked = self._read(manifest, None)
-        if tracked is None or manifest[0]["version"] >= version:
+        """Fold everything and drop the marks of keys deleted before an order that no
+        change still to come can precede.
+        """
+        manifest = self._newest()
+        if manifest is None or manifest["version"] >= version:
+            return
+        after = {**manifest.asDict(), "version": version}
+        self._commit(self._compacted(after, F.col(LIVE) | (F.col(LAST_ORDER) >= before)))
+
+    def expire(self, keep: int = 2) -> None:
+        """Delete files that none of the newest ``keep`` manifests refers to."""
+        manifests = self._manifests()
+        if manifests is None:
             return
-        kept = tracked.filter(F.col(LIVE) | (F.col(LAST_ORDER) >= before))
-        self._commit(kept, tracked.schema, [], version)
+        listed = sorted(manifests.collect(), key=lambda m: m["version"])
+        kept, gone = listed[-keep:], listed[:-keep]
+        bases = {m["base"] for m in kept}
+        changes = {v for m in kept for v in m["changes"]}
+        for m in gone:
+            delete(self.spark, f"{self.path}/manifest/version={m['version']}")
+        for v in {m["base"] for m in gone} - bases - {None}:
+            delete(self.spark, f"{self.path}/base/version={v}")
+        for v in {v for m in gone for v in [*m["changes"], m["version"]]} - changes:
+            delete(self.spark, f"{self.path}/changes/version={v}")
+
+
+def _with_columns(base: DataFrame, columns: tuple[str, ...], like: DataFrame | None) -> DataFrame:
+    """Columns mapped after the base was written are NULL in it."""
+    missing = [c for c in columns if c not in base.columns]
+    types = {} if like is None else {f.name: f.dataType for f in like.schema.fields}
+    return base.withColumns({c: F.lit(None).cast(types.get(c, T.StringType())) for c in missing})
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a path on whatever file system it is on."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
 def read_jdbc(

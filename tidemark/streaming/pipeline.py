@@ -9,17 +9,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark import fixed
 from tidemark.operators.outcomes import outcome_counts
 from tidemark.plans import config, routing
-from tidemark.plans.project import (
-    Binding, change_rows, decode_binding, plan_binding, project,
-)
-from tidemark.sources.tables import KeyedTable
+from tidemark.plans.project import Binding, change_rows, decode_binding, plan_binding, project
+from tidemark.plans.schema import parse_schema
+from tidemark.sources.tables import KeyedTable, delete
 
 
 @dataclass
@@ -34,8 +35,25 @@ class Configuration:
     families: dict[str, dict[str, str]]
 
 
-def planned_bindings(settings: Configuration, binding_ids: list[int]) -> list[Binding]:
-    """Work out the bindings a batch has events for. Reads configuration only."""
+def readable(revisions: list[Row]) -> dict[str, str]:
+    """Schema texts that can be read; events of the others fail one by one."""
+    out = {}
+    for r in revisions:
+        try:
+            parse_schema(r["schema_json"])
+        except (ValueError, KeyError, TypeError):
+            continue
+        out[r["schema_id"]] = r["schema_json"]
+    return out
+
+
+def planned_bindings(
+    settings: Configuration, binding_ids: list[int]
+) -> tuple[list[Binding], dict[int, str]]:
+    """Work out the bindings a batch has events for, and why some cannot be applied.
+
+    Reads only the configuration of those bindings.
+    """
     bindings = settings.bindings.filter(F.col("id").isin(binding_ids)).collect()
     entities = [b["entity_name"] for b in bindings]
     mappings = settings.mappings.filter(F.col("binding_id").isin(binding_ids)).orderBy("id")
@@ -45,27 +63,33 @@ def planned_bindings(settings: Configuration, binding_ids: list[int]) -> list[Bi
     revisions = settings.registry.filter(F.col("record_name").isin(entities)).orderBy(
         "date_created", "id"
     ).collect()
-    planned = []
+    planned, refused = [], {}
     for b in bindings:
-        own = [r for r in revisions if r["record_name"] == b["entity_name"]]
+        own = readable([r for r in revisions if r["record_name"] == b["entity_name"]])
+        if fixed.KEY_MAPPING_FIELD not in maps.get(b["id"], {}):
+            refused[b["id"]] = routing.NO_KEY_MAPPING
+            continue
+        if not own:
+            refused[b["id"]] = routing.NO_SCHEMA
+            continue
         soft = b["soft_delete_enabled"] and (b["soft_delete_column"] or "").strip()
         families = settings.families.get(b["target_table"], {})
         planned.append(plan_binding(
-            b["id"], b["entity_name"], b["target_table"], maps.get(b["id"], {}),
-            {r["schema_id"]: r["schema_json"] for r in own}, own[-1]["schema_id"], families,
-            flag=b["soft_delete_column"] if soft else None,
+            b["id"], b["entity_name"], b["target_table"], maps[b["id"]], own, list(own)[-1],
+            families, flag=b["soft_delete_column"] if soft else None,
             flag_family=families.get(b["soft_delete_column"], "Boolean") if soft else "Boolean",
         ))
-    return planned
+    return planned, refused
 
 
 class ChangeApplier:
     """Applies batches of envelopes to the tables their bindings name.
 
     ``root`` must be on storage the executors share. Under it: ``tables`` holds
-    the folded tables, ``outcomes`` what became of the events of every batch and
-    ``batches`` the routed events and change rows a batch is computed from, kept
-    as files so that a lost executor costs a re-read and not a re-decode.
+    the folded tables, ``outcomes`` counts of what became of the events of every
+    batch, ``quarantine`` the events that were not applied, and ``batches`` the
+    routed events and change rows a batch is computed from, kept as files so that
+    a lost executor costs a re-read and not a re-decode.
     """
 
     def __init__(
@@ -73,14 +97,14 @@ class ChangeApplier:
         spark: SparkSession,
         root: str,
         configuration: Callable[[SparkSession], Configuration],
-        buckets: int = 64,
+        **table_options,
     ):
-        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+        self.spark, self.root, self.table_options = spark, root.rstrip("/"), table_options
         self.configuration = configuration
 
     def table(self, binding: Binding) -> KeyedTable:
         path = f"{self.root}/tables/{binding.table}"
-        return KeyedTable(self.spark, path, binding.fold_spec(), self.buckets)
+        return KeyedTable(self.spark, path, binding.fold_spec(), **self.table_options)
 
     def apply(self, events: DataFrame, batch_id: int) -> None:
         settings = self.configuration(self.spark)
@@ -94,38 +118,44 @@ class ChangeApplier:
         routed = self.spark.read.schema(routed.schema).parquet(f"{work}/routed")
         present = routed.select("binding_id").distinct().collect()
         wanted = [r["binding_id"] for r in present if r["binding_id"] is not None]
-        counts = [
-            outcome_counts(
-                routed.filter(F.col("binding_id").isNull()).select(
-                    F.lit(None).cast("bigint").alias("binding_id"),
-                    F.lit(None).cast("string").alias("change_type"),
-                    F.col("route").alias("outcome"),
-                ),
-                ["binding_id", "change_type", "outcome"],
-            )
-        ]
-        for binding in planned_bindings(settings, wanted):
+        planned, refused = planned_bindings(settings, wanted)
+        reason = F.col("route")
+        for binding_id, why in refused.items():
+            reason = F.when(F.col("binding_id") == binding_id, why).otherwise(reason)
+        applied = [b.binding_id for b in planned]
+        dropped = routed.filter(F.col("binding_id").isNull() | ~F.col("binding_id").isin(applied))
+        judged = [dropped.select(
+            F.col("binding_id").cast("bigint").alias("binding_id"), "event_id", "replay_id",
+            F.lit(None).cast("string").alias("change_type"), reason.alias("outcome"),
+        )]
+        for binding in planned:
             own = routed.filter(F.col("binding_id") == binding.binding_id)
             projected = project(decode_binding(own, binding), binding)
+            # Decoded once; the table and the outcomes are both read from the files.
             staged = f"{work}/changes/binding={binding.binding_id}"
             projected.drop("fields", "compounds").write.mode("overwrite").parquet(staged)
             projected = self.spark.read.parquet(staged)
-            counts.append(
-                outcome_counts(
-                    projected.select(
-                        F.lit(binding.binding_id).cast("bigint").alias("binding_id"),
-                        "change_type", "outcome",
-                    ),
-                    ["binding_id", "change_type", "outcome"],
-                )
-            )
             self.table(binding).apply(change_rows(projected, binding), batch_id)
-        outcomes = counts[0]
-        for more in counts[1:]:
-            outcomes = outcomes.unionByName(more)
-        outcomes.coalesce(1).write.mode("overwrite").parquet(
-            f"{self.root}/outcomes/batch={batch_id}"
+            judged.append(projected.select(
+                F.lit(binding.binding_id).cast("bigint").alias("binding_id"), "event_id",
+                "replay_id", "change_type", "outcome",
+            ))
+        events_judged = reduce(DataFrame.unionByName, judged)
+        counts = outcome_counts(events_judged, ["binding_id", "change_type", "outcome"])
+        counts.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/outcomes/batch={batch_id}")
+        # What was not applied stays listed by event, so that it can be looked into.
+        failed = events_judged.filter(
+            ~F.col("outcome").isin(routing.APPLIED, routing.NO_CHANGE)
         )
+        failed.write.mode("overwrite").parquet(f"{self.root}/quarantine/batch={batch_id}")
+
+    def expire(self, before: int) -> None:
+        """Delete the working files of batches before ``before``; tables keep their own."""
+        for batch_id in range(before):
+            delete(self.spark, f"{self.root}/batches/batch={batch_id}")
+
+    def quarantine(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/quarantine")
 
     def outcomes(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/outcomes")
