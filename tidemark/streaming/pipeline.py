@@ -7,7 +7,7 @@ its own files and a table that already has it is left alone.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -149,9 +149,9 @@ class ChangeApplier:
         )
         failed.write.mode("overwrite").parquet(f"{self.root}/quarantine/batch={batch_id}")
 
-    def expire(self, before: int) -> None:
-        """Delete the working files of batches before ``before``; tables keep their own."""
-        for batch_id in range(before):
+    def expire(self, batches: Iterable[int]) -> None:
+        """Delete the working files of completed batches; tables keep their own."""
+        for batch_id in batches:
             delete(self.spark, f"{self.root}/batches/batch={batch_id}")
 
     def quarantine(self) -> DataFrame:
