@@ -123,7 +123,35 @@ def test_composite_order_and_key(spark):
     assert got == run(changes, COLUMNS)
 
 
-def test_no_window_gathers_the_rows_of_a_key(spark):
-    plan = fold(frame(spark, random_changes(9)), spec(False))._jdf.queryExecution().toString()
-    assert "Window" not in plan and "collect_list" not in plan
-    assert "CartesianProduct" not in plan
+def test_rows_of_a_key_are_reduced_before_they_are_shuffled(spark):
+    """Whatever is shuffled by key alone is partially aggregated, already one row
+    per key, or spread over salts; nothing sorts or collects the rows of a key.
+    """
+    snapshot = spark.createDataFrame([(1, "a", None)], "key bigint, name string, amount double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = fold(frame(spark, random_changes(9)), spec(False), snapshot)
+        lines = plan._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    text = "\n".join(lines)
+    for word in ("Window", "collect_", "CartesianProduct", "BroadcastNestedLoop"):
+        assert word not in text
+    shuffles = [(line, lines[i + 1]) for i, line in enumerate(lines) if "Exchange hash" in line]
+    assert len(shuffles) == 6
+    for shuffle, below in shuffles:
+        salted = "_salt" in shuffle
+        reduced = "partial_" in below
+        of_snapshot = "_old0" in below
+        assert salted or reduced or of_snapshot, (shuffle, below)
+
+
+def test_a_hot_key_reaches_its_task_as_one_row_per_map_task(spark):
+    hot = [{"key": 0, "replay_id": 10_000 + i, "change_type": k, "values": {"name": str(i)} if k != "DELETE" else {}}
+           for i, k in enumerate(["CREATE", "UPDATE", "UPDATE", "DELETE"] * 500)]
+    rows = frame(spark, hot + random_changes(10, 200)).repartition(6)
+    df = fold(rows, spec(False))
+    got = as_table(df)
+    assert got == run(hot + random_changes(10, 200), COLUMNS)
+    node = df._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max" in node

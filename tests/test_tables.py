@@ -16,10 +16,11 @@ def parts(changes, count, seed=0):
     return [changes[lo:hi] for lo, hi in zip([0, *cuts], [*cuts, len(changes)])]
 
 
-@pytest.mark.parametrize("soft, at_least", [(False, 150), (True, 150), (False, 10**9)])
-def test_batches_add_up_with_and_without_compaction(spark, tmp_path, soft, at_least):
+@pytest.mark.parametrize("soft, at_least, small", [
+    (False, 150, 500), (True, 150, 500), (False, 150, 0), (True, 150, 0), (False, 10**9, 500)])
+def test_batches_add_up_with_and_without_compaction(spark, tmp_path, soft, at_least, small):
     changes = random_changes(11)
-    table = KeyedTable(spark, str(tmp_path), spec(soft), share=0.5, at_least=at_least)
+    table = KeyedTable(spark, str(tmp_path), spec(soft), share=0.5, at_least=at_least, small=small)
     assert table.rows() is None and table.version() is None
     for version, part in enumerate(parts(changes, 4)):
         table.apply(frame(spark, part), version)

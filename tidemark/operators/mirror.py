@@ -191,3 +191,27 @@ def set_exclusive_flag_per_group(
     return joined.withColumn(flag, F.col(key) == F.col("_best")).drop("_best").select(
         *dict.fromkeys([*rows.columns, flag])
     )
+
+
+def resync(
+    parents: DataFrame,
+    children: DataFrame,
+    seen_parents: DataFrame,
+    seen_children: DataFrame,
+    key: str,
+    child_key: Sequence[str],
+    parent: str,
+    keep: Sequence[str] = (),
+    stamps: dict[str, Column] | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Make parents and their children equal to a full upstream snapshot.
+
+    Returns the parents with their ``action`` (see ``reconcile``), the children
+    and the number of parents removed. Children of a removed parent go with it.
+    """
+    rows = reconcile(parents, seen_parents, [key], keep, stamps)
+    # Every parent is either in the snapshot or removed, so all of them are replaced.
+    owners = rows.select(F.col(key).alias(parent))
+    owned = replace_children(children, seen_children, owners, child_key, parent, keep, stamps)
+    gone = rows.filter(F.col("action") == "deleted").select(key)
+    return rows, cascade_children(owned, gone, parent, key), removed_count(rows)

@@ -133,7 +133,7 @@ def check_mappings(
         "binding_id", F.lower("column_name").alias("_column"), "data_type", "max_length", "is_unique"
     )
     is_key = F.col("source_field") == fixed.KEY_MAPPING_FIELD
-    family = column_family(F.col("data_type"), dialect)
+    family = F.col("_family")
     verdict = (
         F.when(F.col("data_type").isNull(), _verdict("Blocker", "no such column"))
         .when(is_key, key_fit(family, F.col("max_length"), F.col("is_unique")))
@@ -145,6 +145,7 @@ def check_mappings(
         .withColumn("_column", F.lower("target_column"))
         .join(of_column, ["binding_id", "_column"], "left")
         .join(of_field, ["binding_id", "_field"], "left")
+        .withColumn("_family", column_family(F.col("data_type"), dialect))
         .select("binding_id", "source_field", "target_column", verdict.alias("_v"))
         .select("binding_id", "source_field", "target_column", "_v.level", "_v.reason")
     )

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.fold import LAST_ORDER, LIVE, SET_SUFFIX, FoldSpec, fold
+from tidemark.sizing import SMALL_ROWS, is_small
 
 MANIFEST = """version bigint, base bigint, base_rows bigint, changes array<bigint>,
     change_rows bigint"""
@@ -26,7 +27,8 @@ class KeyedTable:
 
     ``share`` is how large the pending change rows may grow beside the base, and
     ``at_least`` how many there must be, before they are folded into it. A change
-    older than what the base has absorbed for its key is ignored.
+    older than what the base has absorbed for its key is ignored. With at most
+    ``small`` changed keys the base is not shuffled to be read.
     """
 
     def __init__(
@@ -36,9 +38,10 @@ class KeyedTable:
         spec: FoldSpec,
         share: float = 0.5,
         at_least: int = 1_000_000,
+        small: int = SMALL_ROWS,
     ):
         self.spark, self.path, self.spec = spark, path.rstrip("/"), spec
-        self.share, self.at_least = share, at_least
+        self.share, self.at_least, self.small = share, at_least, small
 
     def _manifests(self) -> DataFrame | None:
         try:
@@ -81,7 +84,16 @@ class KeyedTable:
             base = _with_columns(base, self.spec.columns, pending)
         if pending is None:
             return base
-        return fold(pending, self.spec, base, track=True)
+        if base is None:
+            return fold(pending, self.spec, track=True)
+        keys = pending.select(*self.spec.key).distinct()
+        if not is_small(keys, self.small):
+            return fold(pending, self.spec, base, track=True)
+        # Few keys changed: the rest of the base passes by without a shuffle.
+        key = list(self.spec.key)
+        touched = base.join(F.broadcast(keys), key, "left_semi")
+        folded = fold(pending, self.spec, touched, track=True)
+        return folded.unionByName(base.join(F.broadcast(keys), key, "left_anti"))
 
     def rows(self) -> DataFrame | None:
         """The table as its readers see it."""

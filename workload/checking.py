@@ -66,9 +66,12 @@ classed AS (SELECT *, {CLASS_SQL} AS class, {feeds.FAMILY_SQL} AS family, {LONGE
 
 
 def fit_counts(spark, sf, dialect):
+    # The verdict depends on declared types alone: count first, judge the few combinations.
+    combinations = declared(spark, sf).groupBy("field_type", "data_type", "max_length").agg(
+        F.count("*").alias("n"))
     verdict = q.fit(F.col("field_type"), column_family(F.col("data_type")), F.col("max_length"), dialect)
-    return declared(spark, sf).select("field_type", "data_type", verdict.alias("v")).groupBy(
-        "field_type", "data_type", F.col("v.level").alias("level")).agg(F.count("*").alias("n"))
+    judged = combinations.withColumn("level", verdict["level"])
+    return judged.groupBy("field_type", "data_type", "level").agg(F.sum("n").alias("n"))
 
 
 @query("fit_matrix", f"""WITH {DECLARED_SQL}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import catalog, outcomes
 from tidemark.plans import config, routing
+from tidemark.sizing import broadcast_if_small
 from workload import feeds
 from workload.feeds import table
 from workload.registry import query
@@ -187,7 +188,7 @@ FROM judged GROUP BY 1, 2""")
 def dispatch(spark, sf):
     soft = routing.marks_deleted(F.col("soft_delete_enabled"), F.col("soft_delete_column"))
     known = feeds.bindings(spark, sf).select(F.col("id").alias("binding_id"), soft.alias("soft"))
-    judged = routed(spark, sf).join(known, "binding_id").withColumn("kind", F.expr(KIND_OF))
+    judged = routed(spark, sf).join(broadcast_if_small(known), "binding_id").withColumn("kind", F.expr(KIND_OF))
     kind = F.col("kind")
     return outcomes.outcome_counts(
         judged.select(routing.effective_kind(kind, F.col("soft")).alias("effect"),

@@ -98,9 +98,11 @@ def snapshot_diff(spark, sf):
 
 
 @query("not_in", """
-SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+SELECT c_custkey, c_name FROM customer
+WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)""")
 def not_in(spark, sf):
-    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    orders = table(spark, sf, "orders").filter("o_totalprice > 400000").select(
+        F.col("o_custkey").alias("c_custkey"))
     return table(spark, sf, "customer").join(orders, "c_custkey", "left_anti").select(
         "c_custkey", "c_name")
 
@@ -125,11 +127,11 @@ def keep_only(spark, sf):
         "c_custkey", "c_name")
 
 
-@query("keep_none", "SELECT c_custkey, c_name FROM customer WHERE c_custkey < 0")
+@query("keep_none", "SELECT count(*) AS kept FROM customer WHERE c_custkey < 0")
 def keep_none(spark, sf):
     nobody = table(spark, sf, "customer").filter("c_custkey < 0")
-    return mirror.keep_only(table(spark, sf, "customer"), nobody, ["c_custkey"]).select(
-        "c_custkey", "c_name")
+    kept = mirror.keep_only(table(spark, sf, "customer"), nobody, ["c_custkey"])
+    return kept.agg(F.count("*").alias("kept"))
 
 
 # Orders as children of customers; customers of some nations are replaced.
@@ -236,3 +238,41 @@ def exclusive_flag_per_group(spark, sf):
     return mirror.set_exclusive_flag_per_group(
         rows, "c_nationkey", "c_custkey", "is_primary", F.struct("c_acctbal", "c_custkey")
     ).select("c_custkey", "is_primary")
+
+
+# Customers and their orders against what the line items and one half of the nations say.
+
+
+def resynced(spark, sf):
+    customers = table(spark, sf, "customer")
+    parents = customers.selectExpr("c_custkey AS id", "c_name AS label", "c_acctbal AS amount")
+    seen = customers.filter("c_nationkey < 15").selectExpr(
+        "c_custkey AS id", "c_name AS label", "CASE WHEN c_nationkey < 5 THEN 0D ELSE c_acctbal END AS amount")
+    lines = table(spark, sf, "lineitem").filter("l_returnflag = 'A'").groupBy("l_orderkey").agg(
+        F.max("l_extendedprice").alias("amount"))
+    owners = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    seen_children = lines.join(owners, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(
+        "o_orderkey AS id", "o_custkey AS parent", "amount", "'seen' AS note")
+    return mirror.resync(parents, children(spark, sf), seen, seen_children, "id", ["id"], "parent",
+                         keep=["note"])
+
+
+@query("resync_parents", """
+SELECT c_custkey AS id, c_name AS label, CASE WHEN c_nationkey < 5 THEN 0 ELSE c_acctbal END AS amount,
+  CASE WHEN c_nationkey >= 15 THEN 'deleted' WHEN c_nationkey < 5 AND c_acctbal <> 0 THEN 'updated'
+    ELSE 'unchanged' END AS action FROM customer""")
+def resync_parents(spark, sf):
+    return resynced(spark, sf)[0]
+
+
+@query("resync_children", """
+SELECT o_orderkey AS id, o_custkey AS parent, amount, o_orderpriority AS note
+FROM (SELECT l_orderkey, max(l_extendedprice) AS amount FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1)
+JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_nationkey < 15""")
+def resync_children(spark, sf):
+    return resynced(spark, sf)[1]
+
+
+@query("resync_removed", "SELECT count(*) AS removed FROM customer WHERE c_nationkey >= 15")
+def resync_removed(spark, sf):
+    return resynced(spark, sf)[2]

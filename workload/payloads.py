@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import outcomes
 from tidemark.operators.fold import fold
 from tidemark.plans import project as p
+from tidemark.plans.schema import flatten_structs
 from tidemark.session import run_folder, staged
 from tidemark.sources import envelope
 from tidemark.sources.avro import decode_payloads
@@ -357,3 +358,15 @@ FROM orders GROUP BY 2""")
 def stream_outcomes(spark, sf):
     applier = apply_stream(spark, sf, "stream-outcomes")
     return applier.outcomes().select("binding_id", "change_type", "outcome", "events")
+
+
+@query("flatten_compounds", f"""
+SELECT o_orderkey AS "Id", {STATUS} AS "Status", 'st' || o_orderkey AS "HomeStreet",
+  o_totalprice / 1000 AS "HomeLatitude" FROM orders""")
+def flatten_compounds(spark, sf):
+    home = F.struct(F.concat(F.lit("st"), "o_orderkey").alias("Street"),
+                    (F.col("o_totalprice") / 1000).alias("Latitude"))
+    header = F.struct(F.col("o_orderkey").alias("sequenceNumber"))
+    return flatten_structs(table(spark, sf, "orders").select(
+        header.alias("ChangeEventHeader"), F.col("o_orderkey").alias("Id"),
+        F.expr(STATUS).alias("Status"), home.alias("Home")))

@@ -37,10 +37,10 @@ def bitmap_wide(spark, sf):
     rows = table(spark, sf, "events").select("event_id", F.concat(
         F.lit("0x"), F.lpad(F.hex(F.col("user_id") % 255 + 1), 2, "0"), F.lit("00000000"),
         F.lpad(F.hex(F.expr(MIX)), 8, "0")).alias("entry"))
-    found = bitmap.positions(F.col("entry"))
+    rows = rows.withColumn("found", bitmap.positions(F.col("entry")))
 
     def total(keep):
-        kept = F.filter(found, keep)
+        kept = F.filter("found", keep)
         add = F.aggregate(kept, F.lit(0).cast("bigint"), lambda a, b: a + b)
         return F.when(F.size(kept) > 0, add)
 
