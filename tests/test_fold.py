@@ -112,6 +112,25 @@ def test_created_row_takes_defaults_until_written(spark):
     }
 
 
+def test_field_mapped_to_the_flag_column(spark):
+    """Marks and written values meet in one column; the later of them holds."""
+    def change(key, order, kind, value="unset"):
+        return (key, order, kind, None if value == "unset" else value, value != "unset")
+
+    rows = spark.createDataFrame([
+        change(1, 1, "CREATE", False), change(1, 2, "DELETE"), change(1, 3, "UPDATE", False),
+        change(2, 1, "CREATE", True), change(2, 2, "UNDELETE"),
+        change(3, 1, "CREATE", False), change(3, 2, "UPDATE", None), change(3, 3, "DELETE"),
+        change(4, 1, "DELETE"), change(4, 2, "CREATE", False),
+    ], "key int, replay_id int, change_type string, gone boolean, gone__set boolean")
+    both = FoldSpec(key=("key",), columns=("gone",), flag="gone")
+    want = {1: {"gone": False}, 2: {"gone": False}, 3: {"gone": True}, 4: {"gone": False}}
+    assert as_table(fold(rows, both)) == want
+    early = fold(rows.filter("replay_id < 2"), both, track=True)
+    later = fold(rows.filter("replay_id >= 2"), both, early)
+    assert as_table(later) == want
+
+
 def test_composite_order_and_key(spark):
     changes = random_changes(8)
     rows = frame(spark, changes).selectExpr(

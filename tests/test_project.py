@@ -3,6 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators.fold import fold
 from tidemark.plans import project as p
 from tidemark.plans.schema import flatten_structs, parse_schema
 from workload.encode import ADDRESS, event, event_schema, optional
@@ -34,7 +35,7 @@ def projected(spark, events, chosen, **options):
 
 
 def written(row, chosen):
-    return {c: row[c] for c in chosen.columns if row[c + "__set"]}
+    return {c: row["target"][c] for c in chosen.columns if row["written"][c]}
 
 
 def run(spark, events, **options):
@@ -95,7 +96,7 @@ def test_outcomes(spark):
     outcomes = [o for o, _ in run(spark, events)]
     assert outcomes == ["bad header", "unsupported type", "unknown type", "undelete skipped",
                         "applied", "bad payload"]
-    assert [o for o, _ in run(spark, events, flag="gone")][3] == "applied"
+    assert [o for o, _ in run(spark, events, flag="is_deleted")][3] == "applied"
 
 
 def test_record_ids(spark):
@@ -105,7 +106,7 @@ def test_record_ids(spark):
         event(NODE, ["a", "b", "a"], "UPDATE", ["Phone"], values=VALUES),
         event(NODE, ["c", "d"], "DELETE"),
     ], chosen)
-    got = sorted((r["replay_id"], r["sf_id"]) for r in p.change_rows(rows, chosen).collect())
+    got = sorted((r[p.ORDER], r["sf_id"]) for r in p.change_rows(rows, chosen).collect())
     assert got == [(1, "a"), (2, "a"), (2, "b"), (3, "c"), (3, "d")]
 
 
@@ -116,7 +117,7 @@ def test_two_fields_for_one_column_last_written_wins(spark):
         event(NODE, ["a"], "CREATE", values={"Phone": "p", "Name": {"LastName": "l"}}),
         event(NODE, ["a"], "CREATE", values={"Phone": "p"}),
     ], chosen).orderBy("replay_id").collect()
-    assert [r["text"] for r in rows] == ["l", "p"]
+    assert [r["target"]["text"] for r in rows] == ["l", "p"]
 
 
 def test_handlers_and_converters_can_be_replaced(spark):
@@ -142,6 +143,23 @@ def test_a_key_mapping_is_required():
         p.plan_binding(1, "E", "t", {"Phone": "phone"}, {"S": SCHEMA}, "S")
 
 
+def test_target_columns_may_have_any_name(spark):
+    mappings = {"MappedSFKey": "header", "Phone": "replay_id", "AnnualRevenue": "change_type",
+                "Born": "schema_id"}
+    chosen = p.plan_binding(1, "E", "t", mappings, {"S": SCHEMA}, "S")
+    rows = projected(spark, [
+        event(NODE, ["a"], "CREATE", values=VALUES),
+        event(NODE, ["a"], "UPDATE", ["Phone"], values={"Phone": "2"})], chosen)
+    got = fold(p.change_rows(rows, chosen), chosen.fold_spec()).first().asDict()
+    assert got == {"header": "a", "replay_id": "2", "change_type": 2.5,
+                   "schema_id": datetime.datetime(1970, 1, 1)}
+
+
+def test_key_column_cannot_carry_a_field():
+    with pytest.raises(ValueError, match="key column"):
+        p.plan_binding(1, "E", "t", {"MappedSFKey": "id", "Phone": "id"}, {"S": SCHEMA}, "S")
+
+
 def test_flatten_structs(spark):
     rows = spark.sql("""SELECT struct(1 AS a) AS ChangeEventHeader, 'n' AS Name,
         struct('s' AS Street, 1.5D AS Latitude) AS Home""")

@@ -217,8 +217,13 @@ def _result(
         if has_state:
             base = F.when(kept, F.col(f"_old{i}")).otherwise(base)
         value = F.when(applies(F.col(f"_last{i}._ord")), F.col(f"_last{i}.new")).otherwise(base)
+        if c == spec.flag:
+            # A field mapped to the flag column and the marks: the later one holds.
+            at, written = F.col("_mark_at"), F.col(f"_last{i}._ord")
+            later = applies(at) & F.coalesce(at > written, F.lit(True))
+            value = F.when(later, flag_value(F.col("_mark"), spec.flag_family)).otherwise(value)
         out.append(F.when(live, value).alias(c))
-    if spec.soft:
+    if spec.soft and spec.flag not in spec.columns:
         mark = F.when(applies(F.col("_mark_at")), flag_value(F.col("_mark"), spec.flag_family))
         if has_state:
             mark = F.when(mark.isNull() & kept, F.col("_old_flag")).otherwise(mark)

@@ -17,6 +17,10 @@ from tidemark.plans.schema import EntityField, Node, entity_fields, field_layout
 from tidemark.sources.avro import decode_payloads
 
 
+# Columns of change rows beside those of the target table, which may have any name.
+ORDER, KIND = "__replay_id", "__change_type"
+
+
 @dataclass(frozen=True)
 class MappedField:
     """A source field, the column it goes to and what is known about both."""
@@ -48,8 +52,8 @@ class Binding:
         return tuple(dict.fromkeys(f.target for f in self.fields))
 
     def fold_spec(self) -> FoldSpec:
-        return FoldSpec(key=(self.key_column,), columns=self.columns, flag=self.flag,
-                        flag_family=self.flag_family)
+        return FoldSpec(key=(self.key_column,), columns=self.columns, order=(ORDER,), kind=KIND,
+                        flag=self.flag, flag_family=self.flag_family)
 
 
 def plan_binding(
@@ -65,10 +69,14 @@ def plan_binding(
     """Work out a binding from its mappings and schema texts.
 
     Types are those of the ``newest`` revision; a field only older ones have is
-    typed by them. A binding without a key mapping cannot be applied.
+    typed by them. A binding without a key mapping cannot be applied, nor one that
+    maps a field to the column of the record id.
     """
     if fixed.KEY_MAPPING_FIELD not in mappings:
         raise ValueError(f"binding {binding_id} has no key mapping")
+    key_column = mappings[fixed.KEY_MAPPING_FIELD]
+    if any(t == key_column for s, t in mappings.items() if s != fixed.KEY_MAPPING_FIELD):
+        raise ValueError(f"binding {binding_id} maps a field to the key column {key_column}")
     known: dict[str, EntityField] = {}
     for schema_id in sorted(revisions, key=lambda s: s == newest):
         known.update({f.name: f for f in entity_fields(parse_schema(revisions[schema_id]))})
@@ -148,14 +156,16 @@ def event_outcome(soft: bool) -> Column:
 def project(
     decoded: DataFrame, binding: Binding, handlers: dict[str, FieldHandler] | None = None
 ) -> DataFrame:
-    """Decoded events with target columns, their ``__set`` flags and ``outcome``."""
+    """Decoded events with ``target`` and ``written``, structs of the target columns'
+    new values and of whether the event writes them, and their ``outcome``.
+    """
     handlers = DEFAULT_HANDLERS if handlers is None else handlers
     schemas = {i: parse_schema(text) for i, text in binding.revisions.items()}
     kind = F.col("header.changeType")
     by_target: dict[str, list[FieldAccess]] = {}
     for mapped in binding.fields:
         by_target.setdefault(mapped.target, []).append(FieldAccess(binding, mapped, schemas))
-    columns = {}
+    values, flags = [], []
     for target, accesses in by_target.items():
         value, written = None, None
         for change_type, handler in handlers.items():
@@ -166,15 +176,16 @@ def project(
                 w = here & F.coalesce(w, F.lit(False))
                 value = F.when(w, v) if value is None else value.when(w, v)
                 written = w if written is None else written | w
-        columns[target] = value
-        columns[target + SET_SUFFIX] = written
+        values.append(value.alias(target))
+        flags.append(F.coalesce(written, F.lit(False)).alias(target))
     parsed = decoded.withColumn(ENTRIES, bitmap.parsed_entries(F.col("header.changedFields")))
     out = parsed.withColumns({
-        **columns, "change_type": kind, "outcome": event_outcome(binding.flag is not None)
+        **({"target": F.struct(*values), "written": F.struct(*flags)} if values else {}),
+        "outcome": event_outcome(binding.flag is not None),
     })
     touched = F.lit(False)
     for target in by_target:
-        touched = touched | F.col(target + SET_SUFFIX)
+        touched = touched | F.col("written")[target]
     empty = (F.col("outcome") == routing.APPLIED) & (kind == "UPDATE") & ~touched
     outcome = F.when(empty, routing.NO_CHANGE).otherwise(F.col("outcome"))
     return out.drop(ENTRIES).withColumn("outcome", outcome)
@@ -187,13 +198,13 @@ def applied_ids(ids: Column, kind: Column) -> Column:
 
 def change_rows(projected: DataFrame, binding: Binding) -> DataFrame:
     """One change row per record id of every applied event."""
-    ids = applied_ids(F.col("header.recordIds"), F.col("change_type"))
+    ids = applied_ids(F.col("header.recordIds"), F.col("header.changeType"))
     return projected.filter(F.col("outcome") == routing.APPLIED).select(
         F.explode(ids).alias(binding.key_column),
-        "replay_id",
-        "change_type",
-        *binding.columns,
-        *[c + SET_SUFFIX for c in binding.columns],
+        F.col("replay_id").alias(ORDER),
+        F.col("header.changeType").alias(KIND),
+        *[F.col("target")[c].alias(c) for c in binding.columns],
+        *[F.col("written")[c].alias(c + SET_SUFFIX) for c in binding.columns],
     )
 
 

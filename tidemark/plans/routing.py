@@ -22,6 +22,7 @@ BAD_BITMAP = "bad bitmap"
 UNDELETE_SKIPPED = "undelete skipped"
 NO_CHANGE = "no change"
 NO_KEY_MAPPING = "no key mapping"
+BAD_MAPPING = "bad mapping"
 
 
 def route(events: DataFrame, plan: DataFrame, registry: DataFrame, bindings: DataFrame) -> DataFrame:

@@ -28,7 +28,9 @@ class KeyedTable:
     ``share`` is how large the pending change rows may grow beside the base, and
     ``at_least`` how many there must be, before they are folded into it. A change
     older than what the base has absorbed for its key is ignored. With at most
-    ``small`` changed keys the base is not shuffled to be read.
+    ``small`` changed keys the base is not shuffled to be read. Files of versions
+    before the last ``keep`` are deleted now and then, so a reader may take as long
+    as that many batches.
     """
 
     def __init__(
@@ -39,9 +41,10 @@ class KeyedTable:
         share: float = 0.5,
         at_least: int = 1_000_000,
         small: int = SMALL_ROWS,
+        keep: int = 10,
     ):
         self.spark, self.path, self.spec = spark, path.rstrip("/"), spec
-        self.share, self.at_least, self.small = share, at_least, small
+        self.share, self.at_least, self.small, self.keep = share, at_least, small, keep
 
     def _manifests(self) -> DataFrame | None:
         try:
@@ -107,9 +110,8 @@ class KeyedTable:
             return
         target = f"{self.path}/changes/version={version}"
         sets = [c + SET_SUFFIX for c in self.spec.columns]
-        changes.select(
-            *self.spec.key, *self.spec.order, self.spec.kind, *self.spec.columns, *sets
-        ).write.mode("overwrite").parquet(target)
+        wanted = [*self.spec.key, *self.spec.order, self.spec.kind, *self.spec.columns, *sets]
+        changes.select(*dict.fromkeys(wanted)).write.mode("overwrite").parquet(target)
         # Counted from the file footers.
         arrived = self.spark.read.parquet(target).count()
         before = manifest.asDict() if manifest is not None else {
@@ -122,6 +124,8 @@ class KeyedTable:
         if after["change_rows"] > max(self.at_least, self.share * after["base_rows"]):
             after = self._compacted(after)
         self._commit(after)
+        if version % (2 * self.keep) == 0:
+            self.expire(self.keep)
 
     def _compacted(self, manifest: dict, keep: Column | None = None) -> dict:
         folded = self._folded(Row(**manifest))
@@ -148,7 +152,7 @@ class KeyedTable:
         after = {**manifest.asDict(), "version": version}
         self._commit(self._compacted(after, F.col(LIVE) | (F.col(LAST_ORDER) >= before)))
 
-    def expire(self, keep: int = 2) -> None:
+    def expire(self, keep: int) -> None:
         """Delete files that none of the newest ``keep`` manifests refers to."""
         manifests = self._manifests()
         if manifests is None:

@@ -7,7 +7,7 @@ its own files and a table that already has it is left alone.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -74,11 +74,14 @@ def planned_bindings(
             continue
         soft = b["soft_delete_enabled"] and (b["soft_delete_column"] or "").strip()
         families = settings.families.get(b["target_table"], {})
-        planned.append(plan_binding(
-            b["id"], b["entity_name"], b["target_table"], maps[b["id"]], own, list(own)[-1],
-            families, flag=b["soft_delete_column"] if soft else None,
-            flag_family=families.get(b["soft_delete_column"], "Boolean") if soft else "Boolean",
-        ))
+        try:
+            planned.append(plan_binding(
+                b["id"], b["entity_name"], b["target_table"], maps[b["id"]], own, list(own)[-1],
+                families, flag=b["soft_delete_column"] if soft else None,
+                flag_family=families.get(b["soft_delete_column"], "Boolean") if soft else "Boolean",
+            ))
+        except ValueError:
+            refused[b["id"]] = routing.BAD_MAPPING
     return planned, refused
 
 
@@ -89,7 +92,7 @@ class ChangeApplier:
     the folded tables, ``outcomes`` counts of what became of the events of every
     batch, ``quarantine`` the events that were not applied, and ``batches`` the
     routed events and change rows a batch is computed from, kept as files so that
-    a lost executor costs a re-read and not a re-decode.
+    a lost executor costs a re-read and not a re-decode, for ``keep`` batches.
     """
 
     def __init__(
@@ -97,9 +100,11 @@ class ChangeApplier:
         spark: SparkSession,
         root: str,
         configuration: Callable[[SparkSession], Configuration],
+        keep: int = 10,
         **table_options,
     ):
         self.spark, self.root, self.table_options = spark, root.rstrip("/"), table_options
+        self.keep = keep
         self.configuration = configuration
 
     def table(self, binding: Binding) -> KeyedTable:
@@ -138,7 +143,7 @@ class ChangeApplier:
             self.table(binding).apply(change_rows(projected, binding), batch_id)
             judged.append(projected.select(
                 F.lit(binding.binding_id).cast("bigint").alias("binding_id"), "event_id",
-                "replay_id", "change_type", "outcome",
+                "replay_id", F.col("header.changeType").alias("change_type"), "outcome",
             ))
         events_judged = reduce(DataFrame.unionByName, judged)
         counts = outcome_counts(events_judged, ["binding_id", "change_type", "outcome"])
@@ -148,11 +153,8 @@ class ChangeApplier:
             ~F.col("outcome").isin(routing.APPLIED, routing.NO_CHANGE)
         )
         failed.write.mode("overwrite").parquet(f"{self.root}/quarantine/batch={batch_id}")
-
-    def expire(self, batches: Iterable[int]) -> None:
-        """Delete the working files of completed batches; tables keep their own."""
-        for batch_id in batches:
-            delete(self.spark, f"{self.root}/batches/batch={batch_id}")
+        # Working files of a batch long completed; the tables keep their own.
+        delete(self.spark, f"{self.root}/batches/batch={batch_id - self.keep}")
 
     def quarantine(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/quarantine")

@@ -134,7 +134,7 @@ def event_changes(spark, sf):
     rows, chosen = projected(spark, sf)
     changes = p.change_rows(rows, chosen)
     out = changes.select(
-        "record_id", "replay_id", "change_type",
+        "record_id", F.col(p.ORDER).alias("replay_id"), F.col(p.KIND).alias("change_type"),
         *[F.when(F.col(c + "__set"), F.col(c)).alias(c) for c in COLUMNS],
         *[F.col(c + "__set").alias(c + "_set") for c in COLUMNS])
     return plain(out)
@@ -159,9 +159,9 @@ SELECT 'e' || o_orderkey AS event_id, o_orderstatus = 'O' AS street_set, o_order
 FROM orders WHERE {KIND} = 'UPDATE'""")
 def null_compound_children(spark, sf):
     rows, _ = projected(spark, sf, null_compound="null_children")
-    return rows.filter("change_type = 'UPDATE'").select(
-        "event_id", F.col("street__set").alias("street_set"),
-        F.col("latitude__set").alias("latitude_set"))
+    return rows.filter("header.changeType = 'UPDATE'").select(
+        "event_id", F.col("written.street").alias("street_set"),
+        F.col("written.latitude").alias("latitude_set"))
 
 
 def oddly_typed(spark, sf):
