@@ -166,8 +166,9 @@ def test_rows_of_a_key_are_reduced_before_they_are_shuffled(spark):
 
 
 def test_a_hot_key_reaches_its_task_as_one_row_per_map_task(spark):
-    hot = [{"key": 0, "replay_id": 10_000 + i, "change_type": k, "values": {"name": str(i)} if k != "DELETE" else {}}
-           for i, k in enumerate(["CREATE", "UPDATE", "UPDATE", "DELETE"] * 500)]
+    kinds = ["CREATE", "UPDATE", "UPDATE", "DELETE"] * 500
+    hot = [{"key": 0, "replay_id": 10_000 + i, "change_type": k,
+            "values": {"name": str(i)} if k != "DELETE" else {}} for i, k in enumerate(kinds)]
     rows = frame(spark, hot + random_changes(10, 200)).repartition(6)
     df = fold(rows, spec(False))
     got = as_table(df)

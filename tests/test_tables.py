@@ -67,10 +67,14 @@ def test_replayed_create_does_not_bring_a_deleted_key_back(spark, tmp_path):
     table.apply(frame(spark, [create]), 1)
     assert table.rows().count() == 0
     assert [(r["key"], r["live"]) for r in table.tracked().collect()] == [(1, False)]
-    table.forget_deleted(F.lit(10), 2)
-    assert table.tracked().count() == 0
+    table.forget_deleted(F.lit(10))
+    table.forget_deleted(F.lit(10))
+    assert table.tracked().count() == 0 and table.version() == 1
+    # the next batch is not mistaken for one that was done already
     later = {**create, "replay_id": 11}
-    table.apply(frame(spark, [later]), 3)
+    table.apply(frame(spark, [later]), 2)
+    assert table.rows().count() == 1
+    table.expire(keep=1)
     assert table.rows().count() == 1
 
 
@@ -91,7 +95,7 @@ def test_expire_keeps_what_readers_need(spark, tmp_path):
         table.apply(frame(spark, part), version)
     table.expire(keep=1)
     assert as_table(table.rows()) == run(changes, COLUMNS)
-    assert len([d for d in os.listdir(tmp_path / "manifest") if d.startswith("version")]) == 1
+    assert len(list((tmp_path / "manifest").glob("version=*/step=*"))) == 1
     listed = len([d for d in os.listdir(tmp_path / "changes") if d.startswith("version")])
     assert listed == len(table._newest()["changes"])
 

@@ -256,7 +256,7 @@ def text_overflow(rows: DataFrame, limits: dict[str, int]) -> DataFrame:
     measures = []
     for c, limit in limits.items():
         length = F.length(c)
-        measures += [F.count_if(length > limit).alias(f"{c}_over"), F.max(length).alias(f"{c}_max")]
+        measures += [F.count_if(length > limit).alias(f"{c}_over"), F.max(length).cast("bigint").alias(f"{c}_max")]
     return rows.agg(*measures)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from tidemark.operators.fold import LAST_ORDER, LIVE, SET_SUFFIX, FoldSpec, fold
 from tidemark.sizing import SMALL_ROWS, is_small
 
-MANIFEST = """version bigint, base bigint, base_rows bigint, changes array<bigint>,
+MANIFEST = """version bigint, step int, base string, base_rows bigint, changes array<bigint>,
     change_rows bigint"""
 
 
@@ -58,7 +58,7 @@ class KeyedTable:
         manifests = self._manifests()
         if manifests is None:
             return None
-        newest = F.max_by(F.struct(*manifests.columns), "version").alias("m")
+        newest = F.max_by(F.struct(*manifests.columns), F.struct("version", "step")).alias("m")
         return manifests.agg(newest).first()["m"]
 
     def version(self) -> int | None:
@@ -69,7 +69,7 @@ class KeyedTable:
     def _base(self, manifest: Row) -> DataFrame | None:
         if manifest["base"] is None:
             return None
-        return self.spark.read.parquet(f"{self.path}/base/version={manifest['base']}")
+        return self.spark.read.parquet(f"{self.path}/base/{manifest['base']}")
 
     def _pending(self, manifest: Row) -> DataFrame | None:
         paths = [f"{self.path}/changes/version={v}" for v in manifest["changes"]]
@@ -117,7 +117,7 @@ class KeyedTable:
         before = manifest.asDict() if manifest is not None else {
             "base": None, "base_rows": 0, "changes": [], "change_rows": 0}
         after = {
-            **before, "version": version,
+            **before, "version": version, "step": 0,
             "changes": [*before["changes"], version] if arrived else before["changes"],
             "change_rows": before["change_rows"] + arrived,
         }
@@ -131,25 +131,27 @@ class KeyedTable:
         folded = self._folded(Row(**manifest))
         if folded is None:
             return manifest
-        target = f"{self.path}/base/version={manifest['version']}"
+        base = f"{manifest['version']}-{manifest['step']}"
+        target = f"{self.path}/base/{base}"
         (folded if keep is None else folded.filter(keep)).write.mode("overwrite").parquet(target)
         rows = self.spark.read.parquet(target).count()
-        return {**manifest, "base": manifest["version"], "base_rows": rows, "changes": [],
-                "change_rows": 0}
+        return {**manifest, "base": base, "base_rows": rows, "changes": [], "change_rows": 0}
 
     def _commit(self, manifest: dict) -> None:
         row = self.spark.createDataFrame([manifest], MANIFEST)
-        target = f"{self.path}/manifest/version={manifest['version']}"
-        row.drop("version").coalesce(1).write.mode("overwrite").parquet(target)
+        target = f"{self.path}/manifest/version={manifest['version']}/step={manifest['step']}"
+        row.drop("version", "step").coalesce(1).write.mode("overwrite").parquet(target)
 
-    def forget_deleted(self, before: Column, version: int) -> None:
+    def forget_deleted(self, before: Column) -> None:
         """Fold everything and drop the marks of keys deleted before an order that no
-        change still to come can precede.
+        change still to come can precede. Call it between batches.
+
+        The table stays at its version, which numbers batches, and takes a further step.
         """
         manifest = self._newest()
-        if manifest is None or manifest["version"] >= version:
+        if manifest is None:
             return
-        after = {**manifest.asDict(), "version": version}
+        after = {**manifest.asDict(), "step": manifest["step"] + 1}
         self._commit(self._compacted(after, F.col(LIVE) | (F.col(LAST_ORDER) >= before)))
 
     def expire(self, keep: int) -> None:
@@ -157,14 +159,15 @@ class KeyedTable:
         manifests = self._manifests()
         if manifests is None:
             return
-        listed = sorted(manifests.collect(), key=lambda m: m["version"])
+        listed = sorted(manifests.collect(), key=lambda m: (m["version"], m["step"]))
         kept, gone = listed[-keep:], listed[:-keep]
         bases = {m["base"] for m in kept}
         changes = {v for m in kept for v in m["changes"]}
         for m in gone:
-            delete(self.spark, f"{self.path}/manifest/version={m['version']}")
-        for v in {m["base"] for m in gone} - bases - {None}:
-            delete(self.spark, f"{self.path}/base/version={v}")
+            step = f"version={m['version']}/step={m['step']}"
+            delete(self.spark, f"{self.path}/manifest/{step}")
+        for base in {m["base"] for m in gone} - bases - {None}:
+            delete(self.spark, f"{self.path}/base/{base}")
         for v in {v for m in gone for v in [*m["changes"], m["version"]]} - changes:
             delete(self.spark, f"{self.path}/changes/version={v}")
 

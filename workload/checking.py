@@ -118,7 +118,7 @@ def fraction_loss(spark, sf):
 
 
 @query("null_required", """
-SELECT count(*) FILTER (WHERE l_tax = 0) AS tax_missing, 0 AS price_missing FROM lineitem""")
+SELECT count(*) FILTER (WHERE l_tax = 0) AS tax_missing, CAST(0 AS BIGINT) AS price_missing FROM lineitem""")
 def null_required(spark, sf):
     rows = table(spark, sf, "lineitem").selectExpr(
         "nullif(l_tax, 0) AS tax", "l_extendedprice AS price")

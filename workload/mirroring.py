@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import mirror
-from workload import feeds
 from workload.feeds import table
 from workload.registry import query
 
