@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm import exact as op4
 from tidemark.llm import token_files as op9
+from tidemark.llm import warc as op8
 from tidemark.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +26,42 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+EXACT_SQL = """
+WITH t AS (
+    SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                    'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
+    FROM documents)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, text_sha256
+FROM t WINDOW same AS (PARTITION BY text_sha256)
+"""
+
+
+@query("op4_exact_dedup", EXACT_SQL)
+def exact_dedup(spark, sf_dir):
+    return op4.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+WARC_SQL = """
+WITH p AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+           sha256(coalesce(html, '')) AS payload_digest
+    FROM pages),
+f AS (
+    SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id
+            THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+
+@query("op8_warc", WARC_SQL)
+def warc(spark, sf_dir):
+    return op8.archives(table(spark, sf_dir, "pages"))
+
+
 @query("op9_token_files")
 def token_files(spark, sf_dir):
     return op9.token_files(table(spark, sf_dir, "documents"),
