@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import exact as op4
+from tidemark.llm import mixing as op10
 from tidemark.llm import token_files as op9
 from tidemark.llm import warc as op8
 from tidemark.llm.common import prepare, table
@@ -66,3 +67,8 @@ def warc(spark, sf_dir):
 def token_files(spark, sf_dir):
     return op9.token_files(table(spark, sf_dir, "documents"),
                            public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op10_mixing")
+def mixing(spark, sf_dir):
+    return op10.mix(table(spark, sf_dir, "documents"))
