@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import exact as op4
 from tidemark.llm import mixing as op10
+from tidemark.llm import rules as op3
 from tidemark.llm import token_files as op9
 from tidemark.llm import warc as op8
 from tidemark.llm.common import prepare, table
@@ -27,6 +28,50 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+RULES_SQL = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (
+    SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws,
+           list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+    FROM d),
+p AS (
+    SELECT r, unnest(ws[1:len(ws) - 2]) AS a, unnest(ws[2:len(ws) - 1]) AS b,
+           unnest(ws[3:len(ws)]) AS c,
+           unnest(range(1, len(ws) - 1)) AS pos
+    FROM w WHERE len(ws) >= 3),
+v AS (SELECT r, pos, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM p),
+c AS (
+    SELECT r, count(DISTINCT pos + k) AS n_repeat_words
+    FROM v, (SELECT unnest([0, 1, 2]) AS k) WHERE n >= 2 GROUP BY r),
+b AS (
+    SELECT w.*, len(ws)::BIGINT AS n_words,
+           length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+           (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+           (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+           coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+    FROM w LEFT JOIN c USING (r)),
+f AS (
+    SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+           length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS capitals,
+           length(text) - length(regexp_replace(text, '[A-Za-z]', '', 'g')) AS letters,
+           length(text) - length(replace(text, '!', '')) AS exclamations,
+           length(text) - length(regexp_replace(text, '[0-9]', '', 'g')) AS digits
+    FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 100 * n_symbols > 30 * n_words OR 100 * n_dup_lines > 30 * len(ls)
+            OR word_chars < 2 * n_words OR word_chars > 16 * n_words
+            OR 100 * capitals > 60 * (letters + 1) OR 100 * exclamations > 50 * n_words
+            OR 100 * digits > 30 * word_chars) AS kept
+FROM f
+"""
+
+
+@query("op3_quality_rules", RULES_SQL)
+def quality_rules(spark, sf_dir):
+    return op3.quality_rules(table(spark, sf_dir, "documents"))
+
+
 EXACT_SQL = """
 WITH t AS (
     SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
