@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import exact as op4
 from tidemark.llm import mixing as op10
+from tidemark.llm import personal as op5
 from tidemark.llm import rules as op3
 from tidemark.llm import token_files as op9
 from tidemark.llm import warc as op8
@@ -59,7 +60,7 @@ f AS (
            length(text) - length(regexp_replace(text, '[0-9]', '', 'g')) AS digits
     FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR 100 * n_symbols > 30 * n_words OR 100 * n_dup_lines > 30 * len(ls)
+       NOT (base_failed OR 100 * n_symbols > 30 * n_words OR n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * len(ls)
             OR word_chars < 2 * n_words OR word_chars > 16 * n_words
             OR 100 * capitals > 60 * (letters + 1) OR 100 * exclamations > 50 * n_words
             OR 100 * digits > 30 * word_chars) AS kept
@@ -88,6 +89,11 @@ def exact_dedup(spark, sf_dir):
     return op4.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op5_personal_data")
+def personal_data(spark, sf_dir):
+    return op5.personal_data(table(spark, sf_dir, "documents"))
+
+
 WARC_SQL = """
 WITH p AS (
     SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,

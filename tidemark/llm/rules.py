@@ -46,7 +46,8 @@ def rules() -> list[Rule]:
     text, words = F.col("text"), F.col("n_words")
     return [
         Rule("symbols", 100 * F.col("n_symbols") > 30 * words),
-        Rule("repeated_lines", 100 * F.col("n_dup_lines") > 30 * F.col("n_lines")),
+        Rule("repeated_lines", (F.col("n_dup_lines") >= 3)
+             & (100 * F.col("n_dup_lines") > 30 * F.col("n_lines"))),
         Rule("short_words", F.col("word_chars") < 2 * words),
         Rule("long_words", F.col("word_chars") > 16 * words),
         Rule("capitals", 100 * how_many(text, UPPER) > 60 * (how_many(text, LETTERS) + 1)),

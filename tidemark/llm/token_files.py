@@ -20,7 +20,9 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,31 +44,37 @@ END_ID = 2
 # A single space between two characters that are not white space always begins a new
 # pre-token of a byte-level tokenizer, so what lies between two of them is encoded alone.
 CUT = re.compile(r"(?<=\S) (?=\S)")
-CACHED = 200_000  # encoded stretches kept per task
+CACHED, LONG = 500_000, 64  # encoded stretches kept per task, and their characters at most
 
 
-class Encoder(dict):
-    """Stretches of text to the little-endian bytes of their ids, encoded when first seen."""
+class Encoder:
+    """Ids of texts, from stretches that are encoded by the tokenizer when first seen."""
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, stretch: str) -> bytes:
-        ids = self.tokenizer.encode(stretch, add_special_tokens=False).ids
-        value = np.array(ids, "<u4").tobytes()
-        if len(stretch) < 64:
-            if len(self) >= CACHED:
-                self.clear()
-            self[stretch] = value
-        return value
-
-    def ids(self, text: str) -> np.ndarray:
-        stretches = CUT.split(text)
-        stretches[1:] = [" " + s for s in stretches[1:]]
-        return np.frombuffer(b"".join(map(self.__getitem__, stretches)), "<u4")
+        self.known: dict[str, bytes] = {}
+
+    def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
+        cut, known = [], self.known
+        for text in texts:
+            stretches = CUT.split(text)
+            cut.append([stretches[0], *[" " + s for s in stretches[1:]]])
+        fresh = list({s for stretches in cut for s in stretches if s not in known})
+        if len(known) + len(fresh) > CACHED and known:
+            known.clear()
+            fresh = list({s for stretches in cut for s in stretches})
+        for at in range(0, len(fresh), 10_000):
+            part = fresh[at:at + 10_000]
+            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            for stretch, encoding in zip(part, found, strict=True):
+                known[stretch] = array("I", encoding.ids).tobytes()
+        for stretches in cut:
+            yield np.frombuffer(b"".join(map(known.__getitem__, stretches)), np.uint32)
+        for stretch in fresh:
+            if len(stretch) > LONG:
+                del known[stretch]
 
 
 def pack(ids: np.ndarray) -> list[bytes]:
@@ -232,21 +240,16 @@ def write_token_files(docs: DataFrame, tokenizer_path: str) -> tuple[SharedFiles
 
     def write(batches):
         encoder = Encoder(tokenizer_path)
-        end = np.array([END_ID], "<u4")
+        end = np.array([END_ID], np.uint32)
         shard = TaskContext.get().partitionId()
-        rows = ((i, t) for b in batches
-                for i, t in zip(b.column(0).to_pylist(), text_values(b.column(1)), strict=True))
-        first = next(rows, None)
+        encoded = (pair for b in batches for pair in zip(
+            b.column(0).to_pylist(), encoder.ids(text_values(b.column(1))), strict=True))
+        first = next(encoded, None)
         if first is None:
             return
         writer, name = ShardWriter(), f"shard-{shard:06d}.tkf"
-
-        def documents():
-            yield first[0], np.concatenate((encoder.ids(first[1]), end))
-            for doc_id, text in rows:
-                yield doc_id, np.concatenate((encoder.ids(text), end))
-
-        files.write(name, writer.chunks(documents()))
+        documents = ((i, np.concatenate((ids, end))) for i, ids in chain((first,), encoded))
+        files.write(name, writer.chunks(documents))
         yield pa.RecordBatch.from_pylist([{
             "shard": shard, "name": name, "n_docs": len(writer.ids), "n_tokens": writer.total}])
 
