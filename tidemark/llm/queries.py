@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm import bytenet as op2
 from tidemark.llm import exact as op4
 from tidemark.llm import mixing as op10
 from tidemark.llm import personal as op5
@@ -29,6 +30,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op2_quality_classifier")
+def quality_classifier(spark, sf_dir):
+    return op2.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 RULES_SQL = r"""
 WITH d AS (
     SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
