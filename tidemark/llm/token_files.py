@@ -20,17 +20,17 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SharedFiles, id_and_text, text_values
+from tidemark.llm.common import SharedFiles, id_and_text
 from tidemark.session import run_folder, staged
 
 BLOCK = 1024
@@ -41,40 +41,133 @@ FOOTER, FOOTER_SIZE = "<QQQQ4s", struct.calcsize("<QQQQ4s")
 GROUP = 1024  # blocks packed or unpacked at a time
 END_ID = 2
 
-# A single space between two characters that are not white space always begins a new
-# pre-token of a byte-level tokenizer, so what lies between two of them is encoded alone.
-CUT = re.compile(r"(?<=\S) (?=\S)")
-CACHED, LONG = 500_000, 64  # encoded stretches kept per task, and their characters at most
+# A single space between two characters that are not white space always begins a new pre-token
+# of a byte-level tokenizer, and so does a full stop or comma after a letter: what lies between
+# two such places is encoded alone.
+WHITE = (r"\t\n\x0b\x0c\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
+         r"\x{202f}\x{205f}\x{3000}")
+CUT = "\x1e"
+UNEVEN = rf"[{WHITE}] | [{WHITE}]|^ | $|{CUT}"  # texts in which other spaces come, or CUT
+WORD = re.compile(r"(?<=\S)(?= \S)")
+CACHED, LONG = 150_000, 64  # encoded pieces kept in each half of the cache, characters of one
+JOINED = 100  # pieces encoded in one text
 
 
 class Encoder:
-    """Ids of texts, from stretches that are encoded by the tokenizer when first seen."""
+    """Ids of texts, from pieces that the tokenizer encodes when they are first seen.
+
+    The pieces seen of late are kept in two halves; when the younger is full it becomes the
+    older, whose pieces are forgotten unless they came again.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
-        cut, known = [], self.known
-        for text in texts:
-            stretches = CUT.split(text)
-            cut.append([stretches[0], *[" " + s for s in stretches[1:]]])
-        fresh = list({s for stretches in cut for s in stretches if s not in known})
-        if len(known) + len(fresh) > CACHED and known:
-            known.clear()
-            fresh = list({s for stretches in cut for s in stretches})
-        for at in range(0, len(fresh), 10_000):
-            part = fresh[at:at + 10_000]
-            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            for stretch, encoding in zip(part, found, strict=True):
-                known[stretch] = array("I", encoding.ids).tobytes()
-        for stretches in cut:
-            yield np.frombuffer(b"".join(map(known.__getitem__, stretches)), np.uint32)
-        for stretch in fresh:
-            if len(stretch) > LONG:
-                del known[stretch]
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for piece, i in vocabulary.items() if piece.startswith("\u0120")]] = True
+
+    def encoded(self, pieces: list[str]) -> list[bytes]:
+        """The ids of different pieces, as bytes."""
+        values = list(map(self.young.get, pieces))
+        fresh: tuple[list[int], list[int]] = [], []
+        for i, value in enumerate(values):
+            if value is None:
+                piece = pieces[i]
+                value = self.old.get(piece)
+                if value is None:
+                    word = len(piece) > 1 and piece[0] == " " and not (
+                        piece[1].isspace() or piece[-1].isspace())
+                    fresh[word].append(i)
+                else:
+                    values[i] = self.young[piece] = value
+        for of, encode in zip(fresh, (self._apart, self._words), strict=True):
+            for at in range(0, len(of), 64 * JOINED):
+                part = of[at:at + 64 * JOINED]
+                for i, value in zip(part, encode([pieces[i] for i in part]), strict=True):
+                    values[i] = value
+                    if len(pieces[i]) <= LONG:
+                        self.young[pieces[i]] = value
+        if len(self.young) > CACHED:
+            self.young, self.old = {}, self.young
+        return values
+
+    def _apart(self, pieces: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        return [np.array(e.ids, np.uint32).tobytes() for e in found]
+
+    def _words(self, pieces: list[str]) -> list[bytes]:
+        """Pieces that begin with a space and have no other at either end, many in one text:
+        in it only the first id of each stands for something that begins with a space.
+        """
+        out: list[bytes] = []
+        joined = ["".join(pieces[i:i + JOINED]) for i in range(0, len(pieces), JOINED)]
+        for n, encoding in enumerate(self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+            ids = np.array(encoding.ids, np.uint32)
+            part = pieces[n * JOINED:(n + 1) * JOINED]
+            cuts = np.flatnonzero(self.spaced[ids]).tolist()
+            if len(cuts) == len(part) and not any(s in joined[n] for s in self.specials):
+                data = ids.tobytes()
+                out += [data[4 * low:4 * high] for low, high in
+                        zip(cuts, [*cuts[1:], len(ids)], strict=True)]
+            else:
+                out += self._apart(part)
+        return out
+
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
+        texts = pc.fill_null(texts, "")
+        uneven = pc.match_substring_regex(texts, UNEVEN).to_numpy(zero_copy_only=False)
+        out: list = [None] * len(texts)
+        for i in np.flatnonzero(uneven).tolist():
+            words = WORD.split(texts[i].as_py())
+            different = list(dict.fromkeys(words))
+            found = dict(zip(different, self.encoded(different), strict=True))
+            out[i] = np.frombuffer(b"".join([found[w] for w in words]), np.uint32)
+        even = np.flatnonzero(~uneven)
+        if len(even):
+            for i, ids in zip(even.tolist(), self._even(texts.take(pa.array(even))), strict=True):
+                out[i] = ids
+        return out
+
+    def _even(self, texts: pa.Array) -> list[np.ndarray]:
+        """Texts whose spaces all part two words: each different piece is looked up once."""
+        spaced = pc.replace_substring(texts, " ", CUT + " ")
+        lists = pc.split_pattern(
+            pc.replace_substring_regex(spaced, r"(\p{L})([.,])", rf"\1{CUT}\2"), CUT)
+        starts = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+        pieces = lists.flatten().dictionary_encode()
+        codes = pieces.indices.to_numpy()
+        table = self.encoded(pieces.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        flat = np.frombuffer(b"".join(table), np.uint32)
+        lengths = sizes[codes]
+        ends = lengths.cumsum()
+        begins = (sizes.cumsum() - sizes)[codes] - (ends - lengths)
+        ids = flat[np.repeat(begins, lengths) + np.arange(int(ends[-1]))]
+        bounds = ends[np.append(starts[1:], len(codes)) - 1]
+        return np.split(ids, bounds[:-1])
+
+
+def kept_encoder(path: str) -> Encoder:
+    """One encoder for the life of a Python worker, which Spark uses for many tasks."""
+    import tokenizers
+
+    kept = vars(tokenizers).setdefault("_kept_encoders", {})
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
+
+
+def in_parts(batches: Iterable[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that their texts, the second column, come to about ``size`` bytes."""
+    for batch in batches:
+        rows = max(1, min(batch.num_rows, batch.num_rows * size // max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def pack(ids: np.ndarray) -> list[bytes]:
@@ -239,11 +332,11 @@ def write_token_files(docs: DataFrame, tokenizer_path: str) -> tuple[SharedFiles
     files = SharedFiles(run_folder(docs.sparkSession, "token-files"))
 
     def write(batches):
-        encoder = Encoder(tokenizer_path)
+        encoder = kept_encoder(tokenizer_path)
         end = np.array([END_ID], np.uint32)
         shard = TaskContext.get().partitionId()
-        encoded = (pair for b in batches for pair in zip(
-            b.column(0).to_pylist(), encoder.ids(text_values(b.column(1))), strict=True))
+        encoded = (pair for b in in_parts(batches) for pair in zip(
+            b.column(0).to_pylist(), encoder.ids(b.column(1)), strict=True))
         first = next(encoded, None)
         if first is None:
             return
