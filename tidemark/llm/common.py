@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,16 +50,22 @@ def text_values(column: pa.Array) -> list[str]:
     return [value or "" for value in column.to_pylist()]
 
 
+def bytes_and_bounds(column: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """The bytes of all values of a string or binary array without nulls, and where each begins
+    and the last ends. Read from the buffers as they are: casts go wrong on slices.
+    """
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    _, offsets, data = column.buffers()
+    if offsets is None or not len(column):
+        return memoryview(b""), np.zeros(len(column) + 1, np.int64)
+    bounds = np.frombuffer(offsets, np.int64 if wide else np.int32)
+    bounds = bounds[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    return memoryview(data) if data is not None else memoryview(b""), bounds
+
+
 def byte_views(column: pa.Array) -> list[memoryview]:
     """The bytes of each text, without a copy; null is empty."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    column = column.cast(pa.large_binary())
-    if column.null_count:
-        column = column.fill_null(b"")
-    _, offsets, data = column.buffers()
-    bounds = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1]
-    view = memoryview(data) if data is not None else memoryview(b"")
+    view, bounds = bytes_and_bounds(pc.fill_null(column, ""))
     return [view[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 

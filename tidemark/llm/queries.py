@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import bytenet as op2
 from tidemark.llm import exact as op4
+from tidemark.llm import jaccard as op7
 from tidemark.llm import mixing as op10
 from tidemark.llm import personal as op5
 from tidemark.llm import rules as op3
@@ -100,6 +101,11 @@ def personal_data(spark, sf_dir):
     return op5.personal_data(table(spark, sf_dir, "documents"))
 
 
+@query("op7_jaccard_join")
+def jaccard_join(spark, sf_dir):
+    return op7.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 WARC_SQL = """
 WITH p AS (
     SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,

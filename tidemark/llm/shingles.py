@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tidemark.llm.common import bytes_and_bounds
+
 WORDS = 5
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -26,12 +28,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each word of the texts, A-Z in lower case, and how many each text has."""
-    lower = pc.binary_join_element_wise(
-        pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())), pa.scalar("", pa.large_string()),
-        pa.scalar("\n", pa.large_string()))
-    _, offsets, data = lower.buffers()
-    bounds = np.frombuffer(offsets, np.int64)[lower.offset:lower.offset + len(lower) + 1]
-    raw = np.frombuffer(data, np.uint8)[bounds[0]:bounds[-1]]
+    lower = pc.binary_join_element_wise(pc.ascii_lower(pc.fill_null(texts, "")), "", "\n")
+    view, bounds = bytes_and_bounds(lower)
+    raw = np.frombuffer(view, np.uint8)[bounds[0]:bounds[-1]]
     bounds = bounds - bounds[0]
     space = (raw == 32) | ((raw >= 9) & (raw <= 13))
     # A text ends with white space, so no word reaches into the next.
