@@ -12,6 +12,7 @@ from tidemark.llm import exact as op4
 from tidemark.llm import jaccard as op7
 from tidemark.llm import mixing as op10
 from tidemark.llm import personal as op5
+from tidemark.llm import pieces as op6
 from tidemark.llm import rules as op3
 from tidemark.llm import token_files as op9
 from tidemark.llm import warc as op8
@@ -101,6 +102,11 @@ def personal_data(spark, sf_dir):
     return op5.personal_data(table(spark, sf_dir, "documents"))
 
 
+@query("op6_sentence_pieces")
+def sentence_pieces(spark, sf_dir):
+    return op6.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query("op7_jaccard_join")
 def jaccard_join(spark, sf_dir):
     return op7.jaccard_groups(table(spark, sf_dir, "documents"))
