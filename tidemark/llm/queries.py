@@ -14,6 +14,7 @@ from tidemark.llm import mixing as op10
 from tidemark.llm import personal as op5
 from tidemark.llm import pieces as op6
 from tidemark.llm import rules as op3
+from tidemark.llm import secrets as op1
 from tidemark.llm import token_files as op9
 from tidemark.llm import warc as op8
 from tidemark.llm.common import prepare, table
@@ -32,6 +33,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_secrets")
+def secrets(spark, sf_dir):
+    return op1.secrets(table(spark, sf_dir, "documents"))
+
+
 @query("op2_quality_classifier")
 def quality_classifier(spark, sf_dir):
     return op2.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
