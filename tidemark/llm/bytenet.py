@@ -164,9 +164,10 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(texts: list[bytes], labels: list[int], prior: float, epochs: int = 10,
+def fit(texts: list[bytes], labels: list[int], prior: float, epochs: int = 10, steps: int = 120,
         batch: int = 32, rate: float = 0.01, seed: int = SEED) -> Network:
-    """Fit a network by stochastic gradient descent (Adam) on the logistic loss of documents.
+    """Fit a network by stochastic gradient descent (Adam) on the logistic loss of documents,
+    in so many epochs and at least so many steps.
 
     A tenth of the documents is left out of it and used to calibrate: the scale and shift of
     the mean are fitted on them, weighted so that label 1 has the share ``prior``.
@@ -183,7 +184,9 @@ def fit(texts: list[bytes], labels: list[int], prior: float, epochs: int = 10,
     names = ("vectors", "filters", "offsets", "weights")
     moments = {n: [np.zeros_like(getattr(net, n)), np.zeros_like(getattr(net, n))] for n in names}
     bias, step = [0.0, 0.0], 0
-    total = epochs * -(-len(rest) // batch)
+    a_round = -(-len(rest) // batch)
+    epochs = max(epochs, -(-steps // a_round))
+    total = epochs * a_round
     for _ in range(epochs):
         random.shuffle(rest)
         for at in range(0, len(rest), batch):
@@ -278,18 +281,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
 
 def scored(docs: DataFrame, net: Network, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of ``docs`` and ``__score``, without a shuffle."""
-    source = docs.select(*keep, F.col("text").cast("string").alias("__text"))
+    names = [*keep] if "text" in keep else [*keep, "text"]
+    source = docs.select(*names)
+    at = names.index("text")
 
     def score(batches):
         for batch in batches:
-            values = sigmoid(logits(net, byte_views(batch.column(len(keep)))))
+            values = sigmoid(logits(net, byte_views(batch.column(at))))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:len(keep)], pa.array(values, pa.float64())], [*keep, "__score"])
 
-    fields = [f for f in source.schema.fields if f.name != "__text"]
+    fields = source.schema.fields[:len(keep)]
     return source.mapInArrow(score, type(source.schema)(fields).add("__score", "double"))
 
 
+def good(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``docs`` that the classifier predicts label 1 for."""
+    return scored(docs, train(docs, labels, rows), docs.columns).filter(
+        F.col("__score") >= CUT).drop("__score")
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Network:
     texts, known, prior = labelled_sample(docs, labels, rows)
     return fit(texts, known, prior)
@@ -303,7 +314,7 @@ def quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Data
     both kinds every document scores the share of label 1.
     """
     net = train(docs, labels, rows)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return scored(ids, net, ["doc_id"]).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"),
         (F.col("__score") >= CUT).cast("int").alias("predicted"))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import byte_views
 from tidemark.session import staged
+from tidemark.sizing import broadcast_if_small
 
 BUCKET_DIGESTS = 4_000  # distinct digests to a bucket, on average
 LOAD = 2.0  # bits per digest on each level of the hash
@@ -237,3 +238,25 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
         F.coalesce("group_size", F.lit(1)).alias("group_size"),
         F.coalesce(F.col("row") == F.col("keep_row"), F.lit(True)).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of equal texts, the one that ``exact_duplicates`` keeps."""
+    rows = located(docs)
+    copies = staged(groups_of(rows).filter("group_size > 1").select("digest", "keep_id"), "copies")
+    known = F.coalesce("doc_id", F.lit(LEAST))
+    members = rows.select(known.alias("id"), "digest").join(copies, "digest")
+    lost = staged(members.filter("id <> keep_id").select("id", "digest").distinct(), "lost")
+    again = staged(members.filter("id = keep_id").groupBy("id", "digest").agg(
+        F.count("*").alias("times")).filter("times > 1").drop("times"), "repeated")
+    marked = with_digest(docs, docs.columns).withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)))
+
+    def same(other):
+        return (marked["__id"] == other["id"]) & (marked["__digest"] == other["digest"])
+
+    left = marked.join(broadcast_if_small(lost), same(lost), "left_anti")
+    once = left.join(broadcast_if_small(again), same(again), "left_anti")
+    if again.limit(1).count():  # rows that repeat the id as well; of these one stays
+        once = once.union(left.join(broadcast_if_small(again), same(again), "left_semi")
+                          .dropDuplicates(["__id", "__digest"]))
+    return once.select(*docs.columns)

@@ -183,3 +183,10 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     """
     return linked(docs).select("doc_id", F.col("n").alias("n_shingles"),
                                F.col("component").alias("component_id"))
+
+
+def without_near_copies(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each group, the one with the smallest id."""
+    lost = staged(linked(docs).filter("component < doc_id").select(
+        F.col("doc_id").alias("lost")).distinct(), "near-copies")
+    return docs.join(broadcast_if_small(lost), docs["doc_id"].cast("long") == lost["lost"], "left_anti")

@@ -3,8 +3,8 @@
 All of it is DataFrame operations. The words of a source lie in shards; within a shard its
 documents stand in a seeded order, cut into blocks of equally many words. Blocks go to
 sources, and within a source to shards, by highest quotients, which gives integer quotas.
-A quota is met by whole passes over the shard plus a seeded even choice of its blocks, so
-what a document gives follows from its place in the shard alone.
+A quota is met by whole passes over the shard plus a seeded choice of its blocks, so what a document
+gives follows from its place in the shard alone.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import SPACE
 from tidemark.session import staged
+from tidemark.sizing import broadcast_if_small
 
 WEIGHTS = (5, 2, 1)  # by the order of the sources, repeating
 SHARE = 1.5  # of all words
@@ -139,20 +140,35 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, seed=SEED,
         F.col("place").alias("p"), F.col("shard").alias("s"), "source_size", "target",
         F.greatest(count, F.lit(1)).alias("n"), F.least("blocks", most * count).alias("quota")), "quotas")
 
-    # Every block is taken `whole` times; `extra` of the n blocks once more, evenly spread
-    # from a seeded start: block i where (i * extra + start) mod n is under extra.
+    # Every block is taken `whole` times; `extra` blocks in a row, from a seeded one on and going on
+    # at the first after the last, once more. Documents stand in a seeded order, so these are
+    # a seeded choice of documents, whole but for the two at its ends.
     whole = F.floor(F.col("quota") / F.col("n"))
-    extra = F.col("quota") - whole * F.col("n")
-    start = F.pmod(F.xxhash64(F.lit(seed + 2), "place", "shard"), F.col("n"))
+    first = F.pmod(F.xxhash64(F.lit(seed + 2), "place", "shard"), F.col("n")) * block_words
+    last = first + (F.col("quota") - whole * F.col("n")) * block_words
+    again = F.greatest(last - F.col("n") * block_words, F.lit(0))
 
     def taken_before(word: Column) -> Column:
-        block = F.floor(word / block_words)
-        chosen = F.when(F.pmod(block * extra + start, F.col("n")) < extra, F.lit(1)).otherwise(F.lit(0))
-        earlier = F.floor(((block - 1) * extra + start) / F.col("n")) - F.floor(
-            (start - extra) / F.col("n"))
-        return whole * word + earlier * block_words + chosen * (word - block * block_words)
+        return whole * word + F.greatest(F.least(word, last) - first, F.lit(0)) + F.least(word, again)
 
     taken = taken_before(F.col("until")) - taken_before(F.col("until") - F.col("size"))
     return dealt.join(shards, (F.col("place") == F.col("p")) & (F.col("shard") == F.col("s"))).select(
         "doc_id", "size", "source_size", "target",
         F.when(F.col("size") == 0, F.lit(0)).otherwise(taken).cast("long").alias("taken"), "source")
+
+
+def mixed(docs: DataFrame, **settings) -> DataFrame:
+    """``docs`` as the mix takes them: each row as many times as the nearest whole number of its
+    passes, none, one or two. A document that the mix takes half of comes whole.
+
+    Rows of one id, source and size are treated alike.
+    """
+    number = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")
+    passes = staged(mix(docs, **settings).groupBy("doc_id", "source", "size").agg(
+        F.min(number).alias("passes")), "passes").select(
+        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "passes")
+    size = word_count(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return docs.withColumn("_words", size).join(broadcast_if_small(passes.filter("passes > 0")), (
+        F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
+        & (F.col("_words") == F.col("_size")))
+    ).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("passes")))).select(*docs.columns)
