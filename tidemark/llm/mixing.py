@@ -165,10 +165,11 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
     """
     number = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")
     passes = staged(mix(docs, **settings).groupBy("doc_id", "source", "size").agg(
-        F.min(number).alias("passes")), "passes").select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "passes")
+        F.min(number).alias("passes")), "passes").filter("passes > 0").select(
+        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"),
+        F.col("passes").alias("__passes"))
     size = word_count(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.withColumn("_words", size).join(broadcast_if_small(passes.filter("passes > 0")), (
-        F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
-        & (F.col("_words") == F.col("_size")))
-    ).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("passes")))).select(*docs.columns)
+    return docs.withColumn("__words", size).join(broadcast_if_small(passes), (
+        F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
+        & F.col("source").cast("string").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size")))
+    ).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__passes")))).select(*docs.columns)

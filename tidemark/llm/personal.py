@@ -32,7 +32,7 @@ NEEDED = {
     "email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]",
 }
 KINDS = [*PATTERNS, "context"]
-IP_PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+IP_PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 TOKEN = rf"(?<![^{SPACE}])(?=[^{SPACE}]*[0-9@])[^{SPACE}]++"
 
 CONTEXT_CHARS = 64  # of the text before a value, in which its pattern is looked for
