@@ -6,16 +6,20 @@ DivideSkip: of the inverted lists of a document's shingles the short ones are me
 few as can still not miss a partner, and the long ones are only probed, by binary search
 in the candidate's sorted set.
 
-1. Sets are hashed once and written. Equal sets become one document.
+1. Equal sets, told by their digests, become one document.
 2. Lists of the smallest hashes link near copies to the first and the last document
    of a list. What links is a component, within which nothing needs to be compared.
-3. Every shingle's list is counted. A partner shares at least 3/4 of a document's
-   shingles, so it stands in one of the shortest quarter of its lists. A document of which
-   more than a quarter are in no other document is done.
-4. The short lists of the others are merged across components: counts of pairs that meet in
-   them, bounded by sizes. Long lists are not merged, so passages that many documents
+3. Of each set the third with the smallest hashes is listed. Linked documents n and m in size
+   share at least 1/12 of the larger one's shingles there: T exceeds what lies outside of
+   the third that ends first by that much.
+4. The lists are counted. But for the longest 1/12 n - 1 of them, which are never merged, the
+   lists of a document are short, and a partner stands in the same short list. A document
+   with that many shingles of its own has no partner, so passages that many documents
    share cost nothing.
-5. Candidates are probed, and links joined to components.
+5. Short lists are merged across components, bounded by sizes, into pairs of candidates, which
+   are probed. Links are joined to components.
+
+Sets are hashed from the texts again where they are needed, as they are larger than the texts.
 """
 
 from __future__ import annotations
@@ -23,7 +27,9 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,27 +42,46 @@ from tidemark.sizing import broadcast_if_small
 PERCENT = 75  # similarity of linked documents
 FIRST = 12  # smallest hashes whose lists are used to link near copies
 MEETINGS = 3  # of those lists in which a pair must meet to be probed
+BLOCK = 500_000  # shingles of documents whose lists are asked for together
+BUCKET = 1_000_000  # shingles whose lists are counted together
+EXACT = 128  # lengths of lists below this are told exactly
 
-SETS = "doc_id long, n long, digest binary, hashes array<long>"
-
+def hashed(docs: DataFrame, schema: str, row) -> DataFrame:
+    """What ``row`` makes of each document's id and its sorted set of hashes."""
+    names = [field.split()[0] for field in schema.split(", ")]
+    types = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    arrow = [types[field.split()[1]] for field in schema.split(", ")]
 
-def hashed(docs: DataFrame) -> DataFrame:
-    """doc_id, the size of its set, a digest of the set and the set, sorted."""
     def batches(incoming):
         for batch in incoming:
             rows = max(1, min(batch.num_rows, batch.num_rows * (2 << 20) // max(batch.nbytes, 1)))
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                sets = [s.view(np.int64) for s in shingle_sets(part.column(1))]
-                sizes = np.array([len(s) for s in sets], np.int64)
-                offsets = np.concatenate(([0], sizes.cumsum())).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([
-                    part.column(0), pa.array(sizes),
-                    pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets))),
-                ], ["doc_id", "n", "digest", "hashes"])
+                made = [row(i, s) for i, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1)), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*made, strict=True), arrow, strict=True)], names)
+
+    return id_and_text(docs).mapInArrow(batches, schema)
+
+
+def digest_of(hashes: np.ndarray) -> bytes:
+    return hashlib.md5(hashes.tobytes()).digest()
+
+
+def known_sets(docs: DataFrame) -> DataFrame:
+    """doc_id, the size and a digest of its set, and its smallest hashes; written."""
+    return staged(hashed(docs, "doc_id long, n long, digest binary, first array<long>", lambda i, s: (
+        i, len(s), digest_of(s), s[:FIRST].view(np.int64))), "shingle-sets")
 
-    return staged(id_and_text(docs).mapInArrow(batches, SETS), "shingle-sets")
+
+def listed_part(n):
+    """How many of the smallest hashes of a set of n are listed."""
+    return n - 2 * n // 3
+
+
+def longest_lists(n):
+    """How many of the lists of a set of n, the longest, are not merged, plus one."""
+    return -(-n // 12)
 
 
 def overlap_needed(n, m) -> Column:
@@ -64,12 +89,15 @@ def overlap_needed(n, m) -> Column:
     return F.ceil(F.lit(PERCENT) * (n + m) / (100 + PERCENT))
 
 
-def probe(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def probe(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Of the pairs (x, y), x <> y, those that link. The smaller set is looked up in the larger.
 
     Each pair travels with one set at a time; a document in very many pairs is split by
-    adaptive execution, as both sides of each join are plain files.
+    adaptive execution, as both sides of each join are plain.
     """
+    ids = staged(pairs.select(F.explode(F.array("x", "y")).alias("wanted")).distinct(), "probed")
+    texts = id_and_text(docs).join(broadcast_if_small(ids), F.col("doc_id") == F.col("wanted"), "left_semi")
+    sets = hashed(texts, "doc_id long, hashes binary", lambda i, s: (i, s.tobytes()))
     left = pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("hashes").alias("hx")), "x")
     both = left.join(sets.select(F.col("doc_id").alias("y"), F.col("hashes").alias("hy")), "y")
 
@@ -79,7 +107,10 @@ def probe(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             hx, hy = batch.column("hx"), batch.column("hy")
             keep = []
             for i in range(batch.num_rows):
-                a, b = (np.asarray(h[i].values).view(np.uint64) for h in (hx, hy))
+                a, b = (np.frombuffer(h[i].as_buffer(), np.uint64) for h in (hx, hy))
+                if not len(a) or not len(b):
+                    keep.append(False)
+                    continue
                 small, large = (a, b) if len(a) <= len(b) else (b, a)
                 at = np.minimum(np.searchsorted(large, small), len(large) - 1)
                 met = int((large[at] == small).sum())
@@ -93,7 +124,7 @@ def probe(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def near_copies(sets: DataFrame) -> DataFrame:
     """Pairs of a document with the first or last one in its lists of smallest hashes."""
     posts = staged(sets.select(
-        "doc_id", "n", F.explode(F.slice("hashes", 1, FIRST)).alias("shingle")), "first-lists")
+        "doc_id", "n", F.explode("first").alias("shingle")), "first-lists")
     ends = staged(posts.groupBy("shingle").agg(
         F.min(F.struct("doc_id", "n")).alias("low"), F.max(F.struct("doc_id", "n")).alias("high"),
     ).filter("low.doc_id < high.doc_id"), "list-ends")
@@ -107,23 +138,106 @@ def near_copies(sets: DataFrame) -> DataFrame:
         F.col("met") >= F.least(F.lit(MEETINGS), "least")).select("x", "y")
 
 
-def short_lists(sets: DataFrame) -> DataFrame:
-    """doc_id, n, shared and one shingle of each of the document's short lists.
-
-    ``shared`` counts its shingles that other documents have too. All others are the shortest
-    lists and hold no partner; a document with too many of them has none at all.
+def blocks_of(docs: DataFrame, copies: DataFrame) -> DataFrame:
+    """Documents in blocks of about BLOCK listed shingles: block, docs, sizes and hashes as bytes."""
+    def gather(batches):
+        number = TaskContext.get().partitionId() << 32
+        docs, sizes, hashes, held = [], [], [], 0
+        for batch in batches:
+            for doc_id, n, data in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "listed")), strict=True):
+                docs.append(doc_id)
+                sizes.append(n)
+                hashes.append(data)
+                held += listed_part(n)
+                if held >= BLOCK:
+                    yield block_row(number, docs, sizes, hashes)
+                    number, docs, sizes, hashes, held = number + 1, [], [], [], 0
+        if docs:
+            yield block_row(number, docs, sizes, hashes)
+
+    rows = hashed(docs, "doc_id long, n long, digest binary, listed binary", lambda i, s: (
+        i, len(s), digest_of(s), s[:listed_part(len(s))].tobytes())).filter("n > 0 AND doc_id IS NOT NULL")
+    rows = rows.join(broadcast_if_small(copies), ["doc_id", "digest"], "left_anti")
+    return staged(rows.select("doc_id", "n", "listed").mapInArrow(
+        gather, "block long, docs binary, sizes binary, hashes binary"), "shingle-blocks")
+
+
+def block_row(number: int, docs: list, sizes: list, hashes: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([
+        pa.array([number], pa.int64()), pa.array([np.array(docs, np.int64).tobytes()]),
+        pa.array([np.array(sizes, np.int64).tobytes()]), pa.array([b"".join(hashes)]),
+    ], ["block", "docs", "sizes", "hashes"])
+
+
+def list_lengths(blocks: DataFrame, buckets: int) -> DataFrame:
+    """block, bucket and a byte for each different shingle of the block, in order: a measure of
+    how many documents have it, exact below EXACT and by powers of two above.
+
+    A block asks once for each of its shingles, with the number of its own documents, so a
+    shingle that a third of all documents share is one question per block.
+    """
+    def ask(batches):
+        for batch in batches:
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("hashes").to_pylist(), strict=True):
+                unique, own = np.unique(np.frombuffer(data, np.uint64), return_counts=True)
+                at = ((unique >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                bounds = np.searchsorted(at, np.arange(buckets + 1))
+                full = np.flatnonzero(np.diff(bounds))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(full), pa.array([block] * len(full), pa.int64()),
+                    pa.array([unique[bounds[i]:bounds[i + 1]].tobytes() for i in full]),
+                    pa.array([own[bounds[i]:bounds[i + 1]].astype(np.uint32).tobytes() for i in full]),
+                ], ["bucket", "block", "shingles", "own"])
+
+    def answer(frame: pd.DataFrame) -> pd.DataFrame:
+        each = [np.frombuffer(s, np.uint64) for s in frame["shingles"]]
+        _, inverse = np.unique(np.concatenate(each), return_inverse=True)
+        own = np.frombuffer(b"".join(frame["own"]), np.uint32)
+        total = np.bincount(inverse, own)[inverse]
+        power = np.log2(np.maximum(total, EXACT)).astype(np.int64) - int(np.log2(EXACT)) + EXACT
+        measure = np.where(total < EXACT, total, power).astype(np.uint8)
+        parts = np.split(measure, np.cumsum([len(s) for s in each])[:-1])
+        return pd.DataFrame({"block": frame["block"], "bucket": frame["bucket"],
+                             "lengths": [p.tobytes() for p in parts]})
+
+    return blocks.select("block", "hashes").mapInArrow(
+        ask, "bucket long, block long, shingles binary, own binary"
+    ).groupBy("bucket").applyInPandas(answer, "block long, bucket long, lengths binary")
+
+
+def short_lists(blocks: DataFrame, buckets: int) -> DataFrame:
+    """doc_id, n, shared, edge and one shingle of each of the document's short lists in which
+    other documents stand.
+
+    ``shared`` counts its listed shingles that others list too, ``edge`` is the last hash that
+    it lists, with the sign turned so that it is in order as a signed number.
     """
-    posts = sets.select("doc_id", "n", F.explode("hashes").alias("shingle"))
-    counts = staged(posts.groupBy("shingle").agg(F.count("*").alias("length")).filter("length > 1"),
-                    "list-lengths")
-    lists = posts.join(counts, "shingle").groupBy("doc_id", "n").agg(
-        F.sort_array(F.collect_list(F.struct("length", "shingle"))).alias("lists"))
-    least = F.ceil(F.lit(PERCENT) * F.col("n") / 100)
-    # Of all n lists, n - least + 1 are short; n - shared of those have no other document.
-    lists = lists.withColumn("shared", F.size("lists").cast("long")).filter(F.col("shared") >= least)
-    return staged(lists.select("doc_id", "n", "shared", F.expr(
-        f"explode(slice(lists, 1, cast(shared - ceil({PERCENT} * n / 100) + 1 AS int)).shingle)"
-    ).alias("shingle")), "short-lists")
+    def choose(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        row = block.iloc[0]
+        docs, sizes = np.frombuffer(row["docs"], np.int64), np.frombuffer(row["sizes"], np.int64)
+        hashes = np.frombuffer(row["hashes"], np.uint64)
+        measures = np.frombuffer(b"".join(answers.sort_values("bucket")["lengths"]), np.uint8)
+        measure = measures[np.unique(hashes, return_inverse=True)[1]]
+        counts = listed_part(sizes)
+        starts = np.cumsum(counts) - counts
+        shared = np.add.reduceat((measure > 1).astype(np.int64), starts)
+        # The lists that no other document is in are the shortest.
+        left = shared - longest_lists(sizes) + 1
+        chosen, short = np.flatnonzero(left > 0), []
+        for i in chosen.tolist():
+            own, length = (x[starts[i]:starts[i] + counts[i]] for x in (hashes, measure))
+            own, length = own[length > 1], length[length > 1]
+            short.append(own[np.lexsort((own, length))[:left[i]]])
+        each = [len(s) for s in short]
+        edges = (hashes[starts + counts - 1] ^ np.uint64(1 << 63)).view(np.int64)
+        return pd.DataFrame({
+            "doc_id": np.repeat(docs[chosen], each), "n": np.repeat(sizes[chosen], each),
+            "shared": np.repeat(shared[chosen], each), "edge": np.repeat(edges[chosen], each),
+            "shingle": np.concatenate([np.empty(0, np.uint64), *short]).view(np.int64)})
+
+    lengths = list_lengths(blocks, buckets)
+    return staged(blocks.groupBy("block").cogroup(lengths.groupBy("block")).applyInPandas(
+        choose, "doc_id long, n long, shared long, edge long, shingle long"), "short-lists")
 
 
 def meeting(posts: DataFrame, known: DataFrame) -> DataFrame:
@@ -142,30 +256,34 @@ def meeting(posts: DataFrame, known: DataFrame) -> DataFrame:
     ).filter("parts > 1").select("shingle", F.col("top.component").alias("largest")), "mixed-lists")
     mixed = staged(placed.join(largest, "shingle"), "mixed-posts")
     a, b = mixed.alias("a"), mixed.alias("b")
+    # What one of them has beyond the listed part that ends first may be shared unseen.
+    outside = F.when(F.col("a.edge") <= F.col("b.edge"), F.floor(2 * F.col("a.n") / 3)).otherwise(
+        F.floor(2 * F.col("b.n") / 3))
     pairs = a.filter("a.component <> a.largest").join(b, (
         (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.component") != F.col("b.component"))
         & ((F.col("b.component") == F.col("b.largest")) | (F.col("a.doc_id") < F.col("b.doc_id")))
-        & (F.least("a.shared", "b.shared") >= overlap_needed(F.col("a.n"), F.col("b.n")))))
+        & (F.least("a.shared", "b.shared") >= overlap_needed(F.col("a.n"), F.col("b.n")) - outside)))
     return pairs.select(F.least("a.doc_id", "b.doc_id").alias("x"),
                         F.greatest("a.doc_id", "b.doc_id").alias("y")).distinct()
 
 
 def linked(docs: DataFrame) -> DataFrame:
     """doc_id, n and component of each row of ``docs``, with ``digest`` of its set."""
-    rows = hashed(docs)
+    rows = known_sets(docs)
     full = rows.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    first = staged(full.groupBy("digest").agg(F.min("doc_id").alias("first")), "equal-sets")
+    first = staged(full.groupBy("digest").agg(F.min("doc_id").alias("same")), "equal-sets")
     # Rows that are not the first of their set are known by their id and set.
     ids = full.select("doc_id", "digest")
-    copies = staged(ids.join(first, "digest").filter("doc_id <> first").select("doc_id", "digest"), "copies")
-    keys = [rows.doc_id == copies.doc_id, rows.digest == copies.digest]
-    sets = full.join(broadcast_if_small(copies), keys, "left_anti").select("doc_id", "n", "hashes")
+    copies = staged(ids.join(first, "digest").filter("doc_id <> same").select("doc_id", "digest"), "copies")
+    sets = full.join(broadcast_if_small(copies), ["doc_id", "digest"], "left_anti").select("doc_id", "n", "first")
 
-    copied = probe(staged(near_copies(sets), "near-pairs"), sets)
+    copied = probe(staged(near_copies(sets), "near-pairs"), docs)
     known = components(copied)
-    more = probe(staged(meeting(short_lists(sets), known), "meeting-pairs"), sets)
+    total = full.agg(F.sum("n")).first()[0] or 0  # one number
+    lists = short_lists(blocks_of(docs, copies), max(1, -(-total // (3 * BUCKET))))
+    more = probe(staged(meeting(lists, known), "meeting-pairs"), docs)
     # Links between equal sets join the rest: an id may come with several texts.
-    same = ids.join(first, "digest").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    same = ids.join(first, "digest").select(F.col("doc_id").alias("a"), F.col("same").alias("b"))
     links = known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more).union(same)
     final = components(links)
     return rows.select("doc_id", "n", "digest").join(
