@@ -78,3 +78,12 @@ def test_statements(spark):
     rows = spark.createDataFrame([(2, "x"), (3, "c")], "id int, v string")
     assert bag(st.insert_rows(table, rows, "id"))[-1] == (3, "c", None)
     assert bag(st.refused_rows(table, rows, "id")) == [(2, "x")]
+
+
+def test_second_new_row_of_a_key_is_refused(spark):
+    table = spark.createDataFrame([(1, "a")], "id INT, name STRING")
+    rows = spark.createDataFrame([(2, "x"), (2, "w"), (2, "w"), (1, "b"), (3, None)], "id INT, name STRING")
+    assert sorted(map(tuple, st.insert_rows(table, rows, "id").collect()), key=str) == [
+        (1, "a"), (2, "w"), (3, None)]
+    assert sorted(map(tuple, st.refused_rows(table, rows, "id").collect())) == [
+        (1, "b"), (2, "w"), (2, "x")]

@@ -116,7 +116,7 @@ def test_pipeline_with_changing_configuration(spark, tmp_path):
     failed = {(r["replay_id"], r["outcome"]) for r in applier.quarantine().collect()}
     assert failed == {(3, "bad payload"), (4, "no key mapping"), (5, "no schema"), (6, "no schema"),
                       (7, "undelete skipped"), (11, "inactive")}
-    assert os.listdir(tmp_path / "batches") == ["batch=2"]
+    assert os.listdir(tmp_path / "batches" / "stream=none") == ["batch=2"]
     assert applier.table(binding).rows().count() == 2
 
 

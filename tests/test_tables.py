@@ -73,7 +73,7 @@ def test_replayed_create_does_not_bring_a_deleted_key_back(spark, tmp_path):
     # the next batch is not mistaken for one that was done already
     later = {**create, "replay_id": 11}
     table.apply(frame(spark, [later]), 2)
-    assert table.rows().count() == 1
+    assert table.rows().count() == 1 and table.version() == 2
     table.expire(keep=1)
     assert table.rows().count() == 1
 
@@ -117,3 +117,55 @@ def test_dialect_without_booleans(spark):
     rows = spark.sql("SELECT true AS flag, timestamp'2024-01-15 10:30:45' AS at, 1 AS n")
     assert tuple(for_dialect(rows, "sqlite").first()) == (1, "2024-01-15 10:30:45", 1)
     assert for_dialect(rows, "postgres").schema == rows.schema
+
+
+def change(replay_id, kind, key=1, **values):
+    return {"key": key, "replay_id": replay_id, "change_type": kind, "values": values}
+
+
+@pytest.mark.parametrize("at_least", [0, 10**9])
+@pytest.mark.parametrize("soft", [False, True])
+def test_late_changes_count_whenever_the_base_was_made(spark, tmp_path, soft, at_least):
+    arrivals = [
+        [change(1, "CREATE", name="a", amount=1.0), change(5, "UPDATE", 2, amount=9.0)],
+        [change(7, "UPDATE", name="b"), change(3, "CREATE", 2, name="late"), change(9, "CREATE", 3, name="n")],
+        [change(5, "UPDATE", amount=9.0), change(4, "DELETE", 3), change(2, "CREATE", 3, name="m")],
+    ]
+    table = KeyedTable(spark, str(tmp_path), spec(soft), at_least=at_least)
+    for number, part in enumerate(arrivals):
+        table.apply(frame(spark, part), number)
+    every = sorted((c for part in arrivals for c in part), key=lambda c: c["replay_id"])
+    got = as_table(table.rows())
+    assert got == run(every, COLUMNS, soft)
+    assert got[1]["amount"] == 9.0 and got[2]["amount"] == 9.0
+
+
+@pytest.mark.parametrize("soft, at_least, seed", [(False, 0, 1), (True, 0, 2), (False, 40, 3), (True, 40, 4)])
+def test_any_order_of_arrival_gives_the_same_rows(spark, tmp_path, soft, at_least, seed):
+    changes = random_changes(20 + seed)
+    shuffled = changes[:]
+    random.Random(seed).shuffle(shuffled)
+    size = -(-len(shuffled) // 4)
+    table = KeyedTable(spark, str(tmp_path), spec(soft), share=0.1, at_least=at_least)
+    for number in range(4):
+        table.apply(frame(spark, shuffled[number * size:(number + 1) * size]), number)
+    assert as_table(table.rows()) == run(changes, COLUMNS, soft)
+
+
+def test_numbers_of_another_stream_are_not_taken_for_done(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path), spec(False))
+    for number in range(3):
+        table.apply(frame(spark, [change(number + 1, "CREATE", number)]), number, stream="old")
+    table.apply(frame(spark, [change(9, "CREATE", 9)]), 0, stream="new")
+    table.apply(frame(spark, [change(10, "CREATE", 10)]), 0, stream="new")
+    assert set(as_table(table.rows())) == {0, 1, 2, 9} and table.version() == 3
+
+
+def test_files_stay_few_with_sparse_batch_numbers(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path), spec(False), keep=2, folders=3)
+    for number in range(12):
+        table.apply(frame(spark, [change(number + 1, "CREATE", number)]), 2 * number + 1)
+    assert len(as_table(table.rows())) == 12
+    assert len(list((tmp_path / "manifest").glob("version=*/step=*"))) <= 4
+    assert len(table._newest()["changes"]) <= 3
+    assert len([d for d in os.listdir(tmp_path / "changes") if not d.startswith(".")]) <= 8

@@ -239,3 +239,52 @@ def _result(
     return merged.filter(ended).select(
         *spec.key, *out, live.alias(LIVE), latest.alias(LAST_ORDER)
     )
+
+
+def retained(changes: DataFrame, spec: FoldSpec) -> DataFrame:
+    """Fewer change rows that stand for ``changes``: together with any others, earlier or later
+    in order, they fold to the same rows.
+
+    Per key these are the last write of each column, the last delete or mark, and what can
+    still become the row: with a flag the first CREATE, as it never goes; without one every
+    CREATE after the last DELETE, as a later delete may take the ones before it. A CREATE
+    of values that are NULL and one that leaves them out are the same.
+    """
+    rows = _rows(changes, spec)
+    summary = _summary(rows, spec)
+    types = {f.name: f.dataType for f in changes.schema.fields}
+
+    def entry(kind: Column, order: Column, values: dict[str, Column], made: bool = False) -> Column:
+        parts = [order] if len(spec.order) == 1 else [order[o] for o in spec.order]
+        return F.struct(
+            *[part.alias(o) for o, part in zip(spec.order, parts, strict=True)],
+            kind.alias(spec.kind),
+            *[values.get(c, F.lit(None)).cast(types[c]).alias(c) for c in spec.columns],
+            *[(values[c].isNotNull() if made else F.lit(c in values)).alias(c + SET_SUFFIX)
+              for c in spec.columns])
+
+    entries = []
+    for i, c in enumerate(spec.columns):
+        at = F.col(f"_last{i}._ord")
+        live = at.isNotNull()
+        if not spec.soft:
+            live &= F.col("_deleted_at").isNull() | (at > F.col("_deleted_at"))
+        entries.append(F.when(live, entry(F.lit("UPDATE"), at, {c: F.col(f"_last{i}.new")})))
+    if spec.soft:
+        mark = F.when(F.col("_mark"), F.lit("DELETE")).otherwise(F.lit("UNDELETE"))
+        entries.append(F.when(F.col("_mark_at").isNotNull(), entry(mark, F.col("_mark_at"), {})))
+        made = {c: F.col(f"_made._{i}") for i, c in enumerate(spec.columns)}
+        entries.append(F.when(F.col("_first_create").isNotNull(),
+                              entry(F.lit("CREATE"), F.col("_first_create"), made, made=True)))
+    else:
+        entries.append(F.when(F.col("_deleted_at").isNotNull(),
+                              entry(F.lit("DELETE"), F.col("_deleted_at"), {})))
+    kept = summary.select(*spec.key, F.explode(F.array_compact(F.array(*entries))).alias("_kept")).select(
+        *spec.key, "_kept.*")
+    if spec.soft:
+        return kept
+    ended = summary.select(*[F.col(k).alias(f"_{k}") for k in spec.key], "_deleted_at")
+    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in spec.key])
+    created = changes.withColumn("_ord", spec.order_value()).filter(F.col(spec.kind) == "CREATE").join(
+        ended, same).filter(F.col("_deleted_at").isNull() | (F.col("_ord") > F.col("_deleted_at")))
+    return kept.unionByName(created.select(*kept.columns))

@@ -283,9 +283,9 @@ def missing_parents(rows: DataFrame, parents: DataFrame, foreign: str, key: str)
 
 
 def shared_destinations(bindings: DataFrame, name: str) -> DataFrame:
-    """Entities or tables that more than one binding claims."""
+    """Entities or tables that more than one binding claims; blank ones are not claimed yet."""
     return (
-        bindings.filter(F.col(name).isNotNull())
+        bindings.filter(F.trim(name) != "")
         .groupBy(F.lower(name).alias(name))
         .agg(F.count("*").alias("n"))
         .filter("n > 1")

@@ -12,15 +12,26 @@ from pyspark.sql import functions as F
 from tidemark.functions.convert import flag_value
 
 
-def insert_rows(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """Append the rows whose key is new; rows with a taken key are refused."""
+def accepted(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Of ``rows`` those that can be inserted: of a new key the least row, by its columns in
+    their order; one of a taken key never.
+    """
+    others = [c for c in rows.columns if c != key]
     fresh = rows.join(table.select(key), key, "left_anti")
-    return table.unionByName(fresh, allowMissingColumns=True)
+    least = fresh.groupBy(key).agg(F.min(F.struct(*others)).alias("_row")) if others else fresh.distinct()
+    return least.select(*[F.col(f"_row.{c}").alias(c) if c in others else key for c in rows.columns])
+
+
+def insert_rows(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Append the rows whose key is new; rows with a taken key are refused, and so are further
+    rows of the same new key.
+    """
+    return table.unionByName(accepted(table, rows, key), allowMissingColumns=True)
 
 
 def refused_rows(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """The rows ``insert_rows`` refuses."""
-    return rows.join(table.select(key), key, "left_semi")
+    return rows.exceptAll(accepted(table, rows, key))
 
 
 def update_columns(

@@ -44,11 +44,16 @@ def local_session(cores: str = "8", app: str = "tidemark") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors reach: ``spark.checkpoint.dir``, or a new local one
-    where it is unset, as on a single machine.
+    """The folder all executors reach: ``spark.checkpoint.dir``, or a new local one where it is
+    unset and everything runs in one process. On a cluster it has to be set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/") if folder else tempfile.mkdtemp(prefix="run-")
+    if folder:
+        return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
+    return tempfile.mkdtemp(prefix="run-")
 
 
 def run_folder(spark: SparkSession, name: str) -> str:

@@ -2,35 +2,39 @@
 
 Spark ships no table format with row-level writes, so a table is a folded base
 plus the change rows of the batches since. A batch only appends its own change
-rows, whatever the size of the table; readers fold them onto the base. When they
-have grown to a set share of the base they are folded into a new one, so every
-row is rewritten a bounded number of times. A batch becomes visible when its
-manifest, one row, is complete.
+rows, whatever the size of the table. When they have grown to a set share of the
+base they are folded into a new one, so every row is rewritten a bounded number
+of times. Beside the base stand the few change rows per key that it follows from;
+keys that change are folded anew from these, so it makes no difference when the
+base was made, nor in which order or batches the changes arrived. A batch becomes
+visible when its manifest, one row, is complete.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.fold import LAST_ORDER, LIVE, SET_SUFFIX, FoldSpec, fold
+from tidemark.operators.fold import LAST_ORDER, LIVE, SET_SUFFIX, FoldSpec, fold, retained
 from tidemark.sizing import SMALL_ROWS, is_small
 
-MANIFEST = """version bigint, step int, base string, base_rows bigint, changes array<bigint>,
-    change_rows bigint"""
+MANIFEST = """version bigint, step int, base string, base_rows bigint, changes array<string>,
+    change_rows bigint, streams map<string, bigint>"""
 
 
 class KeyedTable:
     """A table of one row per key, kept under ``path`` on storage all executors share.
 
     ``share`` is how large the pending change rows may grow beside the base, and
-    ``at_least`` how many there must be, before they are folded into it. A change
-    older than what the base has absorbed for its key is ignored. With at most
-    ``small`` changed keys the base is not shuffled to be read. Files of versions
-    before the last ``keep`` are deleted now and then, so a reader may take as long
-    as that many batches.
+    ``at_least`` how many there must be, before they are folded into it; more than
+    ``folders`` batches of them are put together in one folder before that. With at
+    most ``small`` changed keys the base is not shuffled to be read. Versions number the
+    batches taken in, whatever their own numbers. Files of versions before the last
+    ``keep`` are deleted now and then, so a reader may take as long as that many batches.
     """
 
     def __init__(
@@ -42,9 +46,11 @@ class KeyedTable:
         at_least: int = 1_000_000,
         small: int = SMALL_ROWS,
         keep: int = 10,
+        folders: int = 100,
     ):
         self.spark, self.path, self.spec = spark, path.rstrip("/"), spec
         self.share, self.at_least, self.small, self.keep = share, at_least, small, keep
+        self.folders = folders
 
     def _manifests(self) -> DataFrame | None:
         try:
@@ -72,10 +78,16 @@ class KeyedTable:
         return self.spark.read.parquet(f"{self.path}/base/{manifest['base']}")
 
     def _pending(self, manifest: Row) -> DataFrame | None:
-        paths = [f"{self.path}/changes/version={v}" for v in manifest["changes"]]
+        paths = [f"{self.path}/changes/{name}" for name in manifest["changes"]]
         # Later batches may carry columns mapped since; earlier ones did not set them.
         return self.spark.read.option("mergeSchema", True).parquet(*paths) if paths else None
 
+    def _history(self, manifest: Row) -> DataFrame | None:
+        """The change rows that the base follows from."""
+        if manifest["base"] is None:
+            return None
+        return self.spark.read.parquet(f"{self.path}/history/{manifest['base']}")
+
     def tracked(self) -> DataFrame | None:
         """All rows with ``live`` and ``last_order``, deleted keys included."""
         manifest = self._newest()
@@ -89,13 +101,14 @@ class KeyedTable:
             return base
         if base is None:
             return fold(pending, self.spec, track=True)
+        history = self._history(manifest)
         keys = pending.select(*self.spec.key).distinct()
         if not is_small(keys, self.small):
-            return fold(pending, self.spec, base, track=True)
+            return fold(_together(history, pending), self.spec, track=True)
         # Few keys changed: the rest of the base passes by without a shuffle.
         key = list(self.spec.key)
-        touched = base.join(F.broadcast(keys), key, "left_semi")
-        folded = fold(pending, self.spec, touched, track=True)
+        touched = history.join(F.broadcast(keys), key, "left_semi")
+        folded = fold(_together(touched, pending), self.spec, track=True)
         return folded.unionByName(base.join(F.broadcast(keys), key, "left_anti"))
 
     def rows(self) -> DataFrame | None:
@@ -103,38 +116,66 @@ class KeyedTable:
         tracked = self.tracked()
         return None if tracked is None else tracked.filter(LIVE).drop(LIVE, LAST_ORDER)
 
-    def apply(self, changes: DataFrame, version: int) -> None:
-        """Take in a batch as ``version``; a completed version is not redone."""
+    def apply(self, changes: DataFrame, batch: int, stream: str = "") -> None:
+        """Take in a batch of a stream; one that the table has of this stream is not redone.
+
+        Numbers of another stream say nothing: one with a new checkpoint begins at 0 again.
+        """
         manifest = self._newest()
-        if manifest is not None and manifest["version"] >= version:
+        before = manifest.asDict() if manifest is not None else {
+            "version": -1, "base": None, "base_rows": 0, "changes": [], "change_rows": 0, "streams": {}}
+        if before["streams"].get(stream, -1) >= batch:
             return
-        target = f"{self.path}/changes/version={version}"
+        version = before["version"] + 1
+        name = f"version={version}"
+        target = f"{self.path}/changes/{name}"
         sets = [c + SET_SUFFIX for c in self.spec.columns]
         wanted = [*self.spec.key, *self.spec.order, self.spec.kind, *self.spec.columns, *sets]
         changes.select(*dict.fromkeys(wanted)).write.mode("overwrite").parquet(target)
         # Counted from the file footers.
         arrived = self.spark.read.parquet(target).count()
-        before = manifest.asDict() if manifest is not None else {
-            "base": None, "base_rows": 0, "changes": [], "change_rows": 0}
         after = {
             **before, "version": version, "step": 0,
-            "changes": [*before["changes"], version] if arrived else before["changes"],
+            "streams": {**before["streams"], stream: batch},
+            "changes": [*before["changes"], name] if arrived else before["changes"],
             "change_rows": before["change_rows"] + arrived,
         }
         if after["change_rows"] > max(self.at_least, self.share * after["base_rows"]):
             after = self._compacted(after)
+        elif len(after["changes"]) > self.folders:
+            after = self._gathered(after)
         self._commit(after)
-        if version % (2 * self.keep) == 0:
+        if version % (2 * self.keep) == 2 * self.keep - 1:
             self.expire(self.keep)
 
-    def _compacted(self, manifest: dict, keep: Column | None = None) -> dict:
-        folded = self._folded(Row(**manifest))
-        if folded is None:
+    def _gathered(self, manifest: dict) -> dict:
+        """The pending changes put together in one folder."""
+        name = f"until={manifest['version']}"
+        self._pending(Row(**manifest)).write.mode("overwrite").parquet(f"{self.path}/changes/{name}")
+        return {**manifest, "changes": [name]}
+
+    def _compacted(self, manifest: dict, before: Column | None = None) -> dict:
+        """A new base with its history. With ``before``, deleted keys whose last change comes
+        before it are left out of both.
+        """
+        pending, history = self._pending(Row(**manifest)), self._history(Row(**manifest))
+        parts = [part for part in (history, pending) if part is not None]
+        if not parts:
             return manifest
+        folded = self._folded(Row(**manifest))
         base = f"{manifest['version']}-{manifest['step']}"
-        target = f"{self.path}/base/{base}"
-        (folded if keep is None else folded.filter(keep)).write.mode("overwrite").parquet(target)
-        rows = self.spark.read.parquet(target).count()
+        rows_at, history_at = f"{self.path}/base/{base}", f"{self.path}/history/{base}"
+        kept = retained(_together(*parts), self.spec)
+        if before is not None:
+            key = list(self.spec.key)
+            folded = folded.filter(F.col(LIVE) | (F.col(LAST_ORDER) >= before))
+            recent = kept.groupBy(*key).agg(F.max(self.spec.order_value()).alias(LAST_ORDER)).filter(
+                F.col(LAST_ORDER) >= before).select(*key)
+            live = folded.filter(LIVE).select(*key)
+            kept = kept.join(recent.union(live).distinct(), key, "left_semi")
+        kept.write.mode("overwrite").parquet(history_at)
+        folded.write.mode("overwrite").parquet(rows_at)
+        rows = self.spark.read.parquet(rows_at).count()
         return {**manifest, "base": base, "base_rows": rows, "changes": [], "change_rows": 0}
 
     def _commit(self, manifest: dict) -> None:
@@ -152,7 +193,7 @@ class KeyedTable:
         if manifest is None:
             return
         after = {**manifest.asDict(), "step": manifest["step"] + 1}
-        self._commit(self._compacted(after, F.col(LIVE) | (F.col(LAST_ORDER) >= before)))
+        self._commit(self._compacted(after, before))
 
     def expire(self, keep: int) -> None:
         """Delete files that none of the newest ``keep`` manifests refers to."""
@@ -168,8 +209,14 @@ class KeyedTable:
             delete(self.spark, f"{self.path}/manifest/{step}")
         for base in {m["base"] for m in gone} - bases - {None}:
             delete(self.spark, f"{self.path}/base/{base}")
-        for v in {v for m in gone for v in [*m["changes"], m["version"]]} - changes:
-            delete(self.spark, f"{self.path}/changes/version={v}")
+            delete(self.spark, f"{self.path}/history/{base}")
+        for name in {n for m in gone for n in [*m["changes"], f"version={m['version']}"]} - changes:
+            delete(self.spark, f"{self.path}/changes/{name}")
+
+
+def _together(*changes: DataFrame) -> DataFrame:
+    """Change rows of several files; a column that some were written without is not set there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), changes)
 
 
 def _with_columns(base: DataFrame, columns: tuple[str, ...], like: DataFrame | None) -> DataFrame:

@@ -7,6 +7,7 @@ its own files and a table that already has it is left alone.
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -111,9 +112,11 @@ class ChangeApplier:
         path = f"{self.root}/tables/{binding.table}"
         return KeyedTable(self.spark, path, binding.fold_spec(), **self.table_options)
 
-    def apply(self, events: DataFrame, batch_id: int) -> None:
+    def apply(self, events: DataFrame, batch_id: int, stream: str = "") -> None:
+        """Apply a batch; ``stream`` tells the numbers of one checkpoint from another's."""
         settings = self.configuration(self.spark)
-        work = f"{self.root}/batches/batch={batch_id}"
+        place = f"stream={stream or 'none'}/batch={batch_id}"
+        work = f"{self.root}/batches/{place}"
         plan = config.subscription_plan(
             settings.bindings, settings.registry, settings.channels, settings.members
         )
@@ -140,21 +143,21 @@ class ChangeApplier:
             staged = f"{work}/changes/binding={binding.binding_id}"
             projected.drop("fields", "compounds").write.mode("overwrite").parquet(staged)
             projected = self.spark.read.parquet(staged)
-            self.table(binding).apply(change_rows(projected, binding), batch_id)
+            self.table(binding).apply(change_rows(projected, binding), batch_id, stream)
             judged.append(projected.select(
                 F.lit(binding.binding_id).cast("bigint").alias("binding_id"), "event_id",
                 "replay_id", F.col("header.changeType").alias("change_type"), "outcome",
             ))
         events_judged = reduce(DataFrame.unionByName, judged)
         counts = outcome_counts(events_judged, ["binding_id", "change_type", "outcome"])
-        counts.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/outcomes/batch={batch_id}")
+        counts.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/outcomes/{place}")
         # What was not applied stays listed by event, so that it can be looked into.
         failed = events_judged.filter(
             ~F.col("outcome").isin(routing.APPLIED, routing.NO_CHANGE)
         )
-        failed.write.mode("overwrite").parquet(f"{self.root}/quarantine/batch={batch_id}")
+        failed.write.mode("overwrite").parquet(f"{self.root}/quarantine/{place}")
         # Working files of a batch long completed; the tables keep their own.
-        delete(self.spark, f"{self.root}/batches/batch={batch_id - self.keep}")
+        delete(self.spark, f"{self.root}/batches/stream={stream or 'none'}/batch={batch_id - self.keep}")
 
     def quarantine(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/quarantine")
@@ -165,10 +168,23 @@ class ChangeApplier:
 
 def start(
     stream: DataFrame,
-    apply: Callable[[DataFrame, int], None],
+    apply: Callable[..., None],
     checkpoint: str,
     **trigger,
 ) -> StreamingQuery:
-    """Run ``apply`` on every micro-batch; the checkpoint is where it resumes."""
-    writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    """Run ``apply`` on every micro-batch; the checkpoint is where it resumes.
+
+    An ``apply`` with a parameter ``stream`` is also given the id of the checkpoint, which
+    Spark wrote before the first batch: batches of a new checkpoint are numbered from 0 again.
+    """
+    known: list[str] = []
+
+    def named(batch: DataFrame, batch_id: int) -> None:
+        if not known:
+            known.append(batch.sparkSession.read.json(f"{checkpoint.rstrip('/')}/metadata").first()["id"])
+        apply(batch, batch_id, stream=known[0])
+
+    wants = "stream" in inspect.signature(apply).parameters
+    writer = stream.writeStream.foreachBatch(named if wants else apply)
+    writer = writer.option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -290,7 +290,10 @@ def start_position(spark, sf):
 
 # Streams. Each finishes inside the call and leaves its result in the shared folder.
 
-PARTS = [("2024-01-01", "2024-01-10"), ("2024-01-10", "2024-01-20"), ("2024-01-20", "2025-01-01")]
+# Together they take in every row, whatever its time, and those without one.
+PARTS = ["ts < timestamp_ntz'2024-01-10'",
+         "ts >= timestamp_ntz'2024-01-10' AND ts < timestamp_ntz'2024-01-20'",
+         "ts >= timestamp_ntz'2024-01-20' OR ts IS NULL"]
 
 
 def stream_users(spark, sf, spec, name):
@@ -300,9 +303,8 @@ def stream_users(spark, sf, spec, name):
     root = run_folder(spark, name)
     changes = feeds.user_changes(spark, sf)
     state = KeyedTable(spark, f"{root}/table", spec, at_least=1000)
-    for lo, hi in PARTS:
-        part = changes.filter(f"ts >= timestamp_ntz'{lo}' AND ts < timestamp_ntz'{hi}'")
-        part.coalesce(2).write.mode("append").parquet(f"{root}/landed")
+    for when in PARTS:
+        changes.filter(when).write.mode("append").parquet(f"{root}/landed")
         stream = spark.readStream.schema(changes.schema).parquet(f"{root}/landed")
         start(stream, state.apply, f"{root}/checkpoint").awaitTermination()
     return state.rows()
@@ -319,6 +321,47 @@ def stream_foreach_soft(spark, sf):
     return stream_users(spark, sf, feeds.USER_SOFT, "stream-soft")
 
 
+def late_users(spark, sf, spec, name, at_least):
+    """The feed in three batches dealt out by a hash, so that most changes come late."""
+    state = KeyedTable(spark, run_folder(spark, name), spec, at_least=at_least, share=0.1)
+    changes = feeds.user_changes(spark, sf)
+    for number in range(3):
+        state.apply(changes.filter(F.pmod(F.xxhash64(*spec.order), F.lit(3)) == number), number)
+    return state.rows()
+
+
+LATE_SQL = feeds.fold_sql(feeds.USER_CHANGES_SQL, "user_id", ["value", "props"])
+
+
+@query("table_late_changes", LATE_SQL)
+def table_late_changes(spark, sf):
+    return late_users(spark, sf, feeds.USER_SPEC, "late-folded", 0)
+
+
+@query("table_late_changes_pending", LATE_SQL)
+def table_late_changes_pending(spark, sf):
+    return late_users(spark, sf, feeds.USER_SPEC, "late-pending", 1 << 60)
+
+
+@query("table_late_changes_soft",
+       feeds.fold_sql(feeds.USER_CHANGES_SQL, "user_id", ["value", "props"], True))
+def table_late_changes_soft(spark, sf):
+    return late_users(spark, sf, feeds.USER_SOFT, "late-soft", 0)
+
+
+@query("stream_restart", LATE_SQL)
+def stream_restart(spark, sf):
+    """Each part of the feed as a stream with a checkpoint of its own, numbered from 0 again."""
+    root = run_folder(spark, "stream-restart")
+    changes = feeds.user_changes(spark, sf)
+    state = KeyedTable(spark, f"{root}/table", feeds.USER_SPEC, at_least=1000)
+    for number, when in enumerate(PARTS):
+        changes.filter(when).write.parquet(f"{root}/landed-{number}")
+        stream = spark.readStream.schema(changes.schema).parquet(f"{root}/landed-{number}")
+        start(stream, state.apply, f"{root}/checkpoint-{number}").awaitTermination()
+    return state.rows()
+
+
 def configuration(spark):
     registry = spark.createDataFrame(
         [(i, s, encode.ENTITY, text, i) for i, (s, text) in enumerate(encode.REVISIONS.items(), 1)],
@@ -339,10 +382,11 @@ def apply_stream(spark, sf, name):
     root = run_folder(spark, name)
     encoded(spark, sf).withColumn("headers", F.array().cast(
         "array<struct<key: string, value: binary>>")).select(
-        "event_id", "schema_id", "payload", "headers", "replay_id").coalesce(4).write.parquet(
-        f"{root}/landed")
+        "event_id", "schema_id", "payload", "headers", "replay_id").write.parquet(f"{root}/landed")
     applier = ChangeApplier(spark, f"{root}/state", configuration)
-    stream = envelope.stream_envelopes(spark, f"{root}/landed", files_per_trigger=1000)
+    files = len(spark.read.parquet(f"{root}/landed").inputFiles())
+    # At least three batches where there are as many files.
+    stream = envelope.stream_envelopes(spark, f"{root}/landed", files_per_trigger=max(1, -(-files // 3)))
     start(stream, applier.apply, f"{root}/checkpoint").awaitTermination()
     return applier
 
@@ -357,7 +401,8 @@ SELECT 1 AS binding_id, {KIND} AS change_type, 'applied' AS outcome, count(*) AS
 FROM orders GROUP BY 2""")
 def stream_outcomes(spark, sf):
     applier = apply_stream(spark, sf, "stream-outcomes")
-    return applier.outcomes().select("binding_id", "change_type", "outcome", "events")
+    return applier.outcomes().groupBy("binding_id", "change_type", "outcome").agg(
+        F.sum("events").alias("events"))
 
 
 @query("flatten_compounds", f"""
