@@ -110,14 +110,10 @@ def test_record_ids(spark):
     assert got == [(1, "a"), (2, "a"), (2, "b"), (3, "c"), (3, "d")]
 
 
-def test_two_fields_for_one_column_last_written_wins(spark):
+def test_two_fields_for_one_column_are_refused():
     mappings = {"MappedSFKey": "id", "Phone": "text", "NameLastName": "text"}
-    chosen = p.plan_binding(1, "E", "t", mappings, {"S": SCHEMA}, "S")
-    rows = projected(spark, [
-        event(NODE, ["a"], "CREATE", values={"Phone": "p", "Name": {"LastName": "l"}}),
-        event(NODE, ["a"], "CREATE", values={"Phone": "p"}),
-    ], chosen).orderBy("replay_id").collect()
-    assert [r["target"]["text"] for r in rows] == ["l", "p"]
+    with pytest.raises(ValueError, match="two fields to one column"):
+        p.plan_binding(1, "E", "t", mappings, {"S": SCHEMA}, "S")
 
 
 def test_handlers_and_converters_can_be_replaced(spark):

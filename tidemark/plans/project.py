@@ -70,13 +70,15 @@ def plan_binding(
 
     Types are those of the ``newest`` revision; a field only older ones have is
     typed by them. A binding without a key mapping cannot be applied, nor one that
-    maps a field to the column of the record id.
+    maps a field to the column of the record id, nor one that maps two to one column.
     """
     if fixed.KEY_MAPPING_FIELD not in mappings:
         raise ValueError(f"binding {binding_id} has no key mapping")
     key_column = mappings[fixed.KEY_MAPPING_FIELD]
     if any(t == key_column for s, t in mappings.items() if s != fixed.KEY_MAPPING_FIELD):
         raise ValueError(f"binding {binding_id} maps a field to the key column {key_column}")
+    if len(set(mappings.values())) < len(mappings):
+        raise ValueError(f"binding {binding_id} maps two fields to one column")
     known: dict[str, EntityField] = {}
     for schema_id in sorted(revisions, key=lambda s: s == newest):
         known.update({f.name: f for f in entity_fields(parse_schema(revisions[schema_id]))})
