@@ -116,6 +116,21 @@ def test_two_fields_for_one_column_are_refused():
         p.plan_binding(1, "E", "t", mappings, {"S": SCHEMA}, "S")
 
 
+def test_value_that_does_not_convert_fails_its_event(spark):
+    chosen = p.plan_binding(1, "E", "t", {"MappedSFKey": "id", "Phone": "phone"}, {"S": SCHEMA}, "S",
+                            {"phone": "Integer"})
+    rows = projected(spark, [
+        event(NODE, ["a"], "CREATE", values={"Phone": "12x"}),
+        event(NODE, ["a"], "UPDATE", ["Phone"], values={"Phone": "12"}),
+        event(NODE, ["a"], "UPDATE", ["Phone"], values={"Phone": None}),
+        event(NODE, ["a"], "UPDATE", ["Phone"], values={"Phone": "x"}),
+        event(NODE, ["a"], "DELETE", values={"Phone": "x"}),
+    ], chosen).orderBy("replay_id")
+    assert [r["outcome"] for r in rows.collect()] == [
+        "bad value", "applied", "applied", "bad value", "applied"]
+    assert p.change_rows(rows, chosen).count() == 3
+
+
 def test_handlers_and_converters_can_be_replaced(spark):
     chosen = binding(converters={"Phone": lambda v: F.concat(F.lit("+"), v)})
     handlers = {**p.DEFAULT_HANDLERS, "DELETE": lambda f: (f.value, f.wire.isNotNull())}

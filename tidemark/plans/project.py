@@ -95,7 +95,7 @@ def decode_binding(events: DataFrame, binding: Binding) -> DataFrame:
     return decode_payloads(events, binding.revisions, wanted)
 
 
-ENTRIES = "changed_entries"
+ENTRIES, LOST = "changed_entries", "value_lost"
 
 
 class FieldAccess:
@@ -159,7 +159,8 @@ def project(
     decoded: DataFrame, binding: Binding, handlers: dict[str, FieldHandler] | None = None
 ) -> DataFrame:
     """Decoded events with ``target`` and ``written``, structs of the target columns'
-    new values and of whether the event writes them, and their ``outcome``.
+    new values and of whether the event writes them, and their ``outcome``. An event
+    with a value that does not convert to its column is not applied.
     """
     handlers = DEFAULT_HANDLERS if handlers is None else handlers
     schemas = {i: parse_schema(text) for i, text in binding.revisions.items()}
@@ -167,7 +168,7 @@ def project(
     by_target: dict[str, list[FieldAccess]] = {}
     for mapped in binding.fields:
         by_target.setdefault(mapped.target, []).append(FieldAccess(binding, mapped, schemas))
-    values, flags = [], []
+    values, flags, lost = [], [], F.lit(False)
     for target, accesses in by_target.items():
         value, written = None, None
         for change_type, handler in handlers.items():
@@ -176,6 +177,7 @@ def project(
             for access in reversed(accesses):
                 v, w = handler(access)
                 w = here & F.coalesce(w, F.lit(False))
+                lost = lost | (w & access.wire.isNotNull() & access.value.isNull())
                 value = F.when(w, v) if value is None else value.when(w, v)
                 written = w if written is None else written | w
         values.append(value.alias(target))
@@ -183,14 +185,16 @@ def project(
     parsed = decoded.withColumn(ENTRIES, bitmap.parsed_entries(F.col("header.changedFields")))
     out = parsed.withColumns({
         **({"target": F.struct(*values), "written": F.struct(*flags)} if values else {}),
-        "outcome": event_outcome(binding.flag is not None),
+        "outcome": event_outcome(binding.flag is not None), LOST: lost,
     })
     touched = F.lit(False)
     for target in by_target:
         touched = touched | F.col("written")[target]
     empty = (F.col("outcome") == routing.APPLIED) & (kind == "UPDATE") & ~touched
-    outcome = F.when(empty, routing.NO_CHANGE).otherwise(F.col("outcome"))
-    return out.drop(ENTRIES).withColumn("outcome", outcome)
+    outcome = F.when(empty, routing.NO_CHANGE).when(
+        (F.col("outcome") == routing.APPLIED) & F.col(LOST), routing.BAD_VALUE
+    ).otherwise(F.col("outcome"))
+    return out.withColumn("outcome", outcome).drop(ENTRIES, LOST)
 
 
 def applied_ids(ids: Column, kind: Column) -> Column:

@@ -19,6 +19,7 @@ BAD_HEADER = "bad header"
 UNKNOWN_KIND = "unknown type"
 UNSUPPORTED_KIND = "unsupported type"
 BAD_BITMAP = "bad bitmap"
+BAD_VALUE = "bad value"
 UNDELETE_SKIPPED = "undelete skipped"
 NO_CHANGE = "no change"
 NO_KEY_MAPPING = "no key mapping"
