@@ -209,7 +209,7 @@ def test_chunked_encoding_equals_the_library():
                 chunk[side] = [s if s is None else (s[0] + since, s[1] + since) for s in chunk[side]]
             parts.append(chunk)
         states = pieces.states_within(parts, None, None)
-        ids = np.concatenate([pieces.path_ids(c, c["ins"].index(a), c["outs"].index(b))
+        ids = np.concatenate([pieces.path_ids(mine, c, c["ins"].index(a), c["outs"].index(b))
                               for c, (a, b) in zip(parts, states, strict=True)]).tolist()
         assert ids == library.encode(text[1:]), n
         half = len(parts) // 2

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import text_values
 from tidemark.session import staged
+from tidemark.sizing import broadcast_if_small
 
 CHUNK = 16_384  # characters; a longer text is giant
 FAN = 32  # matrices combined in one group
@@ -138,7 +139,7 @@ def chunk_paths(pieces: Pieces, text: str, low: int, high: int, ends_left: bool,
                 matrix[r, c] = -len(direct[r, c])
     return {"ins": list(ins), "outs": list(outs), "matrix": matrix, "direct": direct,
             "before": [v[:2] for v in ins.values()], "after": [v[:2] for v in outs.values()],
-            "ids": main.ids, "first": main.first}
+            "ids": packed(main.ids)}
 
 
 def joined_in(pieces, text, start, low, high, main):
@@ -182,15 +183,28 @@ def joined_out(pieces, text, end, low, high, main):
     return state, int(theirs[-1]), side.slice(int(ours[-1]) + 1, len(side))
 
 
-def path_ids(chunk: dict, row: int, column: int) -> np.ndarray:
+def packed(ids: np.ndarray) -> bytes:
+    """Ids as they are written between steps."""
+    import zstandard
+
+    return zstandard.compress(ids.astype("<i4").reshape(-1, 1).view(np.uint8).T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").reshape(-1)
+
+
+def path_ids(pieces: Pieces, chunk: dict, row: int, column: int) -> np.ndarray:
+    """The ids of a chunk on the path between two of its states."""
     if (row, column) in chunk["direct"]:
         return chunk["direct"][row, column]
     before, i = chunk["before"][row]
     j, after = chunk["after"][column]
-    first, ids = chunk["first"], chunk["ids"]
-    start = first[i] if i < len(first) else len(ids)
-    stop = first[j + 1] if j + 1 < len(first) else len(ids)
-    return np.concatenate((before, ids[start:stop], after))
+    main = Units(unpacked(chunk["ids"]), pieces.length, 0)
+    return np.concatenate((before, main.slice(i, j + 1), after))
 
 
 def combined(left: dict, right: dict) -> dict:
@@ -243,15 +257,15 @@ def short_encoded(docs: DataFrame, path: str) -> DataFrame:
     def encode(batches):
         pieces = kept_pieces(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
                 ids = [np.array(i, "<i4").tobytes() for i in pieces.encode(text_values(part.column(1)))]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([1] * len(ids), pa.int64()), pa.array(ids)],
-                    ["doc_id", "text", "n_chunks", "ids"])
+                    [part.column(0), pa.array([1] * len(ids), pa.int64()), pa.array(ids, pa.binary())],
+                    ["doc_id", "n_chunks", "ids"])
 
     return docs.filter(F.length("text") < CHUNK).mapInArrow(
-        encode, "doc_id long, text string, n_chunks long, ids binary")
+        encode, "doc_id long, n_chunks long, ids binary")
 
 
 def giant_chunks(docs: DataFrame, path: str) -> DataFrame:
@@ -341,18 +355,20 @@ def giant_encoded(docs: DataFrame, path: str) -> DataFrame:
     What is gathered in one row is one document's ids, less than its text.
     """
     chunks = giant_chunks(docs, path)
-    placed = chunks.join(chosen_states(chunks).withColumnRenamed("row", "r").withColumnRenamed("k", "c"),
+    states = chosen_states(chunks).withColumnRenamed("row", "r").withColumnRenamed("k", "c")
+    placed = chunks.join(broadcast_if_small(states),
                          (F.col("row") == F.col("r")) & (F.col("k") == F.col("c")))
 
     def read(batches):
+        pieces = kept_pieces(path)
         for batch in batches:
             for row in batch.to_pylist():
                 chunk = pickle.loads(row["chunk"])
                 start, end = pickle.loads(row["states"])
-                ids = path_ids(chunk, chunk["ins"].index(start), chunk["outs"].index(end))
+                ids = path_ids(pieces, chunk, chunk["ins"].index(start), chunk["outs"].index(end))
                 yield pa.RecordBatch.from_pylist([{
                     "row": row["row"], "doc_id": row["doc_id"], "k": row["k"], "count": row["count"],
-                    "ids": ids.astype("<i4").tobytes()}],
+                    "ids": packed(ids)}],
                     schema=pa.schema([(n, pa.int64()) for n in ("row", "doc_id", "k", "count")]
                                      + [("ids", pa.binary())]))
 
@@ -367,7 +383,7 @@ def giant_encoded(docs: DataFrame, path: str) -> DataFrame:
             for row in batch.to_pylist():
                 yield pa.RecordBatch.from_pylist([{
                     "doc_id": row["doc_id"], "n_chunks": row["n_chunks"],
-                    "ids": b"".join(p["ids"] for p in row["parts"])}],
+                    "ids": b"".join(unpacked(p["ids"]).tobytes() for p in row["parts"])}],
                     schema=pa.schema([("doc_id", pa.int64()), ("n_chunks", pa.int64()), ("ids", pa.binary())]))
 
     return whole.select("doc_id", "n_chunks", "parts").mapInArrow(
@@ -381,7 +397,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return short_encoded(rows, path).select("doc_id", "n_chunks", "ids").union(giant_encoded(rows, path))
+    return short_encoded(rows, path).union(giant_encoded(rows, path))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -392,8 +408,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         pieces = kept_pieces(path)
         at = fields.names.index("ids")
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
+            for low in range(0, batch.num_rows, 100):
+                part = batch.slice(low, 100)
                 texts = [pieces.decode(np.frombuffer(i, "<i4").tolist()) for i in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())],
                                                  [*fields.names, "decoded"])
