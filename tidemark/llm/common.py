@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A batch that goes to Python ends at this size, however long its texts are.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 BATCH_ROWS = 10_000
 
 # Bytes that separate words: space and U+0009 to U+000D.

@@ -42,8 +42,8 @@ from tidemark.sizing import broadcast_if_small
 PERCENT = 75  # similarity of linked documents
 FIRST = 12  # smallest hashes whose lists are used to link near copies
 MEETINGS = 3  # of those lists in which a pair must meet to be probed
-BLOCK = 500_000  # shingles of documents whose lists are asked for together
-BUCKET = 1_000_000  # shingles whose lists are counted together
+BLOCK = 250_000  # shingles of documents whose lists are asked for together
+BUCKET = 250_000  # shingles whose lists are counted together
 EXACT = 128  # lengths of lists below this are told exactly
 
 def hashed(docs: DataFrame, schema: str, row) -> DataFrame:
