@@ -25,6 +25,7 @@ Sets are hashed from the texts again where they are needed, as they are larger t
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -44,6 +45,7 @@ FIRST = 12  # smallest hashes whose lists are used to link near copies
 MEETINGS = 3  # of those lists in which a pair must meet to be probed
 BLOCK = 250_000  # shingles of documents whose lists are asked for together
 BUCKET = 250_000  # shingles whose lists are counted together
+PART = 512 << 10  # bytes of texts hashed at a time
 EXACT = 128  # lengths of lists below this are told exactly
 
 def hashed(docs: DataFrame, schema: str, row) -> DataFrame:
@@ -54,9 +56,7 @@ def hashed(docs: DataFrame, schema: str, row) -> DataFrame:
 
     def batches(incoming):
         for batch in incoming:
-            rows = max(1, min(batch.num_rows, batch.num_rows * (2 << 20) // max(batch.nbytes, 1)))
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            for part in parts_of(batch):
                 made = [row(i, s) for i, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1)), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*made, strict=True), arrow, strict=True)], names)
@@ -64,6 +64,13 @@ def hashed(docs: DataFrame, schema: str, row) -> DataFrame:
     return id_and_text(docs).mapInArrow(batches, schema)
 
 
+def parts_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of about PART bytes, as hashing takes many times the memory of its texts."""
+    rows = max(1, min(batch.num_rows, batch.num_rows * PART // max(batch.nbytes, 1)))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def digest_of(hashes: np.ndarray) -> bytes:
     return hashlib.md5(hashes.tobytes()).digest()
 
@@ -138,27 +145,32 @@ def near_copies(sets: DataFrame) -> DataFrame:
         F.col("met") >= F.least(F.lit(MEETINGS), "least")).select("x", "y")
 
 
-def blocks_of(docs: DataFrame, copies: DataFrame) -> DataFrame:
-    """Documents in blocks of about BLOCK listed shingles: block, docs, sizes and hashes as bytes."""
+def blocks_of(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Documents in blocks of about BLOCK listed shingles: block, docs, sizes and hashes as bytes.
+
+    Those whose ids are in ``gone`` are left out. One step hashes and gathers, as every
+    Python step of a task has a process of its own.
+    """
     def gather(batches):
         number = TaskContext.get().partitionId() << 32
         docs, sizes, hashes, held = [], [], [], 0
-        for batch in batches:
-            for doc_id, n, data in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "listed")), strict=True):
+        for part in (p for batch in batches for p in parts_of(batch)):
+            for doc_id, found in zip(part.column(0).to_pylist(), shingle_sets(part.column(1)), strict=True):
+                if doc_id is None or not len(found):
+                    continue
+                count = listed_part(len(found))
                 docs.append(doc_id)
-                sizes.append(n)
-                hashes.append(data)
-                held += listed_part(n)
+                sizes.append(len(found))
+                hashes.append(found[:count].tobytes())
+                held += count
                 if held >= BLOCK:
                     yield block_row(number, docs, sizes, hashes)
                     number, docs, sizes, hashes, held = number + 1, [], [], [], 0
         if docs:
             yield block_row(number, docs, sizes, hashes)
 
-    rows = hashed(docs, "doc_id long, n long, digest binary, listed binary", lambda i, s: (
-        i, len(s), digest_of(s), s[:listed_part(len(s))].tobytes())).filter("n > 0 AND doc_id IS NOT NULL")
-    rows = rows.join(broadcast_if_small(copies), ["doc_id", "digest"], "left_anti")
-    return staged(rows.select("doc_id", "n", "listed").mapInArrow(
+    rows = id_and_text(docs).join(broadcast_if_small(gone), "doc_id", "left_anti")
+    return staged(rows.mapInArrow(
         gather, "block long, docs binary, sizes binary, hashes binary"), "shingle-blocks")
 
 
@@ -280,7 +292,10 @@ def linked(docs: DataFrame) -> DataFrame:
     copied = probe(staged(near_copies(sets), "near-pairs"), docs)
     known = components(copied)
     total = full.agg(F.sum("n")).first()[0] or 0  # one number
-    lists = short_lists(blocks_of(docs, copies), max(1, -(-total // (3 * BUCKET))))
+    # An id that comes with another text as well is listed with all of them.
+    gone = staged(copies.select("doc_id").distinct().join(
+        sets.select("doc_id").distinct(), "doc_id", "left_anti"), "gone")
+    lists = short_lists(blocks_of(docs, gone), max(1, -(-total // (3 * BUCKET))))
     more = probe(staged(meeting(lists, known), "meeting-pairs"), docs)
     # Links between equal sets join the rest: an id may come with several texts.
     same = ids.join(first, "digest").select(F.col("doc_id").alias("a"), F.col("same").alias("b"))

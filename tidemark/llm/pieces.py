@@ -15,7 +15,6 @@ tree again gives every chunk its states, from which it reads its own pieces.
 from __future__ import annotations
 
 import pickle
-import zlib
 
 import numpy as np
 import pandas as pd
@@ -421,17 +420,8 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_chunks, n_pieces, ids_crc32, decoded_sha256,
     decoded_chars. An empty table gives no rows.
     """
-    fields = "doc_id long, n_chunks long, n_pieces long, ids_crc32 long, decoded string"
-
-    def summed(batches):
-        for batch in batches:
-            ids = batch.column("ids").to_pylist()
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("n_chunks"), pa.array([len(i) // 4 for i in ids], pa.int64()),
-                pa.array([zlib.crc32(i) for i in ids], pa.int64()), batch.column("decoded")],
-                ["doc_id", "n_chunks", "n_pieces", "ids_crc32", "decoded"])
-
-    return decode(encode(docs, path), path).mapInArrow(summed, fields).select(
-        "doc_id", "n_chunks", "n_pieces", "ids_crc32",
+    return decode(encode(docs, path), path).select(
+        "doc_id", "n_chunks", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"),
+        F.crc32("ids").alias("ids_crc32"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
         F.length("decoded").cast("long").alias("decoded_chars"))
