@@ -149,6 +149,26 @@ def test_exact_groups(docs, empty, plain_rows):
     assert exact.without_copies(empty).count() == 0
 
 
+@pytest.mark.parametrize("rows", [
+    [(i, f"few {i}") for i in range(5)] + [(10**18 + i, f"text {i % 900}") for i in range(1200)],
+    [(i, "the same") for i in range(1000)] + [(2000 + i, f"text {i}") for i in range(900)],
+])
+def test_exact_buckets_stay_small_however_ids_lie(spark, monkeypatch, rows):
+    sizes, merge = [], exact.merge
+
+    def measured(index, fresh, buckets):
+        of = exact.bucket("digest", buckets)
+        sizes.extend(r["count"] for r in fresh.groupBy(of).count().collect())
+        sizes.extend(len(r.digests) // 32 for r in index.collect())
+        return merge(index, fresh, buckets)
+
+    monkeypatch.setattr(exact, "BUCKET_DIGESTS", 50)
+    monkeypatch.setattr(exact, "merge", measured)
+    found = exact.exact_duplicates(spark.createDataFrame(rows, "doc_id LONG, text STRING"))
+    assert bag(found, "doc_id", "keep_id", "group_size", "text_sha256") == exact_want(rows)
+    assert max(sizes) <= 100
+
+
 def test_perfect_hash_is_minimal_and_checked():
     keys = np.random.default_rng(1).integers(0, 1 << 63, (5000, 4), np.uint64)
     hashed = exact.PerfectHash.from_bytes(exact.PerfectHash.build(keys).to_bytes())

@@ -207,17 +207,17 @@ def merge(index: DataFrame, fresh: DataFrame, buckets: int) -> DataFrame:
 def groups_of(rows: DataFrame) -> DataFrame:
     """The groups of equal digests of ``rows`` (from ``located``).
 
-    The older half of the range of ids is the history, whose distinct digests are indexed;
-    the newer half is looked up in it.
+    The rows up to about the median id are the history, whose distinct digests are indexed;
+    the newer ones are looked up in it. Buckets are sized by the side with more digests, so
+    that none is large on either, however ids and copies are spread.
     """
-    # One row of two numbers; ids alone are read.
-    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
-    middle = 0 if low is None else (low + high) // 2
-    old = F.coalesce(F.col("doc_id") <= middle, F.lit(True))
+    # One number; ids alone are read. Where it lies decides the time only.
+    middle = rows.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
+    old = F.coalesce(F.col("doc_id") <= F.lit(middle).cast("long"), F.lit(True))
     history = staged(grouped(rows.filter(old)), "history")
-    buckets = max(1, -(-history.count() // BUCKET_DIGESTS))
-    return staged(merge(build_index(history, buckets), grouped(rows.filter(~old)), buckets),
-                  "groups")
+    fresh = staged(grouped(rows.filter(~old)), "fresh")
+    buckets = max(1, -(-max(history.count(), fresh.count()) // BUCKET_DIGESTS))
+    return staged(merge(build_index(history, buckets), fresh, buckets), "groups")
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
