@@ -61,6 +61,25 @@ def test_character_network_adds_only_what_looks_like_findings():
     assert secrets.fit(windows[:3], [1] * 3, [2] * 3).thresholds == (2.0, 2.0, 2.0)
 
 
+def test_all_of_every_run_is_looked_at():
+    key = "Zk93qLx7VbT20pWmRs4Y"
+    text = f"see //host/very/long/path/of/many/names/and/more/cfg.key={key} or {'0f' * 8}/{key} and NoDigitsInThisOne é"
+    base, looked = secrets.examined(text)
+    others = [text[s["start"]:s["end"]] for s in looked if s["label"] == 0]
+    assert others == [text[4:text.index(" or ")], f"/{key}", "NoDigitsInThisOne"]
+    assert [text[s["start"]:s["end"]] for s in base] == ["0f" * 8]
+    codes = bytes(ord(c) - 31 for c in key)
+    for at, width in ((0, 0), (1, 40), (40, 41), (60, 61), (300, 333)):
+        whole = "q" * at + key + "/" * width
+        windows = secrets.windows_of(whole, 0, len(whole))
+        parts = [windows[i:i + secrets.SIZE] for i in range(0, len(windows), secrets.SIZE)]
+        assert any(codes in p[secrets.BEFORE:secrets.BEFORE + secrets.INSIDE] for p in parts), at
+    net = secrets.CharNet.fresh(np.random.default_rng(1))
+    each = [s["windows"] for s in looked]
+    want = [max(net.probability(np.frombuffer(w, np.uint8).reshape(-1, secrets.SIZE))) for w in each]
+    assert net.surest(each) == pytest.approx(want, rel=1e-4) and len(each[1]) > secrets.SIZE
+
+
 # 2 Quality classifier
 
 def texts_of_two_kinds(count):
