@@ -80,6 +80,21 @@ def test_all_of_every_run_is_looked_at():
     assert net.surest(each) == pytest.approx(want, rel=1e-4) and len(each[1]) > secrets.SIZE
 
 
+def test_thresholds_keep_the_asked_share_of_each_form():
+    rng = np.random.default_rng(9)
+    # Findings of form 1 look like the many other runs, so the network is not sure of them.
+    sums = np.r_[rng.normal(4, 1, 200), rng.normal(-3, 1, 40), rng.normal(-4, 1, 2000)]
+    y, forms = np.r_[np.ones(240), np.zeros(2000)], np.r_[np.full(200, 2), np.full(40, 1), np.zeros(2000)].astype(int)
+    net = secrets.CharNet.fresh(rng)
+    net.sums = lambda codes: sums
+    secrets.calibrate(net, sums, y, forms, np.ones(2240, bool))
+    sure = net.probability(sums)
+    kept = sure >= np.take(net.thresholds, forms)
+    assert sure[200:240].min() < 0.5
+    assert kept[:200].mean() >= secrets.RECALL and kept[200:240].mean() >= secrets.RECALL
+    assert net.recalls == (None, kept[200:240].mean(), kept[:200].mean())
+
+
 # 2 Quality classifier
 
 def texts_of_two_kinds(count):
