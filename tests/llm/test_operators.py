@@ -238,6 +238,15 @@ def test_contexts_find_identifiers_of_another_form(spark):
     assert (kind, rows[12][1][int(start):int(end)]) == ("context", "AB-7701-Q")
 
 
+def test_found_values_bring_in_further_patterns(spark):
+    rows = [(i, f"reach: user{i}@host.example.org {prose(i, 9)}") for i in range(12)]
+    rows += [(20 + i, f"{prose(i, 8)} reach: AB-77{i}1-Q then") for i in range(3)]
+    rows += [(30 + i, f"{prose(i, 7)} konto AB-77{i % 3}1-Q and") for i in range(9)]
+    rows += [(50, "the konto ZX-9999-K is new"), (51, "a room 12345 is none")]
+    found = personal.personal_data(spark.createDataFrame(rows, "doc_id LONG, text STRING"))
+    assert {r.doc_id: r.spans for r in found.filter("n_context > 0 AND doc_id >= 50").collect()} == {50: "context:10:19"}
+
+
 def test_personal_spans_of_many_matches(spark):
     text = " ".join(f"u{i}@h.example 10.0.0.{i % 300} é" for i in range(700))
     found = personal.personal_data(spark.createDataFrame([(1, text)], "doc_id LONG, text STRING")).first()

@@ -4,8 +4,9 @@ All of it is DataFrame operations. Emails, addresses, cards and phone numbers fo
 their form are the seeds. The word before a seed is a lexical pattern. Patterns and the
 values that follow them form a graph: a pattern is as sure as the share of all its
 occurrences in the corpus that stand before sure values, and a value is as sure as the
-patterns before it make it, taken together. After a few rounds the surest patterns mark
-identifiers of other forms, as ``context`` spans.
+patterns before it make it, taken together. Values that became sure bring in further
+patterns, until none is added. The surest patterns mark identifiers of other forms, as
+``context`` spans.
 """
 
 from __future__ import annotations
@@ -36,9 +37,9 @@ IP_PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 TOKEN = rf"(?<![^{SPACE}])(?=[^{SPACE}]*[0-9@])[^{SPACE}]++"
 
 CONTEXT_CHARS = 64  # of the text before a value, in which its pattern is looked for
-ROUNDS = 3
-LEAST_SEEDS = 3  # distinct seeds before which a pattern must stand
-LEAST_SURE = 0.6  # of a pattern that marks identifiers
+ROUNDS = 3  # in which a pattern is scored, from the one that takes it in
+LEAST_SEEDS = 3  # distinct sure values, seeds or found, before which a pattern must stand
+LEAST_SURE = 0.6  # of a pattern that marks identifiers, and of a value that brings in patterns
 LEAST_DIGITS = 4  # of an identifier without an at sign
 SPANS = "array<struct<start: long, kind: int, end: long, value: string>>"
 BLOCK = 256
@@ -148,27 +149,43 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def sure_patterns(tokens: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Patterns that mark identifiers, from ``tokens`` (pattern, value, seed)."""
+    """Patterns that mark identifiers, from ``tokens`` (pattern, value, seed).
+
+    A pattern is taken in once it stands before LEAST_SEEDS distinct values that are sure by
+    then, and scored for ``rounds`` rounds; after them it keeps its score, as values that it
+    found itself would raise it further. It goes on until all are scored and none is added.
+    """
     edges = staged(tokens.groupBy("pattern", "value").agg(
         F.count("*").alias("n"), F.max("seed").alias("seed")), "pattern-edges")
-    promising = staged(edges.filter("seed").groupBy("pattern").agg(
-        F.count("*").alias("seeds")).filter(F.col("seeds") >= LEAST_SEEDS), "seed-patterns")
-    edges = staged(edges.join(promising.join(word_counts(docs), "pattern"), "pattern"), "graph")
-    sure = None
-    for _ in range(rounds):
-        if sure is None:
-            scored = edges.withColumn("sure", F.col("seed").cast("double"))
+    # A pattern before fewer values can never be taken in.
+    wide = edges.groupBy("pattern").agg(F.count("*").alias("held")).filter(F.col("held") >= LEAST_SEEDS)
+    counts = staged(wide.select("pattern").join(word_counts(docs), "pattern"), "pattern-counts")
+    graph = staged(edges.join(counts, "pattern"), "graph")
+    patterns, known, quiet = None, 0, 0
+    while True:
+        if patterns is None:
+            scored = graph.withColumn("sure", F.col("seed").cast("double"))
         else:
             # Noisy or over the patterns before a value; a seed stays sure. The logarithm of
             # zero is left to the sum's smallest number.
-            values = edges.join(sure.withColumnRenamed("sure", "of"), "pattern").groupBy("value").agg(
+            of = patterns.filter("age > 0").select("pattern", F.col("sure").alias("of"))
+            values = graph.join(of, "pattern").groupBy("value").agg(
                 (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("of"), F.lit(1e-9)))))).alias("found"))
-            scored = edges.join(values, "value", "left").withColumn(
+            scored = graph.join(values, "value", "left").withColumn(
                 "sure", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("found", F.lit(0.0))))
-        sure = staged(scored.groupBy("pattern").agg(
-            F.least(F.sum(F.col("sure") * F.col("n")) / F.max("occurrences"), F.lit(1.0)).alias("sure")),
-            "sure-patterns")
-    return sure.filter(F.col("sure") >= LEAST_SURE)
+        now = scored.groupBy("pattern").agg(
+            F.least(F.sum(F.col("sure") * F.col("n")) / F.max("occurrences"), F.lit(1.0)).alias("sure"),
+            (F.count_if(F.col("sure") >= LEAST_SURE) >= LEAST_SEEDS).cast("int").alias("age"))
+        if patterns is not None:
+            before = patterns.select("pattern", F.col("sure").alias("was"), F.col("age").alias("past"))
+            now = now.join(before, "pattern").select(
+                "pattern", F.when(F.col("past") >= rounds, F.col("was")).otherwise(F.col("sure")).alias("sure"),
+                F.when(F.col("past") > 0, F.col("past") + 1).otherwise(F.col("age")).alias("age"))
+        patterns = staged(now, "scored-patterns")
+        taken = patterns.filter("age > 0").count()
+        known, quiet = taken, quiet + 1 if taken == known else 1
+        if quiet >= rounds or not taken:
+            return patterns.filter((F.col("age") > 0) & (F.col("sure") >= LEAST_SURE))
 
 
 def listed(spans: Column) -> Column:
