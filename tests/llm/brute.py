@@ -137,3 +137,74 @@ def warc_rows(pages):
 
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def one_edit(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if a == b or len(b) - len(a) > 1:
+        return False
+    i = 0
+    while i < len(a) and a[i] == b[i]:
+        i += 1
+    return a[i + 1:] == b[i + 1:] if len(a) == len(b) else a[i:] == b[i + 1:]
+
+
+def variants(rows):
+    counts = Counter()
+    for doc_id, text in rows:
+        for run in re.findall("[A-Za-z\u00C0-\u00FF]+", text or ""):
+            run = run.translate(LOWER)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            if h % 199 == 0:
+                run = run[:h % len(run)] + run[h % len(run) + 1:]
+            counts[run] += 1
+    counts = {w: n for w, n in counts.items() if len(w) >= 6 and n >= 5}
+    near = {w: [v for v in counts if one_edit(w, v)] for w in counts}
+    best = {w: min(vs, key=lambda v: (-counts[v], v)) for w, vs in near.items() if vs}
+    form = {w: v for w, v in best.items() if counts[v] >= 5 * counts[w]}
+    out = []
+    for w, n in counts.items():
+        root = w
+        while root in form:
+            root = form[root]
+        out.append((w, form.get(w), root, n, len(near[w]), counts[form[w]] if w in form else None))
+    return out
+
+
+def leaf(row):
+    return sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row))
+
+
+def tree(hashes):
+    levels = [hashes]
+    while len(levels[-1]) > 1:
+        levels.append([sha("".join(levels[-1][i:i + 8])) for i in range(0, len(levels[-1]), 8)])
+    return levels
+
+
+def manifest(rows):
+    """Of rows (doc_id, source, lang, n_chars, text)."""
+    by_lang = defaultdict(list)
+    for row in rows:
+        by_lang[row[2]].append(row)
+    langs = sorted(by_lang, key=lambda v: (v is not None, (v or "").encode()))
+    for lang in langs:
+        by_lang[lang].sort(key=lambda r: (r[0] is not None, r[0] or 0, leaf(r)))
+    trees = [tree([leaf(r) for r in by_lang[v]]) for v in langs]
+    top = tree([t[-1][0] for t in trees])
+    out = []
+    for number, lang in enumerate(langs):
+        for place, row in enumerate(by_lang[lang]):
+            doc_id, text = row[0], row[4]
+            if zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 3 == 0 and text is not None:
+                text = text.translate(LOWER)
+            fold, proof = leaf((*row[:4], text)), []
+            for levels, at in ((trees[number], place), (top, number)):
+                for nodes in levels[:-1]:
+                    first = at - at % 8
+                    left, right = nodes[first:at], nodes[at + 1:first + 8]
+                    proof += left + right
+                    fold, at = sha("".join([*left, fold, *right])), at // 8
+            out.append((doc_id, leaf(row), trees[number][-1][0], top[-1][0], sha("".join(proof)), fold, fold == top[-1][0]))
+    return out

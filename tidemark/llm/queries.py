@@ -1,4 +1,4 @@
-"""The queries of this subpackage, op1_ to op10_ and pipeline, and their SQL."""
+"""The queries of this subpackage, op1_ to op13_ and pipeline, and their SQL."""
 
 from __future__ import annotations
 
@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm import bytenet as op2
 from tidemark.llm import exact as op4
 from tidemark.llm import jaccard as op7
+from tidemark.llm import merkle as op13
 from tidemark.llm import mixing as op10
 from tidemark.llm import personal as op5
 from tidemark.llm import pieces as op6
 from tidemark.llm import rules as op3
 from tidemark.llm import secrets as op1
+from tidemark.llm import spelling as op11
 from tidemark.llm import token_files as op9
+from tidemark.llm import toxicity as op12
 from tidemark.llm import warc as op8
 from tidemark.llm.common import prepare, table
 
@@ -147,3 +150,128 @@ def token_files(spark, sf_dir):
 @query("op10_mixing")
 def mixing(spark, sf_dir):
     return op10.mix(table(spark, sf_dir, "documents"))
+
+
+# crc32 bit by bit, lowest first, of a text whose code points have one or two bytes in UTF-8.
+CRC_SQL = """
+xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+    flatten(list_transform(string_split({text}, ''), lambda c: CASE
+        WHEN c = '' THEN []::BIGINT[] WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT]
+        ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)]::BIGINT[] END)),
+    lambda b: list_transform(range(8), lambda i: (b >> i) & 1)))),
+    lambda a, x: xor(a >> 1, 3988292384 * (xor(a, x) & 1))))"""
+
+SPELLING_SQL = r"""
+WITH RECURSIVE t AS (
+    SELECT coalesce(doc_id::VARCHAR, '') AS id,
+           unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run
+    FROM documents),
+r AS (
+    SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run,
+           count(*) AS k
+    FROM t GROUP BY ALL),
+h AS (SELECT run, k, length(run) AS size, """ + CRC_SQL.format(text="id || ':' || run") + """ AS crc FROM r),
+w AS (
+    SELECT CASE WHEN crc % 199 = 0 THEN left(run, crc % size) || substr(run, crc % size + 2)
+                ELSE run END AS word, k
+    FROM h),
+v AS (
+    SELECT word, sum(k)::BIGINT AS n FROM w WHERE length(word) >= 6
+    GROUP BY word HAVING sum(k) >= 5),
+d AS (
+    SELECT word, i, left(word, i) || substr(word, i + 2) AS less
+    FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+p AS (
+    SELECT a.word, b.word AS other FROM d a JOIN d b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+    UNION SELECT d.word, v.word FROM d JOIN v ON d.less = v.word
+    UNION SELECT v.word, d.word FROM d JOIN v ON d.less = v.word),
+b AS (
+    SELECT p.word, count(*) AS n_near, first(p.other ORDER BY o.n DESC, p.other) AS best,
+           max(o.n) AS best_n
+    FROM p JOIN v o ON o.word = p.other GROUP BY p.word),
+f AS (
+    SELECT v.word, n, coalesce(n_near, 0) AS n_near,
+           CASE WHEN best_n >= 5 * n THEN best END AS form,
+           CASE WHEN best_n >= 5 * n THEN best_n END AS form_n
+    FROM v LEFT JOIN b USING (word)),
+walk AS (
+    SELECT word, word AS at FROM f
+    UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.at WHERE f.form IS NOT NULL),
+ends AS (SELECT walk.word, walk.at AS root FROM walk JOIN f ON f.word = walk.at WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN ends USING (word)
+"""
+
+
+@query("op11_spelling_variants", SPELLING_SQL)
+def spelling_variants(spark, sf_dir):
+    return op11.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op12_toxicity")
+def toxicity(spark, sf_dir):
+    return op12.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+MANIFEST_SQL = """
+WITH RECURSIVE d AS (
+    SELECT row_number() OVER () AS r, *, """ + CRC_SQL.format(text="coalesce(doc_id::VARCHAR, '')") + """ AS crc
+    FROM documents),
+x AS (
+    SELECT *, concat(
+        coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'),
+        coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'),
+        coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head,
+        CASE WHEN crc % 3 = 0
+             THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+             ELSE text END AS changed
+    FROM d),
+h AS (
+    SELECT r, doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+           sha256(head || coalesce(strlen(changed) || ':' || changed, '-')) AS changed
+    FROM x),
+leaves AS (
+    SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+           row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+           count(*) OVER (PARTITION BY lang) AS size
+    FROM h),
+nodes AS (
+    SELECT tree, 0 AS level, pos, size, leaf AS hash FROM leaves
+    UNION ALL
+    SELECT tree, level + 1, pos // 8, (any_value(size) + 7) // 8, sha256(string_agg(hash, '' ORDER BY pos))
+    FROM nodes WHERE size > 1 GROUP BY tree, level, pos // 8),
+subroots AS (SELECT tree, hash FROM nodes WHERE size = 1),
+top AS (
+    SELECT 0 AS level, tree AS pos, (SELECT count(*) FROM subroots) AS size, hash FROM subroots
+    UNION ALL
+    SELECT level + 1, pos // 8, (any_value(size) + 7) // 8, sha256(string_agg(hash, '' ORDER BY pos))
+    FROM top WHERE size > 1 GROUP BY level, pos // 8),
+runs AS (
+    SELECT tree, level, pos // 8 AS up, list(hash ORDER BY pos) AS hs
+    FROM nodes WHERE size > 1 GROUP BY ALL
+    UNION ALL SELECT -1, level, pos // 8 AS up, list(hash ORDER BY pos) FROM top WHERE size > 1 GROUP BY ALL),
+inner_walk AS (
+    SELECT r, tree, 0 AS level, pos, changed AS folded, '' AS proof FROM leaves
+    UNION ALL
+    SELECT w.r, w.tree, w.level + 1, w.pos // 8,
+           sha256(array_to_string(hs[1:w.pos % 8], '') || folded || array_to_string(hs[w.pos % 8 + 2:], '')),
+           proof || array_to_string(hs[1:w.pos % 8], '') || array_to_string(hs[w.pos % 8 + 2:], '')
+    FROM inner_walk w JOIN runs ON runs.tree = w.tree AND runs.level = w.level AND up = w.pos // 8),
+walk AS (
+    SELECT r, 0 AS level, tree AS pos, folded, proof
+    FROM (SELECT r, tree, arg_max(folded, level) AS folded, arg_max(proof, level) AS proof
+          FROM inner_walk GROUP BY r, tree)
+    UNION ALL
+    SELECT w.r, w.level + 1, w.pos // 8,
+           sha256(array_to_string(hs[1:w.pos % 8], '') || folded || array_to_string(hs[w.pos % 8 + 2:], '')),
+           proof || array_to_string(hs[1:w.pos % 8], '') || array_to_string(hs[w.pos % 8 + 2:], '')
+    FROM walk w JOIN runs ON runs.tree = -1 AND runs.level = w.level AND up = w.pos // 8),
+ends AS (SELECT r, arg_max(folded, level) AS folded, arg_max(proof, level) AS proof FROM walk GROUP BY r)
+SELECT doc_id, leaf, s.hash AS subroot, t.hash AS root, sha256(proof) AS proof_sha256,
+       folded AS folded_root, folded = t.hash AS verified
+FROM leaves JOIN ends USING (r) JOIN subroots s USING (tree), (SELECT hash FROM top WHERE size = 1) t
+"""
+
+
+@query("op13_merkle_manifest", MANIFEST_SQL)
+def merkle_manifest(spark, sf_dir):
+    return op13.manifest(table(spark, sf_dir, "documents"))
