@@ -202,13 +202,14 @@ def applied_ids(ids: Column, kind: Column) -> Column:
     return F.when(kind == "CREATE", F.slice(ids, 1, 1)).otherwise(F.array_distinct(ids))
 
 
-def change_rows(projected: DataFrame, binding: Binding) -> DataFrame:
-    """One change row per record id of every applied event."""
+def change_rows(projected: DataFrame, binding: Binding, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One change row per record id of every applied event, with its columns ``keep``."""
     ids = applied_ids(F.col("header.recordIds"), F.col("header.changeType"))
     return projected.filter(F.col("outcome") == routing.APPLIED).select(
         F.explode(ids).alias(binding.key_column),
         F.col("replay_id").alias(ORDER),
         F.col("header.changeType").alias(KIND),
+        *keep,
         *[F.col("target")[c].alias(c) for c in binding.columns],
         *[F.col("written")[c].alias(c + SET_SUFFIX) for c in binding.columns],
     )

@@ -25,6 +25,13 @@ NO_CHANGE = "no change"
 NO_KEY_MAPPING = "no key mapping"
 BAD_MAPPING = "bad mapping"
 
+# Outcomes of a change at its table.
+REFUSED = "refused"
+NO_ROW = "no row"
+LATE = "late"
+NO_KEY = "no key"
+NO_ORDER = "no order"
+
 
 def route(events: DataFrame, plan: DataFrame, registry: DataFrame, bindings: DataFrame) -> DataFrame:
     """Add ``binding_id`` and ``route``: direct, by name, or why there is none.

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["folding", "scalars", "configuration", "mirroring", "checking", "payloads"]
+MODULES = ["folding", "scalars", "configuration", "mirroring", "checking", "payloads", "judging"]
 
 
 def load() -> None:
