@@ -128,3 +128,126 @@ def test_files_per_trigger_bound_a_batch(spark, tmp_path):
     stream = envelope.stream_envelopes(spark, str(tmp_path / "in"), files_per_trigger=1)
     start(stream, lambda batch, _: sizes.append(batch.count()), str(tmp_path / "cp")).awaitTermination()
     assert sizes == [2, 2, 2]
+
+
+UPDATED = event_schema("NoteChangeEvent", [optional("Text", "string", "Data:Text"), optional("Title", "string", "Data:Text")])
+
+
+def two_tables():
+    """Notes and accounts bound, with nothing registered yet; texts come from a source."""
+    settings = Settings()
+    settings.bindings = [(1, None, "AccountChangeEvent", "crm.account", "Active", False, None),
+                         (2, None, "NoteChangeEvent", "crm.note", "Active", True, "gone")]
+    settings.mappings = [(1, 1, "MappedSFKey", "id"), (2, 1, "Phone", "phone"), (3, 1, "Name", "name"),
+                         (4, 2, "MappedSFKey", "id"), (5, 2, "Text", "text"), (6, 2, "Title", "title")]
+    texts = [("old", "AccountChangeEvent", OLD, 1), ("new", "AccountChangeEvent", NEW, 2),
+             ("note", "NoteChangeEvent", NOTE, 1), ("note2", "NoteChangeEvent", UPDATED, 5)]
+    settings.registry = []
+
+    def read(spark):
+        one = settings(spark)
+        one.source = spark.createDataFrame(texts, "schema_id string, record_name string, schema_json string, date_created int")
+        return one
+
+    return read
+
+
+def first_batch(spark):
+    old, note = parse_schema(OLD), parse_schema(NOTE)
+    return envelopes(spark, [
+        (1, "old", event(old, ["a"], "CREATE", values={"Phone": "1"})),
+        (2, "old", event(old, ["a"], "CREATE", values={"Phone": "2"})),
+        (3, "old", event(old, ["x", "a"], "UPDATE", ["Phone"], values={"Phone": "3"})),
+        (4, "note", event(note, ["n"], "UPDATE", ["Text"], values={"Text": "early"})),
+        (5, "note", event(note, ["n"], "CREATE", values={"Text": "t"})),
+        (6, "note", event(note, ["n"], "DELETE")),
+        (9, "nobody", b"\0"),
+    ])
+
+
+def second_batch(spark):
+    new, note = parse_schema(NEW), parse_schema(UPDATED)
+    return envelopes(spark, [
+        (2, "old", event(parse_schema(OLD), ["a"], "UPDATE", ["Phone"], values={"Phone": "late"})),
+        (10, "new", event(new, ["a"], "UPDATE", ["Name"], values={"Name": "x"})),
+        (11, "new", event(new, ["gone"], "DELETE")),
+        (12, "note2", event(note, ["n"], "UNDELETE")),
+        (13, "note2", event(note, ["n"], "UPDATE", ["Title"], values={"Title": "T"})),
+    ])
+
+
+def state_of(applier, spark, read):
+    from tidemark.streaming.pipeline import planned_bindings
+    settings = read(spark)
+    settings.registry = applier.revisions.known(settings.registry)
+    planned = planned_bindings(settings, [1, 2])[0]
+    return [{tuple(r) for r in applier.table(b).rows().select(b.key_column, *sorted(b.columns)).collect()} for b in planned]
+
+
+def test_outcomes_are_what_events_met_at_their_tables(spark, tmp_path):
+    read = two_tables()
+    applier = ChangeApplier(spark, str(tmp_path), read)
+    applier.apply(first_batch(spark), 0)
+    assert counted(applier, 0) == {
+        (1, "CREATE", "applied"): 1, (1, "CREATE", "refused"): 1, (1, "UPDATE", "applied"): 1,
+        (2, "UPDATE", "no row"): 1, (2, "CREATE", "applied"): 1, (2, "DELETE", "applied"): 1, (None, None, "no schema"): 1}
+    applier.apply(second_batch(spark), 1)
+    assert counted(applier, 1) == {
+        (1, "UPDATE", "late"): 1, (1, "UPDATE", "applied"): 1, (1, "DELETE", "no row"): 1, (2, "UNDELETE", "applied"): 1,
+        (2, "UPDATE", "applied"): 1}
+    assert state_of(applier, spark, read) == [{("a", "x", "3")}, {("n", "t", "T")}]
+    listed = {(r["replay_id"], r["outcome"]) for r in applier.quarantine().collect()}
+    assert listed == {(2, "refused"), (4, "no row"), (9, "no schema"), (2, "late"), (11, "no row")}
+
+
+def test_revisions_and_links_are_stored_once_however_often_a_batch_runs(spark, tmp_path, monkeypatch):
+    read = two_tables()
+    applier = ChangeApplier(spark, str(tmp_path), read, ask_table=False)
+    commit = applier.log.commit
+
+    def lost(manifests):
+        raise RuntimeError("the driver went away before the commit")
+
+    for number, batch in enumerate((first_batch(spark), second_batch(spark))):
+        monkeypatch.setattr(applier.log, "commit", lost)
+        with pytest.raises(RuntimeError):
+            applier.apply(batch, number)
+        monkeypatch.setattr(applier.log, "commit", commit)
+        applier.apply(batch, number)
+        applier.apply(batch, number)
+    ids = applier.revisions.registered().collect()
+    assert sorted(r["schema_id"] for r in ids) == ["new", "note", "note2", "old"]
+    assert len({r["id"] for r in ids}) == 4
+    links = spark.read.parquet(str(tmp_path / "links")).collect()
+    named = {r["id"]: r["schema_id"] for r in ids}
+    assert sorted((r["binding_id"], r["batch"], named[r["avro_schema_id"]]) for r in links) == [
+        (1, 0, "old"), (1, 1, "new"), (2, 0, "note"), (2, 1, "note2")]
+    settings = read(spark)
+    current = applier.revisions.current(settings.bindings, settings.registry).collect()
+    assert {(r["entity_name"], r["schema_id"]) for r in current} == {
+        ("AccountChangeEvent", "new"), ("NoteChangeEvent", "note2")}
+    assert state_of(applier, spark, read) == [{("a", "x", "3")}, {("n", "t", "T")}]
+
+
+def test_all_bindings_are_written_by_one_job_and_committed_at_once(spark, tmp_path):
+    read = two_tables()
+    applier = ChangeApplier(spark, str(tmp_path), read, ask_table=False)
+    applier.apply(first_batch(spark), 0)
+    written = os.listdir(tmp_path / "changes" / "stream=none" / "batch=0")
+    assert written == ["group=0"]
+    parts = sorted(p for p in os.listdir(tmp_path / "changes" / "stream=none" / "batch=0" / "group=0") if "=" in p)
+    assert parts == ["binding_id=1", "binding_id=2"]
+    assert [p for p in os.listdir(tmp_path / "commits") if "=" in p] == ["commit=0"]
+    assert {os.path.basename(at) for at in applier.log.newest()} == {"crm.account", "crm.note"}
+
+
+def test_old_commits_and_their_files_go(spark, tmp_path):
+    read = two_tables()
+    applier = ChangeApplier(spark, str(tmp_path), read, keep=1, ask_table=False, at_least=0, share=0.0)
+    old = parse_schema(OLD)
+    for number in range(4):
+        applier.apply(envelopes(spark, [(number, "old", event(old, [f"k{number}"], "CREATE", values={"Phone": "1"}))]), number)
+    assert {r[0] for r in state_of(applier, spark, read)[0]} == {"k0", "k1", "k2", "k3"}
+    assert [p for p in os.listdir(tmp_path / "commits") if "=" in p] == ["commit=3"]
+    bases = [p for p in os.listdir(tmp_path / "tables" / "crm.account" / "base")]
+    assert len(bases) == 1

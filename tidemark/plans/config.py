@@ -106,20 +106,25 @@ def subscription_plan(
     return listed.drop("_entity")
 
 
-def relink(bindings: DataFrame, registry: DataFrame, events: DataFrame, order: Column) -> DataFrame:
-    """Link each binding to the newest revision its entity's events have named."""
+def newest_named(registry: DataFrame, events: DataFrame, order: Column) -> DataFrame:
+    """``entity_name, revision, at``: the revision that the last event of each entity names."""
     named = registry.select(
         "schema_id", F.col("record_name").alias("entity_name"), F.col("id").alias("_revision")
     )
     # Reduce the events to one row per schema id before they meet the registry.
     last_seen = events.groupBy("schema_id").agg(F.max(order).alias("_at"))
-    newest = (
+    return (
         last_seen.join(named, "schema_id")
         .groupBy("entity_name")
-        .agg(F.max_by("_revision", "_at").alias("_revision"))
+        .agg(F.max_by("_revision", "_at").alias("revision"), F.max("_at").alias("at"))
     )
+
+
+def relink(bindings: DataFrame, registry: DataFrame, events: DataFrame, order: Column) -> DataFrame:
+    """Link each binding to the newest revision its entity's events have named."""
+    newest = newest_named(registry, events, order)
     joined = bindings.join(newest, "entity_name", "left")
-    linked = F.coalesce("_revision", "avro_schema_id")
+    linked = F.coalesce("revision", "avro_schema_id")
     return joined.withColumn("avro_schema_id", linked).select(*bindings.columns)
 
 

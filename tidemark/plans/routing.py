@@ -12,6 +12,7 @@ from tidemark.sizing import broadcast_if_small
 # Outcomes of an event, from routing to application.
 APPLIED = "applied"
 NO_SCHEMA = "no schema"
+BY_NAME = "by name"
 NO_BINDING = "no binding"
 INACTIVE = "inactive"
 BAD_PAYLOAD = "bad payload"
@@ -51,9 +52,9 @@ def route(events: DataFrame, plan: DataFrame, registry: DataFrame, bindings: Dat
         F.when(F.col("_direct").isNotNull(), "direct")
         .when(F.col("_named").isNull(), NO_BINDING)
         .when(~is_active(F.col("_state")), INACTIVE)
-        .otherwise("by name")
+        .otherwise(BY_NAME)
     )
-    taken = reason.isin("direct", "by name")
+    taken = reason.isin("direct", BY_NAME)
     targets = targets.select(
         "schema_id",
         F.when(taken, F.coalesce("_direct", "_named")).alias("binding_id"),

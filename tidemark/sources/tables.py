@@ -20,12 +20,70 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.fold import LAST_ORDER, LIVE, SET_SUFFIX, FoldSpec, fold, retained
+from tidemark.plans.routing import APPLIED
 from tidemark.sizing import SMALL_ROWS, is_small
 
 MANIFEST = """version bigint, step int, base string, base_rows bigint, changes array<string>,
     change_rows bigint, streams map<string, bigint>"""
 
 
+EMPTY = {"version": -1, "step": 0, "base": None, "base_rows": 0, "changes": [], "change_rows": 0, "streams": {}}
+
+
+class CommitLog:
+    """What many tables consist of, in one row per table; one commit is valid for all of them.
+
+    Every commit repeats the tables that it does not change, so that the newest alone is read.
+    There are as many rows as tables. Commits before the last ``keep`` are deleted now and then,
+    and with them the files that none of the others refers to.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keep: int = 10):
+        self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
+
+    def _listed(self) -> list[Row]:
+        try:
+            return self.spark.read.schema(f"commit bigint, at string, {MANIFEST}").parquet(self.path).collect()
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return []
+
+    def newest(self) -> dict[str, Row]:
+        """The manifest of each table by its path."""
+        listed = self._listed()
+        last = max((r["commit"] for r in listed), default=None)
+        return {r["at"]: r for r in listed if r["commit"] == last}
+
+    def commit(self, manifests: dict[str, dict]) -> None:
+        known = self.newest()
+        number = 1 + max((r["commit"] for r in known.values()), default=-1)
+        rows = {at: r.asDict() for at, r in known.items()} | manifests
+        values = [(at, *[m[f] for f in EMPTY]) for at, m in sorted(rows.items())]
+        self.spark.createDataFrame(values, f"at string, {MANIFEST}").coalesce(1).write.mode("overwrite").parquet(
+            f"{self.path}/commit={number}")
+        if number % (2 * self.keep) == 2 * self.keep - 1:
+            self.expire()
+
+    def expire(self) -> None:
+        listed = self._listed()
+        numbers = sorted({r["commit"] for r in listed})
+        kept, gone = set(numbers[-self.keep:]), numbers[:-self.keep]
+
+        def files(rows: list[Row]) -> set[str]:
+            named = {change_path(r["at"], c) for r in rows for c in r["changes"]}
+            return named | {f"{r['at']}/{kind}/{r['base']}" for r in rows if r["base"] for kind in ("base", "history")}
+
+        unused = files([r for r in listed if r["commit"] in gone]) - files([r for r in listed if r["commit"] in kept])
+        for path in [*unused, *(f"{self.path}/commit={n}" for n in gone)]:
+            delete(self.spark, path)
+
+
+def change_path(table: str, name: str) -> str:
+    """A table's own change files are named, those it shares with others given by their path."""
+    return name if "/" in name else f"{table}/changes/{name}"
+
+
 class KeyedTable:
     """A table of one row per key, kept under ``path`` on storage all executors share.
 
@@ -35,6 +93,10 @@ class KeyedTable:
     most ``small`` changed keys the base is not shuffled to be read. Versions number the
     batches taken in, whatever their own numbers. Files of versions before the last
     ``keep`` are deleted now and then, so a reader may take as long as that many batches.
+
+    With a ``log`` the table is one of many that are committed together, and changes may be
+    in files written for all of them: rows of one kind, with the columns of this table in
+    the struct named ``shared`` and its key in ``key``.
     """
 
     def __init__(
@@ -47,10 +109,13 @@ class KeyedTable:
         small: int = SMALL_ROWS,
         keep: int = 10,
         folders: int = 100,
+        log: CommitLog | None = None,
+        shared: str | None = None,
     ):
         self.spark, self.path, self.spec = spark, path.rstrip("/"), spec
         self.share, self.at_least, self.small, self.keep = share, at_least, small, keep
         self.folders = folders
+        self.log, self.shared = log, shared
 
     def _manifests(self) -> DataFrame | None:
         try:
@@ -61,6 +126,8 @@ class KeyedTable:
             return None
 
     def _newest(self) -> Row | None:
+        if self.log is not None:
+            return self.log.newest().get(self.path)
         manifests = self._manifests()
         if manifests is None:
             return None
@@ -78,9 +145,18 @@ class KeyedTable:
         return self.spark.read.parquet(f"{self.path}/base/{manifest['base']}")
 
     def _pending(self, manifest: Row) -> DataFrame | None:
-        paths = [f"{self.path}/changes/{name}" for name in manifest["changes"]]
-        # Later batches may carry columns mapped since; earlier ones did not set them.
-        return self.spark.read.option("mergeSchema", True).parquet(*paths) if paths else None
+        def read(paths: list[str]) -> DataFrame:
+            # Later batches may carry columns mapped since; earlier ones did not set them.
+            return self.spark.read.option("mergeSchema", True).parquet(*paths)
+
+        shared = [name for name in manifest["changes"] if "/" in name]
+        own = [change_path(self.path, name) for name in manifest["changes"] if "/" not in name]
+        parts = [read(own)] if own else []
+        if shared:
+            rows = read(shared).filter(F.col("outcome") == APPLIED)
+            parts.append(rows.select(F.col("key").alias(self.spec.key[0]), *self.spec.order, self.spec.kind,
+                                     f"{self.shared}.*"))
+        return _together(*parts) if parts else None
 
     def _history(self, manifest: Row) -> DataFrame | None:
         """The change rows that the base follows from."""
@@ -88,13 +164,15 @@ class KeyedTable:
             return None
         return self.spark.read.parquet(f"{self.path}/history/{manifest['base']}")
 
-    def tracked(self) -> DataFrame | None:
-        """All rows with ``live`` and ``last_order``, deleted keys included."""
-        manifest = self._newest()
+    def tracked(self, manifest: Row | None = None) -> DataFrame | None:
+        """All rows with ``live`` and ``last_order``, deleted keys included; now or at a manifest."""
+        manifest = self._newest() if manifest is None else manifest
         return None if manifest is None else self._folded(manifest)
 
     def _folded(self, manifest: Row) -> DataFrame | None:
         base, pending = self._base(manifest), self._pending(manifest)
+        if pending is not None:
+            pending = _with_columns(pending, self.spec.columns, base, sets=True)
         if base is not None:
             base = _with_columns(base, self.spec.columns, pending)
         if pending is None:
@@ -122,31 +200,32 @@ class KeyedTable:
         Numbers of another stream say nothing: one with a new checkpoint begins at 0 again.
         """
         manifest = self._newest()
-        before = manifest.asDict() if manifest is not None else {
-            "version": -1, "base": None, "base_rows": 0, "changes": [], "change_rows": 0, "streams": {}}
+        before = manifest.asDict() if manifest is not None else EMPTY
         if before["streams"].get(stream, -1) >= batch:
             return
-        version = before["version"] + 1
-        name = f"version={version}"
+        name = f"version={before['version'] + 1}"
         target = f"{self.path}/changes/{name}"
         sets = [c + SET_SUFFIX for c in self.spec.columns]
         wanted = [*self.spec.key, *self.spec.order, self.spec.kind, *self.spec.columns, *sets]
         changes.select(*dict.fromkeys(wanted)).write.mode("overwrite").parquet(target)
         # Counted from the file footers.
         arrived = self.spark.read.parquet(target).count()
+        after = self.taken(before, name, arrived, batch, stream)
+        self._commit(after)
+        if self.log is None and after["version"] % (2 * self.keep) == 2 * self.keep - 1:
+            self.expire(self.keep)
+
+    def taken(self, before: dict, name: str, arrived: int, batch: int, stream: str) -> dict:
+        """The manifest with one more batch, whose change files are there already."""
         after = {
-            **before, "version": version, "step": 0,
+            **before, "version": before["version"] + 1, "step": 0,
             "streams": {**before["streams"], stream: batch},
             "changes": [*before["changes"], name] if arrived else before["changes"],
             "change_rows": before["change_rows"] + arrived,
         }
         if after["change_rows"] > max(self.at_least, self.share * after["base_rows"]):
-            after = self._compacted(after)
-        elif len(after["changes"]) > self.folders:
-            after = self._gathered(after)
-        self._commit(after)
-        if version % (2 * self.keep) == 2 * self.keep - 1:
-            self.expire(self.keep)
+            return self._compacted(after)
+        return self._gathered(after) if len(after["changes"]) > self.folders else after
 
     def _gathered(self, manifest: dict) -> dict:
         """The pending changes put together in one folder."""
@@ -179,7 +258,9 @@ class KeyedTable:
         return {**manifest, "base": base, "base_rows": rows, "changes": [], "change_rows": 0}
 
     def _commit(self, manifest: dict) -> None:
-        row = self.spark.createDataFrame([manifest], MANIFEST)
+        if self.log is not None:
+            return self.log.commit({self.path: manifest})
+        row = self.spark.createDataFrame([{f: manifest[f] for f in EMPTY}], MANIFEST)
         target = f"{self.path}/manifest/version={manifest['version']}/step={manifest['step']}"
         row.drop("version", "step").coalesce(1).write.mode("overwrite").parquet(target)
 
@@ -196,7 +277,7 @@ class KeyedTable:
         self._commit(self._compacted(after, before))
 
     def expire(self, keep: int) -> None:
-        """Delete files that none of the newest ``keep`` manifests refers to."""
+        """Delete files that none of the newest ``keep`` manifests refers to; a log does it itself."""
         manifests = self._manifests()
         if manifests is None:
             return
@@ -219,11 +300,16 @@ def _together(*changes: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), changes)
 
 
-def _with_columns(base: DataFrame, columns: tuple[str, ...], like: DataFrame | None) -> DataFrame:
-    """Columns mapped after the base was written are NULL in it."""
-    missing = [c for c in columns if c not in base.columns]
+def _with_columns(
+    rows: DataFrame, columns: tuple[str, ...], like: DataFrame | None, sets: bool = False
+) -> DataFrame:
+    """Columns mapped after ``rows`` were written are NULL in them, and not set by changes."""
+    missing = [c for c in columns if c not in rows.columns]
     types = {} if like is None else {f.name: f.dataType for f in like.schema.fields}
-    return base.withColumns({c: F.lit(None).cast(types.get(c, T.StringType())) for c in missing})
+    added = {c: F.lit(None).cast(types.get(c, T.StringType())) for c in missing}
+    if sets:
+        added |= {c + SET_SUFFIX: F.lit(False) for c in missing}
+    return rows.withColumns(added)
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["folding", "scalars", "configuration", "mirroring", "checking", "payloads", "judging"]
+MODULES = ["folding", "scalars", "configuration", "mirroring", "checking", "payloads", "judging", "registered", "streams"]
 
 
 def load() -> None:

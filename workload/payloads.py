@@ -383,7 +383,7 @@ def apply_stream(spark, sf, name):
     encoded(spark, sf).withColumn("headers", F.array().cast(
         "array<struct<key: string, value: binary>>")).select(
         "event_id", "schema_id", "payload", "headers", "replay_id").write.parquet(f"{root}/landed")
-    applier = ChangeApplier(spark, f"{root}/state", configuration)
+    applier = ChangeApplier(spark, f"{root}/state", configuration, ask_table=False)
     files = len(spark.read.parquet(f"{root}/landed").inputFiles())
     # At least three batches where there are as many files.
     stream = envelope.stream_envelopes(spark, f"{root}/landed", files_per_trigger=max(1, -(-files // 3)))
