@@ -24,6 +24,7 @@ TYPOS = 199  # one occurrence in so many loses a code point, as its hash tells
 LEAST_CHARS, LEAST_TIMES, RATIO = 6, 5, 5
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GROUP = 1_000  # words of a group that is parted no further
+TASK_WORDS = 25_000  # words of groups compared in one task
 FAR = 2  # stands for two edits and more
 
 
@@ -197,7 +198,8 @@ def pairs(groups: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays(
             [pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["word", "other"])
 
-    dealt = groups.repartition("key").sortWithinPartitions("key")
+    # A pair costs time and few bytes, so tasks are counted by words, not by bytes.
+    dealt = groups.repartition(-(-groups.count() // TASK_WORDS) or 1, "key").sortWithinPartitions("key")
     return dealt.select("word", "key", "back").mapInArrow(compare, PAIRS)
 
 
@@ -224,7 +226,7 @@ def spelling_variants(docs: DataFrame) -> DataFrame:
     read, texts and words are taken whole at any length, and an empty table gives no rows.
     """
     words = vocabulary(docs)
-    found = staged(pairs(grouped(words.select("word"))).distinct(), "near")
+    found = staged(pairs(staged(grouped(words.select("word")), "groups")).distinct(), "near")
     both = found.unionByName(found.select(F.col("other").alias("word"), F.col("word").alias("other")))
     counted = both.join(words.select(F.col("word").alias("other"), F.col("n").alias("times")), "other")
     best = counted.groupBy("word").agg(

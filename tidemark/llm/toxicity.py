@@ -269,7 +269,7 @@ def fit(texts: list[bytes], labels: list[int], prior: float, epochs: int = 8, st
     learned = seen.sum(axis=0) >= TIMES
     learned[BUCKETS] = False
     net.vectors[learned] = random.normal(0, 0.02, (learned.sum(), VECTOR))
-    net.vectors[learned, 0] += lean(seen[:, learned], np.bincount(y[rest].astype(int), minlength=2))
+    net.vectors[learned, 0] += leaning(seen[:, learned], np.bincount(y[rest].astype(int), minlength=2))
     past: dict[str, np.ndarray] = {}
     a_round = -(-len(rest) // batch)
     for _ in range(max(epochs, -(-steps // a_round))):
@@ -281,7 +281,7 @@ def fit(texts: list[bytes], labels: list[int], prior: float, epochs: int = 8, st
     return net
 
 
-def lean(seen: np.ndarray, documents: np.ndarray) -> np.ndarray:
+def leaning(seen: np.ndarray, documents: np.ndarray) -> np.ndarray:
     """Where a vector's first number starts: how far a bucket leans to label 1, by the log of
     the odds in units of its error.
     """
