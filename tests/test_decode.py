@@ -165,3 +165,17 @@ def test_bad_payload_never_fails_the_job(spark):
         F.unhex(F.sha2(F.col("id").cast("string"), 512)).alias("payload"))
     out = decode_payloads(rows, {"S": SCHEMA}, WANTED)
     assert out.count() == 1000 and out.filter("decode_error IS NULL").count() == 0
+
+
+def test_a_changed_wire_type_fails_its_events_only(spark):
+    """A field that is text in one revision and a number in another, or wider than now."""
+    texts = {"text": event_schema("ThingChangeEvent", [optional("Size", "string", "Data:Text")]),
+             "wide": event_schema("ThingChangeEvent", [optional("Size", "long", "Data:Integer")]),
+             "now": event_schema("ThingChangeEvent", [optional("Size", "int", "Data:Integer")])}
+    nodes = {k: parse_schema(v) for k, v in texts.items()}
+    rows = [("text", "17"), ("text", "x"), ("wide", 5), ("wide", 2**40 + 5), ("now", 7), ("now", None)]
+    events = [(i, k, event(nodes[k], ["a"], "CREATE", values={"Size": v})) for i, (k, v) in enumerate(rows)]
+    df = spark.createDataFrame(events, "event int, schema_id string, payload binary").coalesce(1)
+    got = decode_payloads(df, texts, {"Size": "int"}).orderBy("event").select("fields.Size", "decode_error").collect()
+    wrong = "value of another type"
+    assert [tuple(r) for r in got] == [(17, None), (None, wrong), (5, None), (None, wrong), (7, None), (None, None)]

@@ -1,4 +1,5 @@
 import datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -159,3 +160,31 @@ def test_replay_positions(spark):
         "FFFFFFFFFFFFFFFE0000")]
     assert values(spark, convert.replay_position, encoded, "v binary") == [
         1544272, 1544233, 10962999 + 4, -2]
+
+
+@pytest.mark.parametrize("kind,value,field_type,wire,family,made,problem", [
+    ("string", "1705314645000", "DateTime", "string", None, datetime.datetime(2024, 1, 15, 10, 30, 45), None),
+    ("string", "soon", "DateTime", "string", None, None, "no time"),
+    ("bigint", 2**62, "DateTime", "long", None, None, "out of range"),
+    ("double", 3600000.0, "TimeOnly", "double", None, "01:00:00.000", None),
+    ("boolean", True, "DateOnly", "boolean", None, datetime.datetime(1970, 1, 1, 0, 0, 0, 1000), None),
+    ("string", "12x", "Text", "string", "Integer", None, "no number"),
+    ("double", 2.5, "Percent", "double", "Integer", 2, "digits lost"),
+    ("double", 1e30, "Percent", "double", "Integer", None, "out of range"),
+    ("double", 1234.56, "Currency", "double", "Decimal(6,2)", Decimal("1234.56"), None),
+    ("double", 1234.56, "Currency", "double", "Decimal(6, 1)", Decimal("1234.6"), "digits lost"),
+    ("double", 12345.6, "Currency", "double", "Decimal(5,2)", None, "out of range"),
+    ("string", "7.5", "Currency", "string", "Decimal(5,2)", Decimal("7.50"), None),
+    ("string", "x", "Text", "string", "Boolean", None, "no truth value"),
+    ("string", "x", "Text", "long", None, None, "no number"),
+    ("string", None, "DateTime", "string", None, None, None),
+    ("double", None, "Currency", "double", "Decimal(5,2)", None, None),
+])
+def test_types_that_do_not_agree(spark, kind, value, field_type, wire, family, made, problem):
+    """Neither the plan nor a task fails, whatever declared, wire and target type there are."""
+    rows = spark.createDataFrame([(value,)], f"v {kind}")
+    out = convert.convert(F.col("v"), field_type, wire, family)
+    if isinstance(made, datetime.datetime):
+        out = out.cast("timestamp_ntz")
+    got = rows.select(out, convert.problem(F.col("v"), field_type, wire, family)).first()
+    assert list(got) == [made, problem]

@@ -177,3 +177,25 @@ def test_flatten_structs(spark):
     flat = flatten_structs(rows)
     assert flat.columns == ["Name", "HomeStreet", "HomeLatitude"]
     assert tuple(flat.first()) == ("n", "s", 1.5)
+
+
+TIMES = event_schema("AccountChangeEvent", [
+    optional("Seen", "string", "Data:DateTime"), optional("Price", "double", "Data:Currency"),
+    optional("Phone", "string", "Data:Phone")])
+
+
+def test_a_time_carried_as_text_stops_neither_the_plan_nor_other_events(spark):
+    node = parse_schema(TIMES)
+    chosen = p.plan_binding(
+        1, "E", "t", {"MappedSFKey": "id", "Seen": "seen", "Price": "price", "Phone": "phone"}, {"S": TIMES}, "S",
+        {"price": "Decimal(5,1)", "phone": "Integer"})
+    rows = projected(spark, [
+        event(node, ["a"], "CREATE", values={"Seen": "1705314645000", "Price": 12.5, "Phone": "1"}),
+        event(node, ["b"], "CREATE", values={"Seen": "soon", "Price": 12.54, "Phone": "x"}),
+        event(node, ["c"], "CREATE", values={"Seen": None, "Price": 12.54, "Phone": "1"}),
+        event(node, ["d"], "UPDATE", ["Price"], values={"Seen": "soon", "Price": 1e9, "Phone": "x"}),
+    ], chosen).orderBy("replay_id")
+    assert [r["outcome"] for r in rows.collect()] == ["applied", "bad value", "applied", "bad value"]
+    found = {tuple(r) for r in p.value_problems(rows, ["replay_id"]).collect()}
+    assert found == {(2, "Seen", "seen", "no time"), (2, "Price", "price", "digits lost"), (2, "Phone", "phone", "no number"),
+                     (3, "Price", "price", "digits lost"), (4, "Price", "price", "out of range")}

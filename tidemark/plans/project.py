@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed
 from tidemark.functions import bitmap
-from tidemark.functions.convert import Converter, convert
+from tidemark.functions.convert import Converter, convert, problem
 from tidemark.operators.fold import FoldSpec, SET_SUFFIX
 from tidemark.plans import routing
 from tidemark.plans.schema import EntityField, Node, entity_fields, field_layout, parse_schema
@@ -96,6 +96,7 @@ def decode_binding(events: DataFrame, binding: Binding) -> DataFrame:
 
 
 ENTRIES, LOST = "changed_entries", "value_lost"
+PROBLEMS = "problems"
 
 
 class FieldAccess:
@@ -106,6 +107,8 @@ class FieldAccess:
         self.wire = F.col("fields")[mapped.source]
         self.value = convert(self.wire, mapped.field_type, mapped.wire_type, mapped.family,
                              binding.converters)
+        self.problem = problem(self.wire, mapped.field_type, mapped.wire_type, mapped.family,
+                               binding.converters)
         places, parents, both = [], set(), False
         for schema_id, schema in schemas.items():
             found = [f for f in entity_fields(schema) if f.name == mapped.source]
@@ -159,8 +162,9 @@ def project(
     decoded: DataFrame, binding: Binding, handlers: dict[str, FieldHandler] | None = None
 ) -> DataFrame:
     """Decoded events with ``target`` and ``written``, structs of the target columns'
-    new values and of whether the event writes them, and their ``outcome``. An event
-    with a value that does not convert to its column is not applied.
+    new values and of whether the event writes them, their ``outcome``, and ``problems``: for
+    each field that is written what is wrong with its value. An event with a value that does
+    not convert to its column is not applied; one that only loses digits is, and says so.
     """
     handlers = DEFAULT_HANDLERS if handlers is None else handlers
     schemas = {i: parse_schema(text) for i, text in binding.revisions.items()}
@@ -168,7 +172,7 @@ def project(
     by_target: dict[str, list[FieldAccess]] = {}
     for mapped in binding.fields:
         by_target.setdefault(mapped.target, []).append(FieldAccess(binding, mapped, schemas))
-    values, flags, lost = [], [], F.lit(False)
+    values, flags, lost, problems = [], [], F.lit(False), []
     for target, accesses in by_target.items():
         value, written = None, None
         for change_type, handler in handlers.items():
@@ -178,6 +182,8 @@ def project(
                 v, w = handler(access)
                 w = here & F.coalesce(w, F.lit(False))
                 lost = lost | (w & access.wire.isNotNull() & access.value.isNull())
+                problems.append(F.struct(F.lit(access.mapped.source).alias("field"), F.lit(target).alias("column"),
+                                         F.when(w, access.problem).alias("problem")))
                 value = F.when(w, v) if value is None else value.when(w, v)
                 written = w if written is None else written | w
         values.append(value.alias(target))
@@ -186,6 +192,8 @@ def project(
     out = parsed.withColumns({
         **({"target": F.struct(*values), "written": F.struct(*flags)} if values else {}),
         "outcome": event_outcome(binding.flag is not None), LOST: lost,
+        PROBLEMS: F.filter(F.array(*problems), lambda p: p["problem"].isNotNull()) if problems else F.array().cast(
+            "array<struct<field: string, column: string, problem: string>>"),
     })
     touched = F.lit(False)
     for target in by_target:
@@ -197,6 +205,11 @@ def project(
     return out.withColumn("outcome", outcome).drop(ENTRIES, LOST)
 
 
+def value_problems(projected: DataFrame, keep: list[str]) -> DataFrame:
+    """One row per value that did not fit: ``keep``, field, column and problem."""
+    return projected.select(*keep, F.explode(PROBLEMS).alias("_p")).select(*keep, "_p.*")
+
+
 def applied_ids(ids: Column, kind: Column) -> Column:
     """Record ids an event applies to: all of them, but only the first for CREATE."""
     return F.when(kind == "CREATE", F.slice(ids, 1, 1)).otherwise(F.array_distinct(ids))

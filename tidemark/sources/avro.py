@@ -13,6 +13,7 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tidemark import fixed
@@ -207,8 +208,32 @@ def _read_array(data: _Payloads, item: Node, rows: np.ndarray, path: tuple, out:
     out.add(path, rows, pa.ListArray.from_arrays(pa.array(offsets), items))
 
 
-def _column(parts: list, size: int, failed: np.ndarray, arrow_type: pa.DataType) -> pa.Array:
-    """Parts in row order, NULL where nothing was read or the payload is bad."""
+WRONG_TYPE = "value of another type"
+
+
+def _fitted(values: pa.Array, arrow_type: pa.DataType) -> tuple[pa.Array, np.ndarray]:
+    """``values`` in the type of a column, and which of them have no place in it."""
+    try:
+        return values.cast(arrow_type), np.empty(0, np.int64)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        pass  # some do not fit: look at each
+    out: list = []
+    lost = []
+    for i, value in enumerate(values):
+        try:
+            out.append(value.cast(arrow_type).as_py())
+        except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+            out.append(None)
+            lost.append(i)
+    return pa.array(out, arrow_type), np.array(lost, np.int64)
+
+
+def _column(
+    parts: list, size: int, failed: np.ndarray, arrow_type: pa.DataType, lost: np.ndarray
+) -> pa.Array:
+    """Parts in row order, NULL where nothing was read or the payload is bad. ``lost`` marks rows
+    whose schema has the field in another type, and a value that this one cannot hold.
+    """
     where = np.full(size, -1, np.int64)
     chunks, base = [], 0
     for rows, values in parts:
@@ -218,12 +243,13 @@ def _column(parts: list, size: int, failed: np.ndarray, arrow_type: pa.DataType)
     where[failed] = -1
     if not chunks:
         return pa.nulls(size, arrow_type)
-    kinds = {c.type for c in chunks}
-    if len(kinds) > 1:
-        chunks = [c.cast(arrow_type, safe=False) for c in chunks]
+    if any(c.type != arrow_type for c in chunks):
+        fitted = [_fitted(c, arrow_type) for c in chunks]
+        for (rows, _), (_, bad) in zip(parts, fitted, strict=True):
+            lost[rows[bad]] = True
+        chunks = [c for c, _ in fitted]
     values = pa.chunked_array(chunks).combine_chunks()
-    taken = values.take(pa.array(where, mask=where < 0))
-    return taken if taken.type == arrow_type else taken.cast(arrow_type, safe=False)
+    return values.take(pa.array(where, mask=where < 0))
 
 
 class Decoder:
@@ -274,9 +300,10 @@ class Decoder:
             data.fail(np.flatnonzero(data.at != data.end), TRAILING)
             failed = data.error > 0
             errors = pa.array(ERRORS, pa.string()).take(pa.array(data.error, mask=~failed))
+        lost = np.zeros(size, bool)
 
         def column(path, wire: str) -> pa.Array:
-            return _column(out.get(path, []), size, failed, ARROW_TYPES[wire])
+            return _column(out.get(path, []), size, failed, ARROW_TYPES[wire], lost)
 
         def struct(arrays: list, names) -> pa.Array:
             return pa.StructArray.from_arrays(arrays, names=list(names))
@@ -288,6 +315,8 @@ class Decoder:
                                self.wanted))
         if self.parents:
             made.append(struct([column((p, ""), "boolean") for p in self.parents], self.parents))
+        if (lost & ~failed).any():
+            errors = pc.if_else(pa.array(lost & ~failed), WRONG_TYPE, errors)
         return [*made, errors]
 
     def decode_batches(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

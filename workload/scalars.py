@@ -280,6 +280,33 @@ def convert_scalar(spark, sf):
         convert.convert(mixed, "Text", "string", "Integer").alias("text_int"))
 
 
+@query("value_fit", """
+WITH v AS (
+  SELECT c_custkey, CASE c_nationkey % 4 WHEN 0 THEN CAST(c_custkey * 1000000 AS VARCHAR) WHEN 1 THEN c_name
+      WHEN 2 THEN '999999999999999999' END AS moment, c_acctbal, CAST(CAST(c_acctbal AS VARCHAR) AS DECIMAL(18, 2)) AS exact,
+    CASE WHEN c_nationkey % 3 = 0 THEN c_name ELSE CAST(c_nationkey AS VARCHAR) END AS code FROM customer)
+SELECT c_custkey, CASE WHEN moment NOT LIKE 'C%' AND moment NOT LIKE '99999%' THEN epoch_ms(CAST(moment AS BIGINT)) END AS stamp,
+  CASE WHEN moment LIKE 'C%' THEN 'no time' WHEN moment LIKE '99999%' THEN 'out of range' END AS stamp_problem,
+  CASE WHEN abs(exact) < 999.95 THEN CAST(CAST(exact AS DECIMAL(4, 1)) AS VARCHAR) END AS amount,
+  CASE WHEN abs(exact) >= 999.95 THEN 'out of range' WHEN exact <> CAST(exact AS DECIMAL(18, 1)) THEN 'digits lost' END
+    AS amount_problem,
+  TRY_CAST(code AS BIGINT) AS code, CASE WHEN TRY_CAST(code AS BIGINT) IS NULL THEN 'no number' END AS code_problem
+FROM v""")
+def value_fit(spark, sf):
+    """Types that do not agree: times carried as text, amounts with too many digits, codes."""
+    rows = table(spark, sf, "customer").selectExpr(
+        "c_custkey", """CASE c_nationkey % 4 WHEN 0 THEN CAST(c_custkey * 1000000 AS string) WHEN 1 THEN c_name
+            WHEN 2 THEN '999999999999999999' END AS moment""", "c_acctbal",
+        "CASE WHEN c_nationkey % 3 = 0 THEN c_name ELSE CAST(c_nationkey AS string) END AS code")
+    moment, amount, code = F.col("moment"), F.col("c_acctbal"), F.col("code")
+    kinds = {"stamp": (moment, "DateTime", "string"), "amount": (amount, "Currency", "double", "Decimal(4,1)"),
+             "code": (code, "Text", "string", "Integer")}
+    made = {n: convert.convert(*k) for n, k in kinds.items()}
+    return rows.select(
+        "c_custkey", made["stamp"].cast("timestamp_ntz").alias("stamp"), made["amount"].cast("string").alias("amount"),
+        made["code"].alias("code"), *[convert.problem(*k).alias(f"{n}_problem") for n, k in kinds.items()])
+
+
 @query("replay_id", "SELECT event_id, event_id * 4294967311 - 77 AS replay_id FROM events")
 def replay_id(spark, sf):
     number = F.col("event_id") * 4294967311 - 77
