@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import staged
+
 
 def newest_per_key(rows: DataFrame, key: Sequence[str], newest_by: Column) -> DataFrame:
     """The row with the greatest ``newest_by`` for each key, by a mergeable maximum."""
@@ -209,9 +211,15 @@ def resync(
     Returns the parents with their ``action`` (see ``reconcile``), the children
     and the number of parents removed. Children of a removed parent go with it.
     """
-    rows = reconcile(parents, seen_parents, [key], keep, stamps)
-    # Every parent is either in the snapshot or removed, so all of them are replaced.
-    owners = rows.select(F.col(key).alias(parent))
-    owned = replace_children(children, seen_children, owners, child_key, parent, keep, stamps)
-    gone = rows.filter(F.col("action") == "deleted").select(key)
-    return rows, cascade_children(owned, gone, parent, key), removed_count(rows)
+    # One full join of the parents; its three outputs and the children read what it wrote.
+    rows = staged(reconcile(parents, seen_parents, [key], keep, stamps), "resync")
+    known = rows.select(F.col(key).alias("_owner"), F.col("action").alias("_action"))
+    both = _side_by_side(children, seen_children, child_key)
+    incoming = F.col("new").isNotNull()
+    owner = F.when(incoming, F.col(f"new.{parent}")).otherwise(F.col(f"old.{parent}"))
+    placed = both.withColumn("_to", owner).join(known, F.col("_to") == F.col("_owner"), "left")
+    # Every parent is either in the snapshot or removed, so all of them have their children
+    # replaced: an incoming child stays unless its parent goes, another one if it has none.
+    stays = F.when(incoming, F.coalesce(F.col("_action") != "deleted", F.lit(True))).otherwise(F.col("_owner").isNull())
+    owned = _merged(placed.filter(stays), children.columns, seen_children.columns, child_key, keep, stamps or {})
+    return rows, owned, removed_count(rows)

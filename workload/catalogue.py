@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["folding", "scalars", "configuration", "mirroring", "checking", "payloads", "judging", "registered", "streams"]
+MODULES = ["folding", "scalars", "configuration", "mirroring", "checking", "payloads", "judging", "registered", "streams", "lookups"]
 
 
 def load() -> None:
