@@ -300,6 +300,29 @@ def test_encoding_and_decoding_of_all_rows(docs, empty, plain_rows, monkeypatch)
     assert pieces.digests(empty, PIECES).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [100, 333])
+def test_runs_over_borders_are_encoded_whole(spark, monkeypatch, chunk):
+    """In long runs of one character chunks may share no state with the next."""
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    monkeypatch.setattr(pieces, "CHUNK", chunk)
+    monkeypatch.setattr(pieces, "GROW", 4)
+    monkeypatch.setattr(pieces, "FAN", 4)
+    monkeypatch.setattr(pieces, "TASK_CHUNKS", 8)
+    lengths = [*range(chunk - 3, chunk + 4), 2 * chunk, 2 * chunk + 1, 1_000, 4_321]
+    texts = [c * n for c in ("a", " ", "=", "▁", "é", "ab") for n in lengths]
+    texts += [prose(9, 40) + " " + "a" * 700 + " " + prose(10, 40), "x" + "-" * 900 + prose(11, 20)]
+    rows = [(i % 5, t) for i, t in enumerate(texts)] + [(None, "a" * 900)] * 2
+    got = Counter((r.doc_id, tuple(np.frombuffer(r.ids, "<i4").tolist()))
+                  for r in pieces.encode(spark.createDataFrame(rows, "doc_id LONG, text STRING"), PIECES).collect())
+    assert got == Counter((i, tuple(library.encode(t))) for i, t in rows)
+
+
+def test_a_long_run_at_the_full_size(spark):
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    row = pieces.encode(spark.createDataFrame([(1, "a" * 40_000)], "doc_id LONG, text STRING"), PIECES).first()
+    assert np.frombuffer(row.ids, "<i4").tolist() == library.encode("a" * 40_000)
+
+
 # 7 Jaccard join
 
 def test_jaccard_components(docs, empty, plain_rows):

@@ -10,6 +10,11 @@ state at its left to each at its right border, the weight of the path between th
 its number of pieces, or minus infinity where there is none. The matrices are combined in
 the max-plus algebra, which is associative, over a tree of bounded groups; going down the
 tree again gives every chunk its states, from which it reads its own pieces.
+
+States are looked for near the borders. Inside a long run of one character, say, where the
+pieces lie may follow from the whole run, so that no state of one chunk is one of the next
+and there is no path. Such a text is cut again into chunks GROW times as long, until it has one;
+in the end it is one chunk. So results never follow from where a text is cut.
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ from tidemark.sizing import broadcast_if_small
 
 CHUNK = 16_384  # characters; a longer text is giant
 FAN = 32  # matrices combined in one group
+GROW = 8  # times as long chunks for texts without a path
+TASK_CHUNKS = 512  # chunks whose matrices are combined in one task
 WINDOW = 64  # characters first looked at to join two paths
 BLANK = "▁"
 
@@ -267,22 +274,25 @@ def short_encoded(docs: DataFrame, path: str) -> DataFrame:
         encode, "doc_id long, n_chunks long, ids binary")
 
 
-def giant_chunks(docs: DataFrame, path: str) -> DataFrame:
-    """The chunks of longer texts with their paths, each encoded in a task of its own."""
+def giant_chunks(docs: DataFrame, path: str, size: int) -> DataFrame:
+    """The chunks of longer texts with their paths, each encoded in a task of its own. The first of
+    a text has its ``key``, a digest of the text.
+    """
     def cut(batches):
         pieces = kept_pieces(path)
         halo = pieces.longest
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), text_values(batch.column(1)), strict=True):
+            for doc_id, text, key in zip(batch.column(0).to_pylist(), text_values(batch.column(1)),
+                                         batch.column(2).to_pylist(), strict=True):
                 text = pieces.prefix + text
-                count = -(-len(text) // CHUNK)
+                count = -(-len(text) // size)
                 for k in range(count):
-                    low, high = k * CHUNK, min((k + 1) * CHUNK, len(text))
+                    low, high = k * size, min((k + 1) * size, len(text))
                     since = max(low - halo, 0)
                     yield pa.RecordBatch.from_pylist([{
                         "row": number, "doc_id": doc_id, "k": k, "count": count,
-                        "since": since, "low": low, "high": high,
+                        "since": since, "low": low, "high": high, "key": None if k else key,
                         "part": text[since:high + halo]}], schema=CUT_ARROW)
                 number += 1
 
@@ -297,32 +307,34 @@ def giant_chunks(docs: DataFrame, path: str) -> DataFrame:
                 for side in ("ins", "outs"):
                     chunk[side] = [s if s is None else (s[0] + since, s[1] + since) for s in chunk[side]]
                 yield pa.RecordBatch.from_pylist([{
-                    "row": row["row"], "doc_id": row["doc_id"], "k": k, "count": row["count"],
+                    "row": row["row"], "doc_id": row["doc_id"], "k": k, "count": row["count"], "key": row["key"],
                     "matrix": pickle.dumps(only_matrix(chunk)), "chunk": pickle.dumps(chunk)}],
                     schema=PATH_ARROW)
 
-    giants = docs.filter(F.length("text") >= CHUNK).mapInArrow(cut, CUT_SPARK)
+    giants = docs.mapInArrow(cut, CUT_SPARK)
     return staged(giants.repartition("row", "k").mapInArrow(paths, PATH_SPARK), "chunk-paths")
 
 
-CUT_SPARK = "row long, doc_id long, k long, count long, since long, low long, high long, part string"
+CUT_SPARK = "row long, doc_id long, k long, count long, since long, low long, high long, key string, part string"
 CUT_ARROW = pa.schema([(n, pa.int64()) for n in ("row", "doc_id", "k", "count", "since", "low", "high")]
-                      + [("part", pa.string())])
-PATH_SPARK = "row long, doc_id long, k long, count long, matrix binary, chunk binary"
+                      + [("key", pa.string()), ("part", pa.string())])
+PATH_SPARK = "row long, doc_id long, k long, count long, key string, matrix binary, chunk binary"
 PATH_ARROW = pa.schema([(n, pa.int64()) for n in ("row", "doc_id", "k", "count")]
-                       + [("matrix", pa.binary()), ("chunk", pa.binary())])
+                       + [("key", pa.string()), ("matrix", pa.binary()), ("chunk", pa.binary())])
 STATES = "row long, k long, states binary"
 
 
-def chosen_states(chunks: DataFrame) -> DataFrame:
-    """row, k and the states before and after each chunk, by an up and a down pass over a tree."""
+def chosen_states(chunks: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """row, k and the states before and after each chunk, by an up and a down pass over a tree; and
+    the rows that have no path through all their chunks, which get no states.
+    """
     def combine(frame: pd.DataFrame) -> pd.DataFrame:
         parts = [pickle.loads(m) for m in frame.sort_values("k")["matrix"]]
         total = parts[0]
         for part in parts[1:]:
             total = combined(total, part)
         return pd.DataFrame([{"row": frame["row"].iat[0], "k": frame["parent"].iat[0],
-                              "matrix": pickle.dumps(total)}])
+                              "matrix": pickle.dumps(total), "open": bool(np.isfinite(total["matrix"]).any())}])
 
     def descend(children: pd.DataFrame, parents: pd.DataFrame) -> pd.DataFrame:
         children = children.sort_values("k")
@@ -331,30 +343,60 @@ def chosen_states(chunks: DataFrame) -> DataFrame:
         return pd.DataFrame({"row": children["row"], "k": children["k"],
                              "states": [pickle.dumps(s) for s in found]})
 
-    # One number to the driver: how many levels the largest text needs.
-    most = chunks.agg(F.max("count")).first()[0] or 0
-    levels, width = [chunks.select("row", "k", "matrix")], most
+    # Two numbers to the driver: how many levels the largest text needs, and how many tasks.
+    most, number = chunks.agg(F.max("count"), F.count("*")).first()
+    tasks = -(-number // TASK_CHUNKS) or 1
+    levels, width = [chunks.select("row", "k", "matrix")], most or 0
+
+    def by_parent(level: DataFrame) -> DataFrame:
+        # A matrix is small, so tasks are counted by chunks and not by bytes.
+        return level.withColumn("parent", F.floor(F.col("k") / FAN).cast("long")).repartition(tasks, "row", "parent")
+
     while width > 1:
-        grouped = levels[-1].withColumn("parent", F.floor(F.col("k") / FAN).cast("long"))
-        levels.append(staged(grouped.groupBy("row", "parent").applyInPandas(
-            combine, "row long, k long, matrix binary"), "combined-paths"))
+        levels.append(staged(by_parent(levels[-1].select("row", "k", "matrix")).groupBy("row", "parent").applyInPandas(
+            combine, "row long, k long, matrix binary, open boolean"), "combined-paths"))
         width = -(-width // FAN)
+    top, lost = levels[-1], None
+    if len(levels) > 1:
+        top, lost = top.filter("open"), top.filter("NOT open").select("row")
     ends = pickle.dumps((None, None))
-    states = levels[-1].select("row", "k", F.lit(ends).alias("states"))
+    states = top.select("row", "k", F.lit(ends).alias("states"))
     for level in reversed(levels[:-1]):
-        below = level.withColumn("parent", F.floor(F.col("k") / FAN).cast("long"))
-        states = staged(below.groupBy("row", "parent").cogroup(
+        below = level.select("row", "k", "matrix")
+        if lost is not None:
+            below = below.join(broadcast_if_small(lost), "row", "left_anti")
+        states = staged(by_parent(below).groupBy("row", "parent").cogroup(
             states.withColumnRenamed("k", "parent").groupBy("row", "parent")
         ).applyInPandas(descend, STATES), "chunk-states")
-    return states
+    return states, lost
 
 
 def giant_encoded(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_chunks and ids of giant texts: chunks read their pieces, and are put in order.
-    What is gathered in one row is one document's ids, less than its text.
+    """doc_id, n_chunks and ids of giant texts; those without a path through their chunks are cut
+    again into longer ones. A row that comes twice is cut anew each time it comes.
+    """
+    left = docs.filter(F.length("text") >= CHUNK).select("doc_id", "text", F.sha2("text", 256).alias("key"))
+    size, done = CHUNK, None
+    while True:
+        chunks = giant_chunks(left, path, size)
+        states, lost = chosen_states(chunks)
+        found = encoded_chunks(chunks, states, path)
+        done = found if done is None else done.union(found)
+        if lost is None or lost.isEmpty():
+            return done
+        # Rows alike in id and text are alike in this as well.
+        again = staged(chunks.filter("k = 0").join(lost, "row", "left_semi").select(
+            F.col("doc_id").alias("id"), F.col("key").alias("digest")).distinct(), "uncut")
+        left = left.join(broadcast_if_small(again), F.col("doc_id").eqNullSafe(F.col("id"))
+                         & (F.col("key") == F.col("digest")), "left_semi")
+        size *= GROW
+
+
+def encoded_chunks(chunks: DataFrame, states: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_chunks and ids of the texts that have ``states``: chunks read their pieces, and
+    are put in order. What is gathered in one row is one document's ids, less than its text.
     """
-    chunks = giant_chunks(docs, path)
-    states = chosen_states(chunks).withColumnRenamed("row", "r").withColumnRenamed("k", "c")
+    states = states.withColumnRenamed("row", "r").withColumnRenamed("k", "c")
     placed = chunks.join(broadcast_if_small(states),
                          (F.col("row") == F.col("r")) & (F.col("k") == F.col("c")))
 
