@@ -131,3 +131,14 @@ def test_suggested_columns(spark):
     assert got == {
         "BillingAddressCity": (None, "billing_address_city"), "Phone": ("Phone_No", None),
         "Some_Date__c": (None, "some_date"), "Id": (None, "sf_id"), "Fax": (None, None)}
+
+
+def test_versions_in_force_at_each_event(spark):
+    versions = spark.createDataFrame(
+        [(1, 10, "a"), (1, 20, "b"), (1, 20, "c"), (1, None, "never"), (2, 5, "x")], "binding int, since int, state string")
+    events = spark.createDataFrame([(1, 9), (1, 10), (1, 19), (1, 20), (1, 99), (2, 5), (3, 7), (1, None)], "binding int, at int")
+    got = {(r["binding"], r["at"]): r["state"] for r in config.as_of(
+        events, versions, ["binding"], "since", F.col("at")).collect()}
+    assert got == {(1, 9): None, (1, 10): "a", (1, 19): "a", (1, 20): "c", (1, 99): "c", (2, 5): "x", (3, 7): None,
+                   (1, None): None}
+    assert config.as_of(events, versions, ["binding"], "since", F.col("at")).columns == ["binding", "at", "since", "state"]

@@ -14,7 +14,7 @@ the broadcast by size.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import fixed
@@ -106,6 +106,35 @@ def subscription_plan(
     return listed.drop("_entity")
 
 
+def in_force(versions: DataFrame, key: list[str], since: str) -> DataFrame:
+    """Versions of configuration rows with ``until``, where the next of their key begins; NULL for the
+    last. Of versions of one key that begin together the one that is greatest in its other
+    columns holds. A key has as many rows as it was changed, so the window is over few.
+    """
+    others = [c for c in versions.columns if c not in (*key, since)]
+    one = versions.filter(F.col(since).isNotNull()).groupBy(*key, since).agg(F.max(F.struct(*others)).alias("_v"))
+    after = Window.partitionBy(*key).orderBy(since)
+    return one.select(*key, since, F.lead(since).over(after).alias("until"), "_v.*")
+
+
+def as_of(events: DataFrame, versions: DataFrame, key: list[str], since: str, at: Column) -> DataFrame:
+    """Events with the version of their key that is in force ``at`` their time or position; those
+    before the first version, or of a key without one, are left with NULLs.
+
+    What holds for an event follows from the event, whichever batch it comes in, so a batch
+    that runs again after a change of configuration gives the same rows. An equi-join on the
+    key with the range as its condition: an event meets one version.
+    """
+    held = in_force(versions, key, since)
+    renamed = held.select(*[F.col(k).alias(f"_{k}") for k in key], *[c for c in held.columns if c not in key])
+    same = [F.col(k) == F.col(f"_{k}") for k in key]
+    on = same[0]
+    for more in same[1:]:
+        on = on & more
+    on = on & (at >= F.col(since)) & (F.col("until").isNull() | (at < F.col("until")))
+    return events.join(renamed, on, "left").drop("until", *[f"_{k}" for k in key])
+
+
 def newest_named(registry: DataFrame, events: DataFrame, order: Column) -> DataFrame:
     """``entity_name, revision, at``: the revision that the last event of each entity names."""
     named = registry.select(

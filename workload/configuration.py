@@ -326,3 +326,26 @@ LEFT JOIN first f ON c.binding_id = f.binding_id AND lower(c.column_name) = f.c"
 def column_mapped(spark, sf):
     return catalog.mapped_columns(feeds.columns(spark, sf), feeds.mappings(spark, sf)).select(
         "binding_id", "column_name", "mapped_field")
+
+
+# Bindings that were switched and sent elsewhere over time: up to four versions each.
+VERSIONS = """CASE v WHEN 0 THEN DATE '1992-06-01' WHEN 1 THEN DATE '1994-01-01' WHEN 2 THEN DATE '1996-07-15'
+    ELSE DATE '1998-01-01' END"""
+
+
+@query("bindings_as_of", f"""
+WITH versions AS (
+  SELECT s_suppkey AS binding_id, {VERSIONS} AS since, CASE WHEN (s_nationkey + v) % 3 = 0 THEN 'Inactive' ELSE 'Active' END AS state,
+    'sales.T' || s_suppkey || '_' || v AS target_table
+  FROM supplier, (SELECT unnest([0, 1, 2, 3]) AS v) WHERE s_suppkey % 4 >= v)
+SELECT l_suppkey AS binding_id, state, target_table, count(*) AS events
+FROM lineitem ASOF LEFT JOIN versions ON l_suppkey = binding_id AND l_shipdate >= since GROUP BY ALL""")
+def bindings_as_of(spark, sf):
+    versions = table(spark, sf, "supplier").selectExpr("*", "explode(array(0, 1, 2, 3)) AS v").filter(
+        "s_suppkey % 4 >= v").selectExpr(
+        "s_suppkey AS binding_id", f"{VERSIONS} AS since",
+        "CASE WHEN (s_nationkey + v) % 3 = 0 THEN 'Inactive' ELSE 'Active' END AS state",
+        "'sales.T' || s_suppkey || '_' || v AS target_table")
+    events = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("binding_id"), "l_shipdate")
+    return config.as_of(events, versions, ["binding_id"], "since", F.col("l_shipdate")).groupBy(
+        "binding_id", "state", "target_table").agg(F.count("*").alias("events"))
