@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import byte_views, held_out, id_and_text
+from tidemark.llm.common import byte_views, held_out, id_and_text, lean
 
 SAMPLE_ROWS = 4_000  # labelled documents that the network is fitted on, half of each label
 CUT = 0.3  # a score of at least this predicts label 1
@@ -292,7 +292,7 @@ def scored(docs: DataFrame, net: Network, keep: list[str]) -> DataFrame:
                 [*batch.columns[:len(keep)], pa.array(values, pa.float64())], [*keep, "__score"])
 
     fields = source.schema.fields[:len(keep)]
-    return source.mapInArrow(score, type(source.schema)(fields).add("__score", "double"))
+    return source.mapInArrow(lean(score), type(source.schema)(fields).add("__score", "double"))
 
 
 def good(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:

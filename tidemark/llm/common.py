@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
+import functools
 import posixpath
 import uuid
 import zlib
@@ -69,6 +72,28 @@ def byte_views(column: pa.Array) -> list[memoryview]:
     return [view[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
+def give_back() -> None:
+    """Return memory that is not used to the system. Spark keeps the processes of Python workers
+    for later tasks, and what one has grown to counts for its executor as long as it lives.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(ctypes.util.find_library("c")), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(work):
+    """``work`` over the batches of a task, which leaves no unused memory behind."""
+    @functools.wraps(work)
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 class SharedFiles:
     """Files written by tasks into a folder that every executor reaches.
 

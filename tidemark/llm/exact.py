@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import byte_views
+from tidemark.llm.common import byte_views, lean
 from tidemark.session import staged
 from tidemark.sizing import broadcast_if_small
 
@@ -117,7 +117,7 @@ def with_digest(docs: DataFrame, columns: list[str]) -> DataFrame:
 
     fields = [f for f in source.schema.fields if f.name != "__text"]
     schema = type(source.schema)(fields).add("__digest", "binary")
-    return source.mapInArrow(digest, schema)
+    return source.mapInArrow(lean(digest), schema)
 
 
 def located(docs: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_values
+from tidemark.llm.common import lean, text_values
 from tidemark.session import staged
 from tidemark.sizing import broadcast_if_small
 
@@ -271,7 +271,7 @@ def short_encoded(docs: DataFrame, path: str) -> DataFrame:
                     ["doc_id", "n_chunks", "ids"])
 
     return docs.filter(F.length("text") < CHUNK).mapInArrow(
-        encode, "doc_id long, n_chunks long, ids binary")
+        lean(encode), "doc_id long, n_chunks long, ids binary")
 
 
 def giant_chunks(docs: DataFrame, path: str, size: int) -> DataFrame:
@@ -311,8 +311,8 @@ def giant_chunks(docs: DataFrame, path: str, size: int) -> DataFrame:
                     "matrix": pickle.dumps(only_matrix(chunk)), "chunk": pickle.dumps(chunk)}],
                     schema=PATH_ARROW)
 
-    giants = docs.mapInArrow(cut, CUT_SPARK)
-    return staged(giants.repartition("row", "k").mapInArrow(paths, PATH_SPARK), "chunk-paths")
+    giants = docs.mapInArrow(lean(cut), CUT_SPARK)
+    return staged(giants.repartition("row", "k").mapInArrow(lean(paths), PATH_SPARK), "chunk-paths")
 
 
 CUT_SPARK = "row long, doc_id long, k long, count long, since long, low long, high long, key string, part string"
@@ -414,7 +414,7 @@ def encoded_chunks(chunks: DataFrame, states: DataFrame, path: str) -> DataFrame
                                      + [("ids", pa.binary())]))
 
     parts = placed.select("row", "doc_id", "k", "count", "chunk", "states").mapInArrow(
-        read, "row long, doc_id long, k long, count long, ids binary")
+        lean(read), "row long, doc_id long, k long, count long, ids binary")
     whole = parts.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"), F.first("count").alias("n_chunks"),
         F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("parts"))
@@ -428,7 +428,7 @@ def encoded_chunks(chunks: DataFrame, states: DataFrame, path: str) -> DataFrame
                     schema=pa.schema([("doc_id", pa.int64()), ("n_chunks", pa.int64()), ("ids", pa.binary())]))
 
     return whole.select("doc_id", "n_chunks", "parts").mapInArrow(
-        join, "doc_id long, n_chunks long, ids binary")
+        lean(join), "doc_id long, n_chunks long, ids binary")
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -455,7 +455,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())],
                                                  [*fields.names, "decoded"])
 
-    return encoded.mapInArrow(spell, type(fields)(list(fields.fields)).add("decoded", "string"))
+    return encoded.mapInArrow(lean(spell), type(fields)(list(fields.fields)).add("decoded", "string"))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
