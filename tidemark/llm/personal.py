@@ -34,9 +34,9 @@ NEEDED = {
 }
 KINDS = [*PATTERNS, "context"]
 IP_PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-TOKEN = rf"(?<![^{SPACE}])(?=[^{SPACE}]*[0-9@])[^{SPACE}]++"
+APART = rf"{SPACE}:="  # what words of contexts and values end at
+TOKEN = rf"(?<![^{APART}])(?=[^{APART}]*[0-9@])[^{APART}]++"
 
-CONTEXT_CHARS = 64  # of the text before a value, in which its pattern is looked for
 ROUNDS = 3  # in which a pattern is scored, from the one that takes it in
 LEAST_SEEDS = 3  # distinct sure values, seeds or found, before which a pattern must stand
 LEAST_SURE = 0.6  # of a pattern that marks identifiers, and of a value that brings in patterns
@@ -121,7 +121,7 @@ def base_spans(rows: DataFrame) -> DataFrame:
 
 
 def with_candidates(rows: DataFrame) -> DataFrame:
-    """Add ``tokens``: words with a digit or an at sign, the word before each, where they
+    """Add ``tokens``: words with a digit or an at sign, the word before each, however far, where they
     are without the signs around them, and whether a base span covers part of them.
     """
     rows = rows.withColumn("_cut", F.when(
@@ -130,7 +130,7 @@ def with_candidates(rows: DataFrame) -> DataFrame:
     return with_starts(rows, "_cut", "_token").withColumn("tokens", F.expr(rf"""
         filter(transform(_token, (p, i) -> named_struct(
             'pattern', if(i % 2 = 1, lower(regexp_extract(
-                right(_token[i - 1].text, {CONTEXT_CHARS}), '([^{SPACE}]+)[{SPACE}]+$', 1)), ''),
+                _token[i - 1].text, '(?<![^{APART}])([^{APART}]++)[{APART}]++$', 1)), ''),
             'start', p.start + length(regexp_extract(p.text, '^[^A-Za-z0-9+]*', 0)),
             'value', regexp_extract(p.text, '^[^A-Za-z0-9+]*(.*?)[^A-Za-z0-9]*$', 1))),
             t -> t.pattern != '' AND NOT rlike(t.pattern, '[0-9@]'))
@@ -144,7 +144,7 @@ def with_candidates(rows: DataFrame) -> DataFrame:
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """How often each word comes in the corpus; summed up before the shuffle."""
-    words = docs.select(F.explode(F.split(F.lower("text"), f"[{SPACE}]+", -1)).alias("pattern"))
+    words = docs.select(F.explode(F.split(F.lower("text"), f"[{APART}]+", -1)).alias("pattern"))
     return words.filter("pattern != ''").groupBy("pattern").agg(F.count("*").alias("occurrences"))
 
 
@@ -170,11 +170,12 @@ def sure_patterns(tokens: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> D
             # zero is left to the sum's smallest number.
             of = patterns.filter("age > 0").select("pattern", F.col("sure").alias("of"))
             values = graph.join(of, "pattern").groupBy("value").agg(
-                (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("of"), F.lit(1e-9)))))).alias("found"))
+                F.round(1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("of"), F.lit(1e-9))))), 9).alias("found"))
             scored = graph.join(values, "value", "left").withColumn(
                 "sure", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("found", F.lit(0.0))))
         now = scored.groupBy("pattern").agg(
-            F.least(F.sum(F.col("sure") * F.col("n")) / F.max("occurrences"), F.lit(1.0)).alias("sure"),
+            # Rounded, as the order of a sum must not decide what is sure.
+            F.round(F.least(F.sum(F.col("sure") * F.col("n")) / F.max("occurrences"), F.lit(1.0)), 9).alias("sure"),
             (F.count_if(F.col("sure") >= LEAST_SURE) >= LEAST_SEEDS).cast("int").alias("age"))
         if patterns is not None:
             before = patterns.select("pattern", F.col("sure").alias("was"), F.col("age").alias("past"))
@@ -201,7 +202,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
     A null text is empty and an empty one has no spans; rows that come twice get the same
     spans, columns besides doc_id and text are not read, and an empty table gives no rows.
-    The word before a value is looked for in the 64 characters before it.
+    Words of contexts end at white space, colons and equals signs, and so do values.
     """
     plain = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
