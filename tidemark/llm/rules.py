@@ -127,6 +127,15 @@ def cascade(sample: DataFrame, asked: list[Rule]) -> list[Rule]:
     return sorted(asked, key=lambda rule: -worth[rule.name])
 
 
+def sampled(docs: DataFrame, rows: int) -> DataFrame:
+    """About ``rows`` of ``docs``, by a hash of id and text at a rate that follows from their number,
+    so that how many files or partitions there are makes no difference.
+    """
+    total = docs.count()
+    share = min(1.0, rows / max(total, 1))
+    return docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
 def quality_rules(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept.
@@ -140,7 +149,7 @@ def quality_rules(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
         100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     fails = F.when(base, F.lit(True))
     # Written before it is filtered: a filter would be pushed into the counts and repeat them.
-    sample = staged(counted(docs.limit(sample_rows)), "rule-sample").filter(~base)
+    sample = staged(counted(sampled(docs, sample_rows)), "rule-sample").filter(~base)
     for rule in cascade(sample, rules()):
         fails = fails.when(rule.fails, F.lit(True))
     return rows.select(
