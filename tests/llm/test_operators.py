@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm import brute
-from tests.llm.conftest import prose
+from tests.llm.conftest import changed, prose
 from tidemark.llm import (
     bytenet,
     exact,
@@ -147,6 +147,15 @@ def test_rules_count_and_keep(docs, empty, plain_rows):
     assert rules.quality_rules(empty).count() == 0
 
 
+def test_the_sample_of_rules_is_no_share_of_partitions(spark):
+    many = spark.range(4_000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text")).repartition(40)
+    assert 150 <= rules.sampled(many, 200).count() <= 260
+    assert rules.sampled(many, 5_000).count() == 4_000
+    assert rules.sampled(many.limit(0), 200).count() == 0
+    again = rules.sampled(many.repartition(3), 200)
+    assert {r[0] for r in again.select("doc_id").collect()} == {r[0] for r in rules.sampled(many, 200).select("doc_id").collect()}
+
+
 def test_cascade_asks_the_rule_with_most_rejections_per_cost_first(spark):
     sample = spark.range(1000).select(F.col("id"))
     few, many = rules.Rule("few", F.col("id") < 10), rules.Rule("many", F.col("id") < 900)
@@ -247,6 +256,19 @@ def test_found_values_bring_in_further_patterns(spark):
     assert {r.doc_id: r.spans for r in found.filter("n_context > 0 AND doc_id >= 50").collect()} == {50: "context:10:19"}
 
 
+def test_contexts_however_far_and_glued(spark):
+    """A word of a context may be any number of blanks away, or joined by a colon or equals sign."""
+    gaps = [" ", " " * 70, "\n\t" * 400, ":", "=", ": "]
+    rows = [(i, f"{prose(i, 6)} mail user{i}@host.example.org and") for i in range(50)]
+    rows += [(100 + i, f"{prose(i, 6)} mail{gap}AB-12345{i} and") for i, gap in enumerate(gaps)]
+    rows += [(200, "12:30 mail room 17 a=b")]
+    found = personal.personal_data(spark.createDataFrame(rows, "doc_id LONG, text STRING"))
+    learned = {r.doc_id: r.spans.split(":") for r in found.filter("n_context > 0").collect()}
+    texts = dict(rows)
+    assert {i: texts[i][int(a):int(b)] for i, (_, a, b) in learned.items()} == {
+        100 + i: f"AB-12345{i}" for i in range(len(gaps))}
+
+
 def test_personal_spans_of_many_matches(spark):
     text = " ".join(f"u{i}@h.example 10.0.0.{i % 300} é" for i in range(700))
     found = personal.personal_data(spark.createDataFrame([(1, text)], "doc_id LONG, text STRING")).first()
@@ -347,6 +369,38 @@ def test_jaccard_of_short_lists_near_the_bound(spark):
     assert {r.doc_id: r.component_id for r in found.collect()} == want
 
 
+@pytest.mark.parametrize("many,chunk,tile", [(1, 4_000, 7), (3, 1, 4_096), (32, 512 << 10, 4_096)])
+def test_jaccard_of_groups_that_are_almost_alike(spark, monkeypatch, many, chunk, tile):
+    """Versions of a few texts near the bound, compared chunk by chunk."""
+    monkeypatch.setattr(jaccard, "MANY", many)
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    rng = np.random.default_rng(8)
+    rows = []
+    for group in range(3):
+        base = prose(700 + group, 90)
+        rows += [(100 * group + i, changed(base, *rng.choice(90, int(rng.integers(0, 9)), replace=False).tolist()))
+                 for i in range(30)]
+    rows += [(900, rows[0][1]), (901, None), (902, "two words")]
+    made = spark.createDataFrame(rows, "doc_id LONG, text STRING").repartition(4)
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_groups(made).collect()}
+    want = brute.jaccard_components(rows)
+    assert {i: want.get(i, i) for i, _ in rows} == got
+    assert 3 < len(set(got.values())) < len(rows) - 20
+
+
+def test_overlaps_of_two_chunks():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, int(n)).astype(np.uint64)) for n in rng.integers(1, 50, 12)]
+
+    def chunk(some):
+        return {"docs": list(range(len(some))), "sizes": np.array([len(s) for s in some], np.int64).tobytes(),
+                "hashes": b"".join(s.tobytes() for s in some)}
+
+    met = jaccard.overlaps(chunk(sets[:5]), chunk(sets[5:]))
+    assert met.tolist() == [[len(np.intersect1d(a, b)) for b in sets[5:]] for a in sets[:5]]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 140)] + [(7, 7), (300, 200), (200, 250)]
     found = components(spark.createDataFrame(edges, "a LONG, b LONG"))

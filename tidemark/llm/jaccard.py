@@ -12,12 +12,17 @@ in the candidate's sorted set.
 3. Of each set the third with the smallest hashes is listed. Linked documents n and m in size
    share at least 1/12 of the larger one's shingles there: T exceeds what lies outside of
    the third that ends first by that much.
-4. The lists are counted. But for the longest 1/12 n - 1 of them, which are never merged, the
+4. The lists are counted; one that holds documents of a single component counts as that of a
+   document's own shingle, as it cannot lead to another component. But for the longest 1/12 n - 1 of them, which are never merged, the
    lists of a document are short, and a partner stands in the same short list. A document
    with that many shingles of its own has no partner, so passages that many documents
    share cost nothing.
-5. Short lists are merged across components, bounded by sizes, into pairs of candidates, which
-   are probed. Links are joined to components.
+5. Short lists of few documents are merged across components, bounded by sizes, into pairs of
+   candidates, which are probed.
+6. Documents that stand in lists of more than MANY are dealt into chunks, those of the same
+   longest list together. Chunks that share a list are compared as wholes, and only links
+   leave the task, one for every two components: a group of thousands that are almost alike,
+   but not enough, comes to no rows of pairs. Links are joined to components.
 
 Sets are hashed from the texts again where they are needed, as they are larger than the texts.
 """
@@ -34,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import id_and_text
+from tidemark.llm.common import id_and_text, lean
 from tidemark.llm.components import components
 from tidemark.llm.shingles import shingle_sets
 from tidemark.session import staged
@@ -46,6 +51,9 @@ MEETINGS = 3  # of those lists in which a pair must meet to be probed
 BLOCK = 250_000  # shingles of documents whose lists are asked for together
 BUCKET = 250_000  # shingles whose lists are counted together
 PART = 512 << 10  # bytes of texts hashed at a time
+MANY = 32  # documents of a list whose pairs are listed
+CHUNK = 512 << 10  # bytes of sets that are compared as a whole; a longer set is a chunk of its own
+TILE = 4_096  # shingles counted at a time
 EXACT = 128  # lengths of lists below this are told exactly
 
 def hashed(docs: DataFrame, schema: str, row) -> DataFrame:
@@ -61,7 +69,7 @@ def hashed(docs: DataFrame, schema: str, row) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*made, strict=True), arrow, strict=True)], names)
 
-    return id_and_text(docs).mapInArrow(batches, schema)
+    return id_and_text(docs).mapInArrow(lean(batches), schema)
 
 
 def parts_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -125,7 +133,7 @@ def probe(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([xs.filter(mask), ys.filter(mask)], ["a", "b"])
 
-    return both.select("x", "y", "hx", "hy").mapInArrow(search, "a long, b long")
+    return both.select("x", "y", "hx", "hy").mapInArrow(lean(search), "a long, b long")
 
 
 def near_copies(sets: DataFrame) -> DataFrame:
@@ -145,53 +153,66 @@ def near_copies(sets: DataFrame) -> DataFrame:
         F.col("met") >= F.least(F.lit(MEETINGS), "least")).select("x", "y")
 
 
-def blocks_of(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Documents in blocks of about BLOCK listed shingles: block, docs, sizes and hashes as bytes.
+def blocks_of(docs: DataFrame, gone: DataFrame, known: DataFrame) -> DataFrame:
+    """Documents in blocks of about BLOCK listed shingles: block, docs, components, sizes and hashes
+    as bytes. A document that is not ``known`` is a component of its own.
 
     Those whose ids are in ``gone`` are left out. One step hashes and gathers, as every
     Python step of a task has a process of its own.
     """
     def gather(batches):
         number = TaskContext.get().partitionId() << 32
-        docs, sizes, hashes, held = [], [], [], 0
+        docs, belong, sizes, hashes, held = [], [], [], [], 0
         for part in (p for batch in batches for p in parts_of(batch)):
-            for doc_id, found in zip(part.column(0).to_pylist(), shingle_sets(part.column(1)), strict=True):
+            for doc_id, found, component in zip(part.column(0).to_pylist(), shingle_sets(part.column(1)),
+                                                part.column(2).to_pylist(), strict=True):
                 if doc_id is None or not len(found):
                     continue
                 count = listed_part(len(found))
                 docs.append(doc_id)
+                belong.append(component)
                 sizes.append(len(found))
                 hashes.append(found[:count].tobytes())
                 held += count
                 if held >= BLOCK:
-                    yield block_row(number, docs, sizes, hashes)
-                    number, docs, sizes, hashes, held = number + 1, [], [], [], 0
+                    yield block_row(number, docs, belong, sizes, hashes)
+                    number, docs, belong, sizes, hashes, held = number + 1, [], [], [], [], 0
         if docs:
-            yield block_row(number, docs, sizes, hashes)
+            yield block_row(number, docs, belong, sizes, hashes)
 
-    rows = id_and_text(docs).join(broadcast_if_small(gone), "doc_id", "left_anti")
+    rows = id_and_text(docs).join(broadcast_if_small(gone), "doc_id", "left_anti").join(
+        broadcast_if_small(known.withColumnRenamed("node", "doc_id")), "doc_id", "left").select(
+        "doc_id", "text", F.coalesce("component", "doc_id").alias("component"))
     return staged(rows.mapInArrow(
-        gather, "block long, docs binary, sizes binary, hashes binary"), "shingle-blocks")
+        lean(gather), "block long, docs binary, components binary, sizes binary, hashes binary"), "shingle-blocks")
 
 
-def block_row(number: int, docs: list, sizes: list, hashes: list) -> pa.RecordBatch:
+def block_row(number: int, docs: list, belong: list, sizes: list, hashes: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([
         pa.array([number], pa.int64()), pa.array([np.array(docs, np.int64).tobytes()]),
+        pa.array([np.array(belong, np.int64).tobytes()]),
         pa.array([np.array(sizes, np.int64).tobytes()]), pa.array([b"".join(hashes)]),
-    ], ["block", "docs", "sizes", "hashes"])
+    ], ["block", "docs", "components", "sizes", "hashes"])
 
 
 def list_lengths(blocks: DataFrame, buckets: int) -> DataFrame:
     """block, bucket and a byte for each different shingle of the block, in order: a measure of
-    how many documents have it, exact below EXACT and by powers of two above.
+    how many documents have it, exact below EXACT and by powers of two above; 1 if all of
+    them are of one component.
 
-    A block asks once for each of its shingles, with the number of its own documents, so a
-    shingle that a third of all documents share is one question per block.
+    A block asks once for each of its shingles, with the number of its own documents and the
+    least and greatest of their components, so a shingle that a third of all documents share
+    is one question per block.
     """
     def ask(batches):
         for batch in batches:
-            for block, data in zip(batch.column("block").to_pylist(), batch.column("hashes").to_pylist(), strict=True):
-                unique, own = np.unique(np.frombuffer(data, np.uint64), return_counts=True)
+            for row in batch.to_pylist():
+                block, counts = row["block"], listed_part(np.frombuffer(row["sizes"], np.int64))
+                belong = np.repeat(np.frombuffer(row["components"], np.int64), counts)
+                hashes = np.frombuffer(row["hashes"], np.uint64)
+                order = np.argsort(hashes, kind="stable")
+                unique, first, own = np.unique(hashes[order], return_index=True, return_counts=True)
+                low, high = (f.reduceat(belong[order], first) for f in (np.minimum, np.maximum))
                 at = ((unique >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
                 bounds = np.searchsorted(at, np.arange(buckets + 1))
                 full = np.flatnonzero(np.diff(bounds))
@@ -199,29 +220,36 @@ def list_lengths(blocks: DataFrame, buckets: int) -> DataFrame:
                     pa.array(full), pa.array([block] * len(full), pa.int64()),
                     pa.array([unique[bounds[i]:bounds[i + 1]].tobytes() for i in full]),
                     pa.array([own[bounds[i]:bounds[i + 1]].astype(np.uint32).tobytes() for i in full]),
-                ], ["bucket", "block", "shingles", "own"])
+                    pa.array([low[bounds[i]:bounds[i + 1]].tobytes() for i in full]),
+                    pa.array([high[bounds[i]:bounds[i + 1]].tobytes() for i in full]),
+                ], ["bucket", "block", "shingles", "own", "low", "high"])
 
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
         each = [np.frombuffer(s, np.uint64) for s in frame["shingles"]]
-        _, inverse = np.unique(np.concatenate(each), return_inverse=True)
+        values, inverse = np.unique(np.concatenate(each), return_inverse=True)
+        low = np.full(len(values), np.iinfo(np.int64).max)
+        high = np.full(len(values), np.iinfo(np.int64).min)
+        np.minimum.at(low, inverse, np.frombuffer(b"".join(frame["low"]), np.int64))
+        np.maximum.at(high, inverse, np.frombuffer(b"".join(frame["high"]), np.int64))
         own = np.frombuffer(b"".join(frame["own"]), np.uint32)
         total = np.bincount(inverse, own)[inverse]
         power = np.log2(np.maximum(total, EXACT)).astype(np.int64) - int(np.log2(EXACT)) + EXACT
         measure = np.where(total < EXACT, total, power).astype(np.uint8)
+        measure[(low == high)[inverse]] = 1
         parts = np.split(measure, np.cumsum([len(s) for s in each])[:-1])
         return pd.DataFrame({"block": frame["block"], "bucket": frame["bucket"],
                              "lengths": [p.tobytes() for p in parts]})
 
-    return blocks.select("block", "hashes").mapInArrow(
-        ask, "bucket long, block long, shingles binary, own binary"
+    return blocks.select("block", "components", "sizes", "hashes").mapInArrow(
+        lean(ask), "bucket long, block long, shingles binary, own binary, low binary, high binary"
     ).groupBy("bucket").applyInPandas(answer, "block long, bucket long, lengths binary")
 
 
 def short_lists(blocks: DataFrame, buckets: int) -> DataFrame:
     """doc_id, n, shared, edge and one shingle of each of the document's short lists in which
-    other documents stand.
+    documents of other components stand.
 
-    ``shared`` counts its listed shingles that others list too, ``edge`` is the last hash that
+    ``shared`` counts its listed shingles that other components list too, ``edge`` is the last hash that
     it lists, with the sign turned so that it is in order as a signed number.
     """
     def choose(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
@@ -233,7 +261,7 @@ def short_lists(blocks: DataFrame, buckets: int) -> DataFrame:
         counts = listed_part(sizes)
         starts = np.cumsum(counts) - counts
         shared = np.add.reduceat((measure > 1).astype(np.int64), starts)
-        # The lists that no other document is in are the shortest.
+        # The lists that no other component is in are the shortest.
         left = shared - longest_lists(sizes) + 1
         chosen, short = np.flatnonzero(left > 0), []
         for i in chosen.tolist():
@@ -252,33 +280,137 @@ def short_lists(blocks: DataFrame, buckets: int) -> DataFrame:
         choose, "doc_id long, n long, shared long, edge long, shingle long"), "short-lists")
 
 
-def meeting(posts: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs of documents of different components that meet in a short list and whose sizes
-    and shared shingles leave room for the overlap they need.
-
-    In each list the documents of its largest component are met by the others only, so that a
-    list of near copies is read once.
+def mixed_lists(posts: DataFrame, known: DataFrame) -> DataFrame:
+    """Entries of short lists in which documents of several components stand, with their component,
+    the largest one of the list and the number of documents in it; written.
     """
     placed = staged(posts.join(
         broadcast_if_small(known.withColumnRenamed("node", "doc_id")), "doc_id", "left"
     ).withColumn("component", F.coalesce("component", "doc_id")), "placed-lists")
     sizes = placed.groupBy("shingle", "component").agg(F.count("*").alias("size"))
     largest = staged(sizes.groupBy("shingle").agg(
-        F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("parts")
-    ).filter("parts > 1").select("shingle", F.col("top.component").alias("largest")), "mixed-lists")
-    mixed = staged(placed.join(largest, "shingle"), "mixed-posts")
-    a, b = mixed.alias("a"), mixed.alias("b")
+        F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("parts"), F.sum("size").alias("length")
+    ).filter("parts > 1").select("shingle", F.col("top.component").alias("largest"), "length"), "mixed-lists")
+    return staged(placed.join(largest, "shingle"), "mixed-posts")
+
+
+def meeting(mixed: DataFrame) -> DataFrame:
+    """Pairs of documents of different components that meet in a list of at most MANY and whose
+    sizes and shared shingles leave room for the overlap they need.
+
+    In each list the documents of its largest component are met by the others only, so that a
+    list of near copies is read once.
+    """
+    few = mixed.filter(F.col("length") <= MANY)
+    a, b = few.alias("a"), few.alias("b")
     # What one of them has beyond the listed part that ends first may be shared unseen.
     outside = F.when(F.col("a.edge") <= F.col("b.edge"), F.floor(2 * F.col("a.n") / 3)).otherwise(
         F.floor(2 * F.col("b.n") / 3))
     pairs = a.filter("a.component <> a.largest").join(b, (
         (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.component") != F.col("b.component"))
         & ((F.col("b.component") == F.col("b.largest")) | (F.col("a.doc_id") < F.col("b.doc_id")))
+        & (100 * F.least("a.n", "b.n") >= PERCENT * F.greatest("a.n", "b.n"))
         & (F.least("a.shared", "b.shared") >= overlap_needed(F.col("a.n"), F.col("b.n")) - outside)))
     return pairs.select(F.least("a.doc_id", "b.doc_id").alias("x"),
                         F.greatest("a.doc_id", "b.doc_id").alias("y")).distinct()
 
 
+CHUNKS = "chunk long, docs array<long>, components binary, sizes binary, hashes binary"
+
+
+def chunks_of(entries: DataFrame, docs: DataFrame) -> DataFrame:
+    """The sets of documents in ``entries`` (doc_id, component, shingle, length) in chunks, in the
+    order of their longest list and size; written.
+    """
+    wanted = staged(entries.groupBy(F.col("doc_id").alias("wanted")).agg(
+        F.max(F.struct("length", "shingle")).alias("list"), F.first("component").alias("component")), "dense")
+    texts = id_and_text(docs).join(broadcast_if_small(wanted.select("wanted")), F.col("doc_id") == F.col("wanted"), "left_semi")
+    sets = hashed(texts, "doc_id long, n long, hashes binary", lambda i, s: (i, len(s), s.tobytes()))
+    rows = sets.join(broadcast_if_small(wanted), F.col("doc_id") == F.col("wanted")).select(
+        F.col("list.shingle").alias("shingle"), "n", "doc_id", "component", "hashes")
+    order = ["shingle", "n", "doc_id"]
+
+    def gather(batches):
+        number = TaskContext.get().partitionId() << 32
+        held: list = []
+        for batch in batches:
+            for row in zip(*(batch.column(c) for c in ("doc_id", "component", "n", "hashes")), strict=True):
+                row = tuple(v.as_py() for v in row)
+                if held and sum(len(h[3]) for h in held) + len(row[3]) > CHUNK:
+                    yield chunk_row(number, held)
+                    number, held = number + 1, []
+                held.append(row)
+        if held:
+            yield chunk_row(number, held)
+
+    return staged(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lean(gather), CHUNKS), "chunks")
+
+
+def chunk_row(number: int, held: list) -> pa.RecordBatch:
+    docs, components, sizes, hashes = zip(*held, strict=True)
+    return pa.RecordBatch.from_arrays([
+        pa.array([number], pa.int64()), pa.array([list(docs)], pa.list_(pa.int64())),
+        *(pa.array([np.array(v, np.int64).tobytes()]) for v in (components, sizes)), pa.array([b"".join(hashes)]),
+    ], ["chunk", "docs", "components", "sizes", "hashes"])
+
+
+def overlaps(left: dict, right: dict) -> np.ndarray:
+    """The sizes of all intersections of a set of one chunk with one of another."""
+    a, b = (np.frombuffer(c["hashes"], np.uint64) for c in (left, right))
+    mine, theirs = (np.repeat(np.arange(len(c["docs"])), np.frombuffer(c["sizes"], np.int64)) for c in (left, right))
+    common = np.intersect1d(a, b)
+    out = np.zeros((len(left["docs"]), len(right["docs"])), np.float32)
+    for at in range(0, len(common), TILE):
+        tile = common[at:at + TILE]
+        sides = []
+        for hashes, owner, count in ((a, mine, out.shape[0]), (b, theirs, out.shape[1])):
+            place = np.minimum(np.searchsorted(tile, hashes), len(tile) - 1)
+            inside = tile[place] == hashes
+            side = np.zeros((count, len(tile)), np.float32)
+            side[owner[inside], place[inside]] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
+def links_between(left: dict, right: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Documents of two chunks that link, one pair for every two components."""
+    met = overlaps(left, right)
+    n, m = (np.frombuffer(c["sizes"], np.int64) for c in (left, right))
+    i, j = np.nonzero(100 * met >= PERCENT * (n[:, None] + m - met))
+    p, q = np.frombuffer(left["components"], np.int64)[i], np.frombuffer(right["components"], np.int64)[j]
+    apart = np.flatnonzero(p != q)
+    _, first = np.unique(np.stack((p[apart], q[apart])), axis=1, return_index=True)
+    keep = apart[first]
+    return np.array(left["docs"])[i[keep]], np.array(right["docs"])[j[keep]]
+
+
+def dense_links(mixed: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between documents that meet in lists of more than MANY."""
+    entries = mixed.filter(F.col("length") > MANY)
+    chunks = chunks_of(entries, docs)
+    placed = entries.select("doc_id", "shingle").join(
+        broadcast_if_small(chunks.select("chunk", F.explode("docs").alias("doc_id"))), "doc_id")
+    lists = staged(placed.select("shingle", "chunk").distinct(), "chunk-lists")
+    met = staged(lists.select("shingle", F.col("chunk").alias("x")).join(
+        lists.select("shingle", F.col("chunk").alias("y")), "shingle").filter("x <= y").select("x", "y").distinct(),
+        "chunk-pairs")
+
+    def side(name: str, end: str) -> DataFrame:
+        return chunks.select(F.col("chunk").alias(name), *[F.col(c).alias(f"{c}_{end}") for c in chunks.columns[1:]])
+
+    def compare(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                left, right = ({k[:-2]: v for k, v in row.items() if k.endswith(end)} for end in ("_l", "_r"))
+                x, y = links_between(left, right)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+
+    # A pair travels with one of its chunks at a time, and with both only into the comparison.
+    both = met.join(side("x", "l"), "x").join(side("y", "r"), "y")
+    return both.drop("x", "y").mapInArrow(lean(compare), "a long, b long")
+
+
 def linked(docs: DataFrame) -> DataFrame:
     """doc_id, n and component of each row of ``docs``, with ``digest`` of its set."""
     rows = known_sets(docs)
@@ -295,8 +427,9 @@ def linked(docs: DataFrame) -> DataFrame:
     # An id that comes with another text as well is listed with all of them.
     gone = staged(copies.select("doc_id").distinct().join(
         sets.select("doc_id").distinct(), "doc_id", "left_anti"), "gone")
-    lists = short_lists(blocks_of(docs, gone), max(1, -(-total // (3 * BUCKET))))
-    more = probe(staged(meeting(lists, known), "meeting-pairs"), docs)
+    lists = short_lists(blocks_of(docs, gone, known), max(1, -(-total // (3 * BUCKET))))
+    mixed = mixed_lists(lists, known)
+    more = probe(staged(meeting(mixed), "meeting-pairs"), docs).union(dense_links(mixed, docs))
     # Links between equal sets join the rest: an id may come with several texts.
     same = ids.join(first, "digest").select(F.col("doc_id").alias("a"), F.col("same").alias("b"))
     links = known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more).union(same)
