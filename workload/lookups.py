@@ -9,21 +9,21 @@ from workload.feeds import table
 from workload.registry import query
 
 
-@query("optional_equality", """
+@query("lookup_optional", """
 SELECT p_partkey, p_type FROM part WHERE p_size = 7 AND lower(p_brand) = lower('Brand#1')""")
-def optional_equality(spark, sf):
+def lookup_optional(spark, sf):
     rows = table(spark, sf, "part")
     found = lookups.matching(rows, ignore_case=["p_brand"], p_size=7, p_name=None, p_brand="BRAND#1")
     return found.select("p_partkey", "p_type")
 
 
-@query("optional_requests", """
+@query("lookup_requests", """
 WITH q AS (
   SELECT c_custkey AS request, CASE WHEN c_custkey % 3 > 0 THEN c_nationkey END AS s_nationkey,
     CASE WHEN c_custkey % 3 <> 1 THEN CAST(c_custkey % 100 AS BIGINT) END AS s_suppkey FROM customer)
 SELECT request, s.s_suppkey, s.s_nationkey FROM q JOIN supplier s
   ON (q.s_nationkey IS NULL OR q.s_nationkey = s.s_nationkey) AND (q.s_suppkey IS NULL OR q.s_suppkey = s.s_suppkey)""")
-def optional_requests(spark, sf):
+def lookup_requests(spark, sf):
     """Suppliers by nation, number or both, one request per customer."""
     requests = table(spark, sf, "customer").selectExpr(
         "c_custkey AS request", "CASE WHEN c_custkey % 3 > 0 THEN c_nationkey END AS s_nationkey",
