@@ -23,8 +23,8 @@ BATCH_ROWS = 10_000
 SPACE = r"\x20\x09-\x0D"
 
 
-def prepare(spark: SparkSession) -> SparkSession:
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+def prepare(spark: SparkSession, size: int = BATCH_BYTES) -> SparkSession:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 

@@ -50,7 +50,7 @@ FIRST = 12  # smallest hashes whose lists are used to link near copies
 MEETINGS = 3  # of those lists in which a pair must meet to be probed
 BLOCK = 250_000  # shingles of documents whose lists are asked for together
 BUCKET = 250_000  # shingles whose lists are counted together
-PART = 512 << 10  # bytes of texts hashed at a time
+PART = 256 << 10  # bytes of texts hashed at a time
 MANY = 32  # documents of a list whose pairs are listed
 CHUNK = 512 << 10  # bytes of sets that are compared as a whole; a longer set is a chunk of its own
 TILE = 4_096  # shingles counted at a time
