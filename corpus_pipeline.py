@@ -12,6 +12,8 @@ from tidemark.llm import bytenet, exact, jaccard, mixing, pieces
 from tidemark.llm.common import prepare, table
 from tidemark.session import configure, staged
 
+# Its steps hash sets many times as large as their texts, next to what earlier stages have left.
+NEAR_BATCH = 1 << 20
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -28,7 +30,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar word shingles."""
-    prepare(configure(spark))
+    prepare(configure(spark), NEAR_BATCH)
     return jaccard.without_near_copies(docs)
 
 
