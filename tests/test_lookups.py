@@ -49,3 +49,20 @@ def test_exactly_one_and_how_many_else(spark):
     assert single.count() == 3
     plan = single._jdf.queryExecution().executedPlan().toString()
     assert "partial_count" in plan
+
+
+def test_many_answers_are_dealt_out(spark, monkeypatch):
+    """One key with more answers than a task is to give: 400 rows times 500 requests."""
+    monkeypatch.setattr(lookups, "TASK_ROWS", 10_000, raising=False)
+    monkeypatch.setattr(lookups, "CELL", 50, raising=False)
+    rows = spark.range(500).selectExpr("CAST(id AS int) AS id", "CASE WHEN id < 400 THEN 7 ELSE id END AS k")
+    requests = spark.range(600).selectExpr(
+        "id AS request", "CASE WHEN id < 500 THEN 7 ELSE id - 100 END AS k").union(spark.sql("SELECT 1L, 7L"))
+    got = lookups.answered(rows.union(rows.filter("id = 3")), requests, "request", ["k"]).selectExpr(
+        "*", "spark_partition_id() AS part").collect()
+    wanted = [(r, i) for r in [*range(500), 1] for i in [*range(400), 3]] + [(r, r - 100) for r in range(500, 600)]
+    assert sorted((r["request"], r["id"]) for r in got) == sorted(wanted)
+    held = {}
+    for r in got:
+        held[r["part"]] = held.get(r["part"], 0) + 1
+    assert max(held.values()) < len(wanted) / 4
