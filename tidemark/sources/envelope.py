@@ -32,7 +32,9 @@ RESPONSE = (
 
 def _bytes(numbers: Column) -> Column:
     """An array of byte values as binary."""
-    return F.unhex(F.array_join(F.transform(numbers, lambda b: F.lpad(F.hex(b), 2, "0")), ""))
+    pairs = F.array(*[F.lit(f"{b:02X}") for b in range(256)])
+    return F.unhex(F.array_join(F.transform(
+        numbers, lambda b: F.coalesce(F.get(pairs, b), F.lpad(F.hex(b), 2, "0"))), ""))
 
 
 def _text_events(rows: DataFrame) -> DataFrame:

@@ -6,7 +6,9 @@ import json
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from tidemark import fixed
 from tidemark.plans.schema import Node, parse_schema
@@ -110,16 +112,99 @@ def optional(name: str, kind, doc: str | None = None) -> dict:
     return {"name": name, "type": ["null", *kinds], "default": None, **({"doc": doc} if doc else {})}
 
 
-def event(schema: Node, ids, kind, changed=(), entity="", sequence=1, values=None) -> bytes:
-    header = {
+def header_values(schema: Node, ids, kind, changed, entity, sequence) -> dict:
+    return {
         "entityName": entity, "recordIds": list(ids), "changeType": kind, "changeOrigin": "",
         "transactionKey": "t", "sequenceNumber": sequence, "commitTimestamp": 1700000000000,
         "commitNumber": 12279648331300, "commitUser": "u", "nulledFields": [], "diffFields": [],
         "changedFields": changed_fields(schema, list(changed)),
     }
+
+
+def event(schema: Node, ids, kind, changed=(), entity="", sequence=1, values=None) -> bytes:
+    header = header_values(schema, ids, kind, changed, entity, sequence)
     return encode(schema, {fixed.HEADER_FIELD: header, **(values or {})})
 
 
+def joined(*parts) -> pa.Array:
+    """Columns of bytes, or bytes that all rows share, put together row by row; at least one is a column."""
+    shared = [pa.scalar(p, pa.binary()) if isinstance(p, bytes) else p for p in parts]
+    return pc.binary_join_element_wise(*shared, pa.scalar(b"", pa.binary()))
+
+
+def numbers(values: pa.Array) -> pa.Array:
+    """``number`` of each of a column of integers; a null counts as 0."""
+    value = values.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+    left = ((value << 1) ^ (value >> 63)).astype(np.uint64)
+    out, length = np.zeros((len(left), 10), np.uint8), np.ones(len(left), np.int64)
+    for i in range(10):
+        out[:, i] = left & np.uint64(0x7F)
+        left >>= np.uint64(7)
+        more = left > 0
+        out[more, i] |= 0x80
+        length += more
+        if not more.any():
+            break
+    ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+    data = out[np.arange(10) < length[:, None]]
+    return pa.Array.from_buffers(pa.binary(), len(left), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
+def column(node: Node, values: pa.Array) -> pa.Array:
+    """What ``encode`` does for one value, for a column of them: unions with null, records, arrays,
+    strings, integers and doubles.
+    """
+    kind = node.kind
+    if kind == "record":
+        known = [f.name for f in values.type]
+        return joined(b"", *[column(child, values.field(name) if name in known else pa.nulls(len(values)))
+                             for name, child, _ in node.fields])
+    if kind == "union":
+        nothing = number([m.kind for m in node.members].index("null"))
+        none = pa.repeat(pa.scalar(nothing, pa.binary()), len(values))
+        if pa.types.is_null(values.type):
+            return none
+        is_record = pa.types.is_struct(values.type)
+        tag, member = next((t, m) for t, m in enumerate(node.members)
+                           if m.kind != "null" and (m.kind == "record") == is_record)
+        return pc.if_else(values.is_valid(), joined(number(tag), column(member, values)), none)
+    if kind == "array":
+        counts = values.value_lengths().fill_null(0)
+        ends = np.concatenate([[0], np.cumsum(counts.to_numpy(zero_copy_only=False))]).astype(np.int32)
+        items = pa.ListArray.from_arrays(pa.array(ends), column(node.members[0], values.flatten()))
+        body = joined(numbers(counts), pc.binary_join(items, pa.scalar(b"", pa.binary())), number(0))
+        return pc.if_else(pc.greater(counts, 0), body, pa.scalar(number(0), pa.binary()))
+    if kind == "string":
+        raw = values.cast(pa.binary())
+        return joined(numbers(pc.binary_length(raw)), raw)
+    if kind in ("int", "long"):
+        return numbers(values)
+    if kind == "double":
+        raw = values.fill_null(0.0).to_numpy(zero_copy_only=False).astype("<f8")
+        ends = np.arange(0, 8 * len(raw) + 8, 8, dtype=np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+    raise ValueError(f"no column of {kind}")
+
+
+def event_column(schema: Node, ids: pa.Array, kinds: pa.Array, changed: pa.Array, entity: str, values: pa.Array) -> pa.Array:
+    """What ``event`` does for one event, for columns of them. Of a header only the record ids differ
+    from event to event; the rest is written once for each type and list of changed fields.
+    """
+    header = schema.fields[0][1]
+    place = [name for name, _, _ in header.fields].index("recordIds")
+    heads = pc.binary_join_element_wise(kinds, pc.binary_join(changed, "\x1f"), "\x1e").dictionary_encode()
+    before, after = [], []
+    for head in heads.dictionary.to_pylist():
+        kind, _, names = head.partition("\x1e")
+        given = header_values(schema, (), kind, names.split("\x1f") if names else [], entity, 1)
+        written = [encode(child, given[name]) for name, child, _ in header.fields]
+        before.append(b"".join(written[:place]))
+        after.append(b"".join(written[place + 1:]))
+    parts = [pa.array(part, pa.binary()).take(heads.indices) for part in (before, after)]
+    fields = Node("record", fields=schema.fields[1:])
+    return joined(parts[0], column(header.fields[place][1], ids), parts[1], column(fields, values))
+
+
 # Customers as an entity in two revisions; the second has its fields elsewhere.
 
 ADDRESS = {"type": "record", "name": "Address", "fields": [
@@ -141,19 +226,21 @@ MAPPINGS = {
 }
 
 
-def encode_orders(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+ORDER_COLUMNS = ["ids", "kind", "changed", "status", "price", "ordered_ms", "street", "latitude"]
+
+
+def encode_orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns that say nothing of the payload are passed on."""
     schemas = {i: parse_schema(text) for i, text in REVISIONS.items()}
-    for frame in frames:
-        payloads = []
-        for row in frame.itertuples():
-            schema = schemas.get(row.schema_id, schemas["R1"])
-            home = None if pd.isna(row.street) else {"Street": row.street, "Latitude": row.latitude}
-            values = {
-                "Status": None if pd.isna(row.status) else row.status, "TotalPrice": row.price,
-                "OrderDate": row.ordered_ms, "Home": home, "Channel": None,
-            }
-            payloads.append(event(schema, row.ids, row.kind, row.changed, "Customer",
-                                  values=values))
-        out = frame[["event_id", "schema_id", "replay_id"]].copy()
-        out["payload"] = payloads
-        yield out
+    for batch in batches:
+        second = pc.equal(batch.column("schema_id"), "R2").fill_null(False)
+        for schema_id, rows in (("R1", batch.filter(pc.invert(second))), ("R2", batch.filter(second))):
+            if not rows.num_rows:
+                continue
+            ids, kinds, changed, status, price, ordered_ms, street, latitude = (rows.column(c) for c in ORDER_COLUMNS)
+            home = pa.StructArray.from_arrays([street, latitude], ["Street", "Latitude"], mask=street.is_null())
+            values = pa.StructArray.from_arrays(
+                [status, price, ordered_ms, home], ["Status", "TotalPrice", "OrderDate", "Home"])
+            payloads = event_column(schemas[schema_id], ids, kinds, changed, "Customer", values)
+            kept = [n for n in rows.schema.names if n not in ORDER_COLUMNS]
+            yield pa.RecordBatch.from_arrays([*(rows.column(n) for n in kept), payloads], names=[*kept, "payload"])
