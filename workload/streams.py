@@ -8,7 +8,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.session import run_folder
 from tidemark.sources import envelope
@@ -27,21 +26,17 @@ def in_order(events, root, applier):
     """
     events = events.withColumn("headers", F.array().cast("array<struct<key: string, value: binary>>"))
     events = events.select("event_id", "schema_id", "payload", "headers", "replay_id")
-    cuts = events.agg(F.percentile_approx("replay_id", [i / BATCHES for i in range(1, BATCHES)])).first()[0]
+    events.write.parquet(f"{root}/encoded")
+    made = events.sparkSession.read.schema(events.schema).parquet(f"{root}/encoded")
+    cuts = made.agg(F.percentile_approx("replay_id", [i / BATCHES for i in range(1, BATCHES)])).first()[0]
     share = reduce(lambda a, b: a + b, [(F.col("replay_id") > c).cast("int") for c in cuts])
-    events.withColumn("share", share).write.partitionBy("share").parquet(f"{root}/encoded")
-    made = spark_read(events, f"{root}/encoded")
     for number in range(BATCHES):
-        made.filter(F.col("share") == number).drop("share").write.mode("append").parquet(f"{root}/landed")
+        made.filter(share == number).write.mode("append").parquet(f"{root}/landed")
         stream = envelope.stream_envelopes(events.sparkSession, f"{root}/landed", files_per_trigger=1_000)
         start(stream, applier.apply, f"{root}/checkpoint").awaitTermination()
     return applier
 
 
-def spark_read(like: DataFrame, path: str) -> DataFrame:
-    return like.sparkSession.read.schema(T.StructType([*like.schema.fields, T.StructField("share", T.IntegerType())])).parquet(path)
-
-
 @query("stream_outcomes_at_table", EVENT_SQL.replace("SELECT 'e' || ord AS event_id, count(*) AS ids,", """
 SELECT change_type, outcome, count(*) AS events FROM (SELECT max(kind) AS change_type,""").replace(
     "FROM j GROUP BY ord", "FROM j GROUP BY ord) GROUP BY 1, 2"))
@@ -105,9 +100,7 @@ def many(spark):
 def stream_many_tables(spark, sf):
     root = run_folder(spark, "stream-many")
     # The remainder of the customer's number, which each payload's first record id ends with.
-    orders = feeds.table(spark, sf, "orders").select(
-        F.concat(F.lit("e"), "o_orderkey").alias("event_id"), (F.col("o_custkey") % TABLES).alias("t"))
-    events = encoded(spark, sf).join(orders, "event_id").withColumn(
+    events = encoded(spark, sf, t=f"o_custkey % {TABLES}").withColumn(
         "schema_id", F.concat("schema_id", F.lit("-"), "t"))
     applier = in_order(events, root, ChangeApplier(spark, f"{root}/state", many, ask_table=False))
     planned, _ = planned_bindings(many(spark), list(range(1, TABLES + 1)))
