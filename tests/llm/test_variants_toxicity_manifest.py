@@ -186,3 +186,15 @@ def test_upper_nodes_are_met_in_copies(spark, monkeypatch):
     monkeypatch.setattr(merkle, "COPY", 16)
     below = spark.createDataFrame([(1,), (16,), (17,), (64,)], "below LONG")
     assert [r[0] for r in below.select(merkle.copies(F.col("below"))).collect()] == [1, 1, 2, 4]
+
+
+def test_siblings_are_not_written(spark, monkeypatch):
+    written = {}
+
+    def staged(rows, name, real=merkle.staged):
+        written[name] = rows.columns
+        return real(rows, name)
+
+    monkeypatch.setattr(merkle, "staged", staged)
+    merkle.manifest(spark.createDataFrame([(i, None, "en", 1, "x") for i in range(20)], LEAF))
+    assert written["climb"] == ["number", "folded", "proof_sha256"]

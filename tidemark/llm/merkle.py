@@ -170,9 +170,10 @@ SELECT number, step, folded, siblings FROM climb
 
 
 def climbed(start: DataFrame, nodes: DataFrame) -> DataFrame:
-    """number, folded and proof (siblings in hex) of every leaf, as far up as there are nodes.
+    """number, folded and proof_sha256 (of the siblings in hex) of every leaf, as far up as there are nodes.
 
     A row of the recursion holds what one step adds; a leaf's steps are put in order at the end.
+    Siblings are many times a leaf: they are hashed as they come, and only their digest is written.
     """
     spark = start.sparkSession
     # The row limit is for recursive queries that never end; this one ends with the tree.
@@ -180,14 +181,13 @@ def climbed(start: DataFrame, nodes: DataFrame) -> DataFrame:
     before = spark.conf.get(limit)
     spark.conf.set(limit, "-1")
     try:
-        steps = staged(spark.sql(CLIMB, start=start, nodes=nodes), "climb")
+        steps = spark.sql(CLIMB, start=start, nodes=nodes).groupBy("number").agg(
+            F.max(F.struct("step", "folded"))["folded"].alias("folded"),
+            F.sort_array(F.collect_list(F.struct("step", "siblings"))).alias("steps"))
+        return staged(steps.select("number", "folded", digest(F.concat_ws(
+            "", F.transform("steps", lambda s: F.lower(F.hex(s["siblings"]))))).alias("proof_sha256")), "climb")
     finally:
         spark.conf.set(limit, before)
-    each = steps.groupBy("number").agg(
-        F.max(F.struct("step", "folded"))["folded"].alias("folded"),
-        F.sort_array(F.collect_list(F.struct("step", "siblings"))).alias("steps"))
-    return each.select("number", "folded", F.concat_ws(
-        "", F.transform("steps", lambda s: F.lower(F.hex(s["siblings"])))).alias("proof"))
 
 
 def manifest(docs: DataFrame) -> DataFrame:
@@ -231,5 +231,5 @@ def manifest(docs: DataFrame) -> DataFrame:
     root = F.lit(last[0] if last else None).cast("string")
     return known.join(climbed(start, stored), "number").join(bounded(roots.select("tree", F.col("hash").alias("subroot"))), "tree").select(
         "doc_id", F.lower(F.hex("leaf")).alias("leaf"), F.lower(F.hex("subroot")).alias("subroot"), root.alias("root"),
-        digest(F.col("proof")).alias("proof_sha256"), F.lower(F.hex("folded")).alias("folded_root"),
+        "proof_sha256", F.lower(F.hex("folded")).alias("folded_root"),
         (F.lower(F.hex("folded")) == root).alias("verified"))
